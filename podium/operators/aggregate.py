@@ -155,10 +155,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], complete: bool = True
 def linear_trend(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope and intercept of y on x."""
     group_cols = list(group_cols)
-    aggs = [F.regr_slope(col_ref(y).cast("double"), col_ref(x).cast("double")).alias("slope"),
-            F.regr_intercept(col_ref(y).cast("double"), col_ref(x).cast("double")).alias("intercept"),
-            F.regr_count(col_ref(y).cast("double"), col_ref(x).cast("double")).alias("n")]
-    return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    xv, yv = col_ref(x).cast("double"), col_ref(y).cast("double")
+    both = xv.isNotNull() & yv.isNotNull()
+    # intercept as mean(y) - slope * mean(x) over complete pairs: the same
+    # least-squares value, better conditioned when x is far from 0 (years)
+    aggs = [F.regr_slope(yv, xv).alias("slope"),
+            F.avg(F.when(both, yv)).alias("__my"), F.avg(F.when(both, xv)).alias("__mx"),
+            F.regr_count(yv, xv).alias("n")]
+    a = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    return a.select(*group_cols, "slope", (F.col("__my") - F.col("slope") * F.col("__mx")).alias("intercept"), "n")
 
 
 def box_summary(df: DataFrame, group_col: str, value_col: str, whisker: float = 1.5) -> DataFrame:

@@ -447,3 +447,578 @@ where value is not null
 """)
 def q_melt(spark, sf):
     return K.melt_metrics(q_mba(spark, sf), ["award", "model"], ["val_auc", "test_auc", "val_mrr", "test_mrr"])
+
+
+# ---------------------------------------------------------------------------
+# Eligibility (user_day under the reference's column names; thresholds that
+# do not fit event counts are stated per query)
+# ---------------------------------------------------------------------------
+MEDS_SQL = """
+meds as (select season, median(MP / nullif(cast(G as double), 0)) as med_r, median(MP) as med_m from {src} group by season),
+mpg as (select s.*, case when m.med_r < 3 and m.med_m between 5 and 45 then MP else MP / nullif(cast(G as double), 0) end as mpg
+        from {src} s left join meds m on s.season = m.season)
+"""
+
+
+@register("per_game_minutes", f"""
+with {UDN}, {MEDS_SQL.format(src='udn')}
+select Player, season, round(mpg, 6) as mpg from mpg
+""")
+def q_mpg(spark, sf):
+    return rounded(E.per_game_minutes(_udn(spark, sf), "mpg", "season").select("Player", "season", "mpg"))
+
+
+@register("eligible_mvp", f"""
+with {UDN}, pos as (select * from udn where coalesce(MP, 0) > 0), {MEDS_SQL.format(src='pos')}
+select Player, season from mpg where coalesce(mpg, 0) >= 25
+""")
+def q_mvp(spark, sf):
+    return E.apply_eligibility(_udn(spark, sf), "mvp", "season").select("Player", "season")
+
+
+@register("eligible_dpoy", f"""
+with {UDN}, pos as (select * from udn where coalesce(MP, 0) > 0), {MEDS_SQL.format(src='pos')}
+select Player, season from mpg where coalesce(mpg, 0) >= 20 and coalesce(G, 0) >= 3
+""")
+def q_dpoy(spark, sf):
+    # at most a handful of events per user-day: games floor 3 instead of 40
+    return E.apply_eligibility(_udn(spark, sf), "dpoy", "season", g_min=3).select("Player", "season")
+
+
+@register("eligible_smoy", f"""
+with {UDN}
+select Player, season from udn
+where coalesce(GS / nullif(cast(G as double), 0), 0) < 0.5 and coalesce(MP, 0) > 0
+""")
+def q_smoy(spark, sf):
+    return E.apply_eligibility(_udn(spark, sf), "smoy", "season").select("Player", "season")
+
+
+@register("eligible_smoy_strict", f"""
+with {UDN} select Player, season from udn where coalesce(GS <= G - GS, false)
+""")
+def q_smoy2(spark, sf):
+    return E.eligible_smoy_strict(_udn(spark, sf)).select("Player", "season")
+
+
+@register("eligible_roy", f"""
+with {UDN}, f as (select season, max(case when coalesce(is_rookie, 0) = 1 then 1 else 0 end) as any_flag from udn group by season)
+select u.Player, u.season from udn u join f on u.season = f.season
+where (f.any_flag = 1 and u.is_rookie = 1) or f.any_flag = 0
+""")
+def q_roy(spark, sf):
+    # periods with no first-day user fall back to everyone (no rookie list given)
+    return E.apply_eligibility(_udn(spark, sf), "roy", "season").select("Player", "season")
+
+
+def _cy_named(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("Player"))
+    return cust_year(spark, sf).join(c, "entity", "left")
+
+
+CYN = f"{CY}, cyn as (select cy.*, c.c_name as Player from cy left join customer c on cy.entity = c.c_custkey)"
+ROOKIE_LIST_SQL = "select '  ' || c_name || ' ' as Player from customer where c_mktsegment = 'BUILDING'"
+
+
+def _rookie_list(spark, sf):
+    # names padded with blanks: matching trims them (and duplicates are harmless)
+    c = table(spark, sf, "customer")
+    return c.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("Player"))
+
+
+@register("eligible_roy_list", f"""
+with {CYN}
+select Player, period from cyn where trim(Player) in (select trim(Player) from ({ROOKIE_LIST_SQL}) l)
+""")
+def q_roy_list(spark, sf):
+    df = _cy_named(spark, sf).drop("is_rookie")
+    return E.apply_eligibility(df, "roy", "period", rookies=_rookie_list(spark, sf)).select("Player", "period")
+
+
+@register("flag_members", f"""
+with {CYN}
+select entity, period, Player,
+  cast(trim(Player) in (select trim(Player) from ({ROOKIE_LIST_SQL}) l) as integer) as is_rookie
+from cyn
+""")
+def q_flag(spark, sf):
+    out = J.flag_members(_cy_named(spark, sf), _rookie_list(spark, sf), "Player", "Player", "is_rookie")
+    return out.select("entity", "period", "Player", "is_rookie")
+
+
+def _udn_prev(spark, sf):
+    return W.add_prev_features(_udn(spark, sf), "Player", "season", ["MP", "G"])
+
+
+@register("eligible_mip", f"""
+with {UDN}, p as (select *, lag(MP) over (partition by Player order by season) as prev_MP from udn),
+f as (select * from p where coalesce(is_rookie, 0) = 0 and coalesce(G, 0) >= 2), {MEDS_SQL.format(src='f')}
+select Player, season from mpg where coalesce(mpg, 0) >= 15 and coalesce(prev_MP, 0) > 0
+""")
+def q_mip(spark, sf):
+    # two events a day instead of 20 games
+    return E.apply_eligibility(_udn_prev(spark, sf), "mip", "season", min_g=2).select("Player", "season")
+
+
+@register("eligible_mip_strict", f"""
+with {UDN}, p as (select *, lag(season) over w as ps, lag(G) over w as pg from udn window w as (partition by Player order by season))
+select Player, season, case when ps = season - 1 then pg end as prev_G, cast(coalesce(ps = season - 1, false) as integer) as mip_has_prev_season
+from p where ps = season - 1 and coalesce(is_rookie, 0) != 1 and coalesce(G, 0) >= 2 and coalesce(pg, 0) >= 2
+""")
+def q_mip2(spark, sf):
+    out = E.eligible_mip_strict(_udn(spark, sf), "Player", "season", min_g=2, min_g_prev=2)
+    return out.select("Player", "season", "prev_G", "mip_has_prev_season")
+
+
+@register("prev_period_join", f"""
+with {UDN}, p as (select *, lag(season) over w as ps, lag(MP) over w as pm, lag(G) over w as pg from udn
+                  window w as (partition by Player order by season))
+select Player, season, case when ps = season - 1 then pm end as prev_MP, case when ps = season - 1 then pg end as prev_G
+from p
+""")
+def q_j1(spark, sf):
+    out = J.prev_period_join(_udn(spark, sf), "Player", "season", ["MP", "G"])
+    return rounded(out.select("Player", "season", "prev_MP", "prev_G"))
+
+
+@register("lag_vs_strict_previous", f"""
+with {UDN}, p as (select *, lag(season) over w as ps from udn window w as (partition by Player order by season))
+select count(*) as n_rows, cast(sum(case when ps is not null and ps != season - 1 then 1 else 0 end) as bigint) as n_differ from p
+""")
+def q_t8(spark, sf):
+    a = W.add_prev_features(_udn(spark, sf), "Player", "season", ["season"], prefix="lag_")
+    b = J.prev_period_join(a, "Player", "season", ["season"], prefix="strict_")
+    return b.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum((F.col("lag_season").isNotNull() & ~F.col("lag_season").eqNullSafe(F.col("strict_season")))
+                       .cast("long")).alias("n_differ"))
+
+
+@register("period_between", f"""
+with {UDN} select Player, season from udn where season between 5 and 10
+""")
+def q_between(spark, sf):
+    return E.period_between(_udn(spark, sf), "season", 5, 10).select("Player", "season")
+
+
+@register("drop_invalid_periods", f"""
+with {UDN}, p as (select *, lag(MP) over (partition by Player order by season) as prev_MP from udn),
+f as (select * from p where coalesce(is_rookie, 0) = 0 and coalesce(G, 0) >= 2), {MEDS_SQL.format(src='f')},
+e as (select * from mpg where coalesce(mpg, 0) >= 15 and coalesce(prev_MP, 0) > 0),
+ok as (select season from e group by season having sum(coalesce(label, 0)) = 1)
+select Player, season from e where season in (select season from ok)
+""")
+def q_e13(spark, sf):
+    e = E.apply_eligibility(_udn_prev(spark, sf), "mip", "season", min_g=2)
+    return E.drop_invalid_periods(e, "season", "label").select("Player", "season")
+
+
+@register("complete_cases", f"""
+with {UDN}, p as (select *, lag(MP) over w as prev_MP, lag(G) over w as prev_G from udn window w as (partition by Player order by season))
+select Player, season from p where prev_MP is not null and prev_G is not null
+""")
+def q_cc(spark, sf):
+    return E.complete_cases(_udn_prev(spark, sf), ["prev_MP", "prev_G"], "any").select("Player", "season")
+
+
+MISSING_SQL = f"""
+with {UDN}, p as (select Player, season, MP, lag(MP) over w as prev_MP, lag(G) over w as prev_G from udn
+                  window w as (partition by Player order by season)),
+r as (select avg(case when Player is null then 1.0 else 0.0 end) as Player, avg(case when season is null then 1.0 else 0.0 end) as season,
+             avg(case when MP is null then 1.0 else 0.0 end) as MP, avg(case when prev_MP is null then 1.0 else 0.0 end) as prev_MP,
+             avg(case when prev_G is null then 1.0 else 0.0 end) as prev_G from p),
+u as (unpivot r on Player, season, MP, prev_MP, prev_G into name "column" value missing_rate)
+"""
+
+
+@register("missing_rate", MISSING_SQL + 'select "column", round(missing_rate, 6) as missing_rate from u')
+def q_missing(spark, sf):
+    df = _udn_prev(spark, sf).select("Player", "season", "MP", "prev_MP", "prev_G")
+    return rounded(E.missing_rates(df))
+
+
+@register("missing_rate_filter", MISSING_SQL + 'select "column", round(missing_rate, 6) as missing_rate from u where missing_rate > 0.02')
+def q_missing_f(spark, sf):
+    # the first day of every user has no previous value: a few percent missing
+    df = _udn_prev(spark, sf).select("Player", "season", "MP", "prev_MP", "prev_G")
+    return rounded(E.missing_rate_filter(df, 0.02))
+
+
+# ---------------------------------------------------------------------------
+# Aggregations
+# ---------------------------------------------------------------------------
+@register("dedup_most_complete", """
+with e as (select e.*, l.quality from events e left join labels l on e.event_id = l.doc_id),
+s as (select *, (case when quality is null then 0 else 1 end) as nn from e),
+r as (select *, row_number() over (partition by user_id, event_type order by nn desc, event_id) as rn from s)
+select user_id, event_type, event_id, quality from r where rn = 1
+""")
+def q_g1(spark, sf):
+    # events carry a quality value only where an event id is also a labelled document id
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("event_id"), "quality")
+    return G.dedup_most_complete(e.join(lab, "event_id", "left"), ["user_id", "event_type"], "event_id")
+
+
+@register("describe_numeric", f"""
+with {UDN}, u as (unpivot (select cast(G as double) as G, cast(GS as double) as GS, MP, PTS from udn) on G, GS, MP, PTS into name feature value value)
+select feature, count(value) as count, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std,
+  round(min(value), 6) as min, round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50,
+  round(quantile_cont(value, 0.75), 6) as p75, round(max(value), 6) as max
+from u group by feature
+""")
+def q_g2(spark, sf):
+    return rounded(G.describe_numeric(_udn(spark, sf), ["G", "GS", "MP", "PTS"]))
+
+
+@register("rows_per_period", f"""
+with {CY} select period, count(*) as n_rows from cy group by period
+""")
+def q_g3(spark, sf):
+    return G.rows_per_period(cust_year(spark, sf), "period")
+
+
+@register("count_wins", f"""
+with {UD}, r as (select entity, period, row_number() over (partition by period order by mp desc, entity) as rk from ud),
+w as (select entity, count(distinct period) as n_wins from r where rk = 1 group by entity)
+select entity, n_wins from w order by n_wins desc, entity limit 15
+""")
+def q_g4(spark, sf):
+    r = W.rank_in_period(_ud(spark, sf), "period", "mp", ["entity"], "mp_rank")
+    return G.count_wins(r, "entity", "period", "mp_rank")
+
+
+@register("count_selections", f"""
+with {UD}, p as (select entity, lag(mp) over (partition by entity order by period) as prev_mp from ud),
+c as (select entity, count(*) as n_selections from p where prev_mp is not null group by entity)
+select entity, n_selections from c order by n_selections desc, entity limit 15
+""")
+def q_g5(spark, sf):
+    p = W.add_prev_features(_ud(spark, sf), "entity", "period", ["mp"])
+    return G.count_selections(p, "entity", "prev_mp")
+
+
+@register("winners_per_period", f"""
+with {UD}, p as (select period, sum(coalesce(is_rookie, 0)) as n_pos from ud group by period)
+select cast(min(n_pos) as double) as min_pos, round(median(n_pos), 6) as median_pos, cast(max(n_pos) as double) as max_pos,
+  count(*) as n_periods, cast(sum(case when n_pos = 0 then 1 else 0 end) as bigint) as n_zero from p
+""")
+def q_g6(spark, sf):
+    # first-day users as the positives: many on day 0, few or none later
+    return rounded(G.winners_per_period(_ud(spark, sf), "period", "is_rookie"))
+
+
+@register("periods_without_positive", f"""
+with {UD} select period from ud group by period having sum(coalesce(is_rookie, 0)) = 0
+""")
+def q_g6b(spark, sf):
+    return G.periods_without_positive(_ud(spark, sf), "period", "is_rookie")
+
+
+SPLIT_UD = f"""{UD}, sp as (select *, case when period >= 27 then 'test' when period >= 24 then 'val' else 'train' end as split from ud)"""
+
+
+@register("label_distribution", f"""
+with {SPLIT_UD},
+cls as (select split, cast(coalesce(label, 0) as integer) as y, count(*) as n from sp group by all),
+tot as (select split, sum(n) as tot from cls group by split),
+span as (select split, min(period) as period_min, max(period) as period_max, avg(cast(coalesce(label, 0) as double)) as positive_rate from sp group by split),
+per as (select split, period, sum(coalesce(label, 0)) as n_pos from sp group by all),
+w as (select split, cast(min(n_pos) as double) as min_pos, median(n_pos) as median_pos, cast(max(n_pos) as double) as max_pos,
+             count(*) as n_periods, cast(sum(case when n_pos = 0 then 1 else 0 end) as bigint) as n_zero from per group by split)
+select cls.split, cls.y, cls.n, round(cls.n / tot.tot, 6) as ratio, span.period_min, span.period_max, round(span.positive_rate, 6) as positive_rate,
+       w.min_pos, round(w.median_pos, 6) as median_pos, w.max_pos, w.n_periods, w.n_zero
+from cls join tot using (split) join span using (split) join w using (split)
+""")
+def q_g7(spark, sf):
+    s = W.temporal_split_last_k(_ud(spark, sf), "period", 3, 3)
+    return rounded(G.label_distribution(s, "split", "label", "period"))
+
+
+@register("describe_split", f"""
+with {SPLIT_UD}
+select split, count(*) as n_rows, count(distinct period) as n_periods, min(period) as period_min, max(period) as period_max,
+       cast(sum(coalesce(label, 0)) as bigint) as n_pos from sp group by split
+""")
+def q_g8(spark, sf):
+    s = W.temporal_split_last_k(_ud(spark, sf), "period", 3, 3)
+    return G.describe_split(s, "split", "period", "label")
+
+
+@register("period_coverage", f"""
+with {CY}, d as (select distinct period from cy)
+select min(period) as period_min, max(period) as period_max, count(*) as n_periods,
+       (select list(period order by period) from (select period from d order by period desc limit 5)) as last_periods
+from d
+""")
+def q_g10(spark, sf):
+    return G.period_coverage(cust_year(spark, sf), "period")
+
+
+@register("correlation_matrix", f"""
+with {UDN}, c as (select cast(G as double) as G, cast(GS as double) as GS, MP, PTS from udn where G is not null and GS is not null and MP is not null and PTS is not null)
+select * from (
+  select 'GS' as col_a, 'G' as col_b, round(covar_samp(GS, G) / (stddev_samp(GS) * stddev_samp(G)), 6) as corr from c
+  union all select 'MP', 'G', round(covar_samp(MP, G) / (stddev_samp(MP) * stddev_samp(G)), 6) from c
+  union all select 'MP', 'GS', round(covar_samp(MP, GS) / (stddev_samp(MP) * stddev_samp(GS)), 6) from c
+  union all select 'PTS', 'G', round(covar_samp(PTS, G) / (stddev_samp(PTS) * stddev_samp(G)), 6) from c
+  union all select 'PTS', 'GS', round(covar_samp(PTS, GS) / (stddev_samp(PTS) * stddev_samp(GS)), 6) from c
+  union all select 'PTS', 'MP', round(covar_samp(PTS, MP) / (stddev_samp(PTS) * stddev_samp(MP)), 6) from c) t
+""")
+def q_g11(spark, sf):
+    return rounded(G.correlation_matrix(_udn(spark, sf), ["G", "GS", "MP", "PTS"]))
+
+
+@register("linear_trend", f"""
+with {CY} select round(regr_slope(mp, cast(period as double)), 6) as slope,
+  round(avg(mp) - regr_slope(mp, cast(period as double)) * avg(cast(period as double)), 2) as intercept,
+  regr_count(mp, cast(period as double)) as n from cy where mp is not null and period is not null
+""")
+def q_g12(spark, sf):
+    # the intercept at year 0 is ~1e7: two engines agree to ~1e-12 relative,
+    # so it is compared at 2 decimals (1e-9 relative)
+    out = G.linear_trend(cust_year(spark, sf), "period", "mp")
+    return rounded(out.withColumn("intercept", F.round("intercept", 2)))
+
+
+@register("box_summary", f"""
+with {UDN}, q as (select season, quantile_cont(MP, 0.25) as q1, quantile_cont(MP, 0.5) as median, quantile_cont(MP, 0.75) as q3,
+                         count(MP) as n from udn group by season),
+f as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lo_fence, q3 + 1.5 * (q3 - q1) as hi_fence from q),
+e as (select u.season, min(case when MP >= lo_fence then MP end) as whisker_lo, max(case when MP <= hi_fence then MP end) as whisker_hi,
+             cast(sum(case when MP < lo_fence or MP > hi_fence then 1 else 0 end) as bigint) as n_outliers
+      from udn u join f using (season) group by u.season)
+select season, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, n, round(iqr, 6) as iqr,
+       round(lo_fence, 6) as lo_fence, round(hi_fence, 6) as hi_fence, round(whisker_lo, 6) as whisker_lo,
+       round(whisker_hi, 6) as whisker_hi, n_outliers
+from f join e using (season)
+""")
+def q_g13(spark, sf):
+    return rounded(G.box_summary(_udn(spark, sf), "season", "MP"))
+
+
+@register("winner_loser_profile", f"""
+with {UDN}, u as (unpivot (select cast(coalesce(label, 0) as integer) as y, cast(G as double) as G, cast(GS as double) as GS, MP from udn)
+                  on G, GS, MP into name feature value value),
+s as (select feature, y, avg(value) as mean, median(value) as median from u group by all),
+w as (select feature, max(case when y = 1 then mean end) as mean_winner, max(case when y = 0 then mean end) as mean_other,
+             max(case when y = 1 then median end) as median_winner, max(case when y = 0 then median end) as median_other from s group by feature)
+select feature, round(mean_winner, 6) as mean_winner, round(mean_other, 6) as mean_other, round(median_winner, 6) as median_winner,
+       round(median_other, 6) as median_other, round(mean_winner - mean_other, 6) as diff
+from w order by abs(mean_winner - mean_other) desc, feature limit 30
+""")
+def q_g14(spark, sf):
+    return rounded(G.winner_loser_profile(_udn(spark, sf), "label", ["G", "GS", "MP"]))
+
+
+@register("class_balance", f"""
+with {DL} select cast(sum(case when quality > 0 then 1 else 0 end) as bigint) as n_pos,
+  cast(sum(case when coalesce(quality, 0) <= 0 then 1 else 0 end) as bigint) as n_neg from dl
+""")
+def q_g15(spark, sf):
+    return G.class_balance(doc_label(spark, sf), "quality")
+
+
+@register("seed_mean_std", f"""
+with {DL} select lang, round(avg(n_words), 6) as n_words_mean, round(coalesce(stddev_samp(n_words), 0), 6) as n_words_std,
+  round(avg(digit_share), 6) as digit_share_mean, round(coalesce(stddev_samp(digit_share), 0), 6) as digit_share_std,
+  count(*) as n_runs from dl group by lang
+""")
+def q_g16(spark, sf):
+    return rounded(G.seed_mean_std(doc_label(spark, sf), ["lang"], ["n_words", "digit_share"]))
+
+
+# ---------------------------------------------------------------------------
+# Joins and set membership
+# ---------------------------------------------------------------------------
+@register("semi_filter", f"""
+with {UDN} select Player, season from udn where Player in (select user_id from events where value > 450)
+""")
+def q_j5(spark, sf):
+    big = table(spark, sf, "events").where(F.col("value") > 450).select("user_id")
+    return J.semi_filter(_udn(spark, sf), "Player", big, "user_id").select("Player", "season")
+
+
+@register("compare_runs", f"""
+with m as ({MBA_SQL}),
+b as (select award, val_mrr, test_mrr, val_hit_at_1 as val_top1, test_hit_at_1 as test_top1 from m where model = 'g'),
+t as (select award, val_mrr, test_mrr, val_hit_at_1 as val_top1, test_hit_at_1 as test_top1 from m where model = 'mp')
+select award, b.val_mrr as baseline_val_mrr, b.test_mrr as baseline_test_mrr, b.val_top1 as baseline_val_top1, b.test_top1 as baseline_test_top1,
+  t.val_mrr as tree_val_mrr, t.test_mrr as tree_test_mrr, t.val_top1 as tree_val_top1, t.test_top1 as tree_test_top1,
+  round(t.val_mrr - b.val_mrr, 6) as delta_val_mrr, round(t.test_mrr - b.test_mrr, 6) as delta_test_mrr,
+  round(t.val_top1 - b.val_top1, 6) as delta_val_top1, round(t.test_top1 - b.test_top1, 6) as delta_test_top1
+from b join t using (award)
+""")
+def q_j6(spark, sf):
+    m = q_mba(spark, sf).withColumnRenamed("val_hit_at_1", "val_top1").withColumnRenamed("test_hit_at_1", "test_top1")
+    return rounded(J.compare_runs(m.where(F.col("model") == "g"), m.where(F.col("model") == "mp"), "award", run_col=None))
+
+
+@register("union_by_name", f"""
+with {UD}, {CY}
+select entity, period, mp, null as Pos, null as Tm from ud
+union all select entity, period, mp, Pos, Tm from cy
+""")
+def q_j7(spark, sf):
+    a = _ud(spark, sf).select("entity", "period", "mp")
+    b = cust_year(spark, sf).select("entity", "period", "mp", "Pos", "Tm")
+    return J.union_by_name(a, b)
+
+
+@register("audit_alignment", f"""
+with {UD}, x as (select entity, period from ud where period > 0)
+select (select count(*) from ud) as n_df, (select count(*) from x) as n_features, (select count(*) from ud) as n_labels,
+  (select count(*) from ud where (entity, period) not in (select (entity, period) from x)) as keys_missing_in_features,
+  cast(0 as bigint) as keys_missing_in_df,
+  (select count(*) from (select period from ud group by period having sum(coalesce(label, 0)) != 1) t) as periods_not_one_winner
+""")
+def q_j8(spark, sf):
+    ud = _ud(spark, sf)
+    feats = ud.where(F.col("period") > 0).select("entity", "period")
+    return J.audit_alignment(ud, feats, ud, ["entity", "period"], "period", "label")
+
+
+# ---------------------------------------------------------------------------
+# Scalar functions and shaping
+# ---------------------------------------------------------------------------
+SEASON_TEXT_SQL = """
+st as (
+  select distinct txt from (
+    select cast(year(o_orderdate) as varchar) as txt from orders
+    union all select cast(year(o_orderdate) - 1 as varchar) || '-' || lpad(cast(year(o_orderdate) % 100 as varchar), 2, '0') from orders
+    union all select ' ' || cast(year(o_orderdate) - 1 as varchar) || ' - ' || cast(year(o_orderdate) as varchar) from orders
+    union all select cast(year(o_orderdate) as varchar) || '-' || lpad(cast((year(o_orderdate) + 5) % 100 as varchar), 2, '0') from orders
+    union all select o_orderpriority from orders
+    union all select o_orderstatus from orders) t)
+"""
+
+
+def _season_texts(spark, sf):
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y"), "o_orderpriority", "o_orderstatus")
+    y = F.col("y")
+    forms = [y.cast("string"),
+             F.concat((y - 1).cast("string"), F.lit("-"), F.lpad((y % 100).cast("string"), 2, "0")),
+             F.concat(F.lit(" "), (y - 1).cast("string"), F.lit(" - "), y.cast("string")),
+             F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 5) % 100).cast("string"), 2, "0")),
+             F.col("o_orderpriority"), F.col("o_orderstatus")]
+    return o.select(F.explode(F.array(*forms)).alias("txt")).distinct()
+
+
+@register("parse_season_end", f"""
+with {SEASON_TEXT_SQL},
+p as (select txt, trim(txt) as s,
+        trim(regexp_extract(trim(txt), '^([^-]*)-(.*)$', 1)) as head, trim(regexp_extract(trim(txt), '^([^-]*)-(.*)$', 2)) as tail from st)
+select txt, case
+  when s is null or s = '' then null
+  when regexp_full_match(s, '[0-9]+') then try_cast(s as integer)
+  when contains(s, '-') and regexp_full_match(head, '[0-9]{{4}}') and regexp_full_match(tail, '[0-9]{{2}}') then
+    case when try_cast(tail as integer) = (try_cast(head as integer) + 1) % 100 then try_cast(head as integer) + 1
+         else try_cast(substr(head, 1, 2) || tail as integer) end
+  when contains(s, '-') and regexp_full_match(tail, '[0-9]{{4}}') then try_cast(tail as integer)
+  else null end as season_end
+from p
+""")
+def q_p3(spark, sf):
+    t = _season_texts(spark, sf)
+    return t.select("txt", S.parse_season_end("txt").alias("season_end"))
+
+
+@register("season_label", f"""
+with {CY} select distinct period, cast(period - 1 as varchar) || '-' || lpad(cast(period % 100 as varchar), 2, '0') as label from cy
+""")
+def q_p4(spark, sf):
+    return cust_year(spark, sf).select("period", S.season_label("period").alias("label")).distinct()
+
+
+@register("as_binary", """
+select o_orderkey, cast(coalesce(o_totalprice - 150000 > 0, false) as integer) as big_order,
+       cast(coalesce(try_cast(o_orderstatus as double) > 0, false) as integer) as status_flag from orders
+""")
+def q_p7(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", S.as_binary(F.col("o_totalprice") - 150000).alias("big_order"),
+                    S.as_binary("o_orderstatus").alias("status_flag"))
+
+
+@register("value_formats", f"""
+with {DL}, x as (select *, {pct_sql('n_words', 'lang')} as p from dl)
+select doc_id, coalesce(case lang when 'en' then 'english' when 'fr' then 'french' end, lang) as lang_name,
+  round(greatest(least(p, 1 - 1e-6), 1e-6), 6) as p_clipped,
+  coalesce(printf('%.3f', digit_share), '') as digit_share_3dp from x
+""")
+def q_p14(spark, sf):
+    d = W.percent_rank_avg(doc_label(spark, sf), "lang", "n_words", names=["p"])
+    return rounded(d.select("doc_id", S.map_values("lang", {"en": "english", "fr": "french"}).alias("lang_name"),
+                            S.clip_probability("p").alias("p_clipped"),
+                            S.format_3dp("digit_share").alias("digit_share_3dp")))
+
+
+@register("to_percent_0_100", f"""
+with {DL}, m as (select max(digit_share) as md, max(n_words) as mw from dl)
+select doc_id, round(case when md <= 1 then digit_share * 100 else digit_share end, 6) as digit_share,
+       round(case when mw <= 1 then n_words * 100 else n_words end, 6) as n_words from dl, m
+""")
+def q_p13(spark, sf):
+    d = doc_label(spark, sf).select("doc_id", "digit_share", "n_words")
+    return rounded(P.to_percent_0_100(d, ["digit_share", "n_words"]))
+
+
+@register("one_hot", f"""
+with {CY} select entity, period,
+  case when coalesce(Pos, 'UNK') = 'AUTOMOBILE' then 1 else 0 end as Pos_AUTOMOBILE,
+  case when coalesce(Pos, 'UNK') = 'BUILDING' then 1 else 0 end as Pos_BUILDING,
+  case when coalesce(Pos, 'UNK') = 'FURNITURE' then 1 else 0 end as Pos_FURNITURE,
+  case when coalesce(Pos, 'UNK') = 'HOUSEHOLD' then 1 else 0 end as Pos_HOUSEHOLD,
+  case when coalesce(Pos, 'UNK') = 'MACHINERY' then 1 else 0 end as Pos_MACHINERY,
+  case when coalesce(Pos, 'UNK') = 'UNK' then 1 else 0 end as Pos_UNK
+from cy
+""")
+def q_p9(spark, sf):
+    oh = P.one_hot(cust_year(spark, sf).select("entity", "period", "Pos"), "Pos")
+    return oh
+
+
+# ---------------------------------------------------------------------------
+# Leakage
+# ---------------------------------------------------------------------------
+@register("corr_leakage", f"""
+with {DL}, x as (select *, cast(quality as double) as quality_copy from dl),
+c as (select 'n_chars' as feature, corr(n_chars, quality) as corr, count(n_chars) as n, stddev_samp(n_chars) as s from x
+      union all select 'n_words', corr(n_words, quality), count(n_words), stddev_samp(n_words) from x
+      union all select 'digit_share', corr(digit_share, quality), count(digit_share), stddev_samp(digit_share) from x
+      union all select 'quality_copy', corr(quality_copy, quality), count(quality_copy), stddev_samp(quality_copy) from x)
+select feature, round(corr, 6) as corr from c where n >= 25 and s > 1e-12 and abs(corr) >= 0.95
+""")
+def q_l2(spark, sf):
+    # a copied label column is the leak the check must find
+    d = doc_label(spark, sf).withColumn("quality_copy", F.col("quality").cast("double"))
+    return rounded(L.corr_leakage(d, "quality", ["n_chars", "n_words", "digit_share", "quality_copy"]))
+
+
+@register("feature_label_corr", f"""
+with {UDN}, c as (
+  select 'G' as feature, corr(cast(G as double), label) as corr, count(*) filter (where G is not null and label is not null) as n, stddev_samp(G) as s from udn
+  union all select 'GS', corr(cast(GS as double), label), count(*) filter (where GS is not null and label is not null), stddev_samp(GS) from udn
+  union all select 'MP', corr(MP, label), count(*) filter (where MP is not null and label is not null), stddev_samp(MP) from udn
+  union all select 'PTS', corr(PTS, label), count(*) filter (where PTS is not null and label is not null), stddev_samp(PTS) from udn)
+select feature, round(abs(corr), 6) as abs_corr, round(corr, 6) as corr from c where n >= 10 and s > 0 and corr is not null
+""")
+def q_l4(spark, sf):
+    return rounded(L.feature_label_corr(_udn(spark, sf), "label", ["G", "GS", "MP", "PTS"]))
+
+
+@register("full_data_points", f"""
+with {UD}, per as (select period, count(*) as r, cast(sum(label) as bigint) as p from ud group by period),
+idx as (select *, row_number() over (order by period) as i, count(*) over () as n from per),
+fr as (select unnest([0.2, 0.4, 0.6, 0.8, 1.0]) as frac),
+pairs as (select fr.frac, idx.* from fr join idx on idx.i <= ceil(fr.frac * idx.n)),
+a as (select 'user_day' as source, 'count' as model, cast(frac as double) as frac, count(*) as n_periods,
+             cast(sum(r) as bigint) as n_train_rows, cast(sum(p) as bigint) as n_pos, 'ok' as status from pairs group by frac),
+m as (select *, max(frac) over (partition by source, model) as mx from a)
+select source, model, frac, n_periods, n_train_rows, n_pos, status from m where frac = mx and status = 'ok'
+""")
+def q_r2(spark, sf):
+    lc = W.learning_curve_folds(_ud(spark, sf), "period", "label").select(
+        F.lit("user_day").alias("source"), F.lit("count").alias("model"), "frac", "n_periods", "n_train_rows",
+        "n_pos", "status")
+    return rounded(K.full_data_points(lc, ["source", "model"], "frac", "status", "n_train_rows"))
