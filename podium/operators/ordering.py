@@ -59,6 +59,41 @@ def n_blocks(df: DataFrame, n: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# inputs the optimizer estimates below this size are one block: no count and
+# no sample job (the estimate is an upper bound for scans, filters, aggregates
+# and joins without cost-based statistics)
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+SMALL_INPUT_CONF = "podium.smallInputBytes"
+
+
+def small_input_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when the optimizer's (upper-bound) size estimate says the input
+    fits comfortably in one task.  Operators then use a plain window or a
+    grouped ``percentile``; above it they take the running-totals path whose
+    tasks stay bounded however large one group grows.  Setting
+    ``podium.smallInputBytes`` to -1 forces the distributed path (tests)."""
+    limit = small_input_bytes(df)
+    if limit < 0:
+        return False
+    est = estimated_bytes(df)
+    return est is not None and est <= limit
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (what ``explain("cost")``
+    prints), or ``None`` when it is unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - an estimate is optional
+        return None
+
+
 def _key_fields(group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]]) -> list[Column]:
     """The ordering as ascending struct fields: group columns, then each order
     column (descending numeric columns are negated)."""
@@ -75,6 +110,10 @@ def _block_bounds(keyed: DataFrame, blocks: int, min_rows: int) -> list:
     sorted by Spark); the bounds come back to the driver as literals, so the
     block of a row is a pure function of its key -- every recomputation (a
     lost executor, a re-planned stage) puts it in the same block."""
+    if blocks <= 1:
+        return []
+    if is_small(keyed):
+        return []
     n = keyed.count()
     want = min(blocks, max(1, -(-n // max(1, min_rows))))
     if want <= 1:
@@ -201,6 +240,13 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     if not group_cols:
         out = exact_quantiles(df.withColumn(_ALL, F.lit(0)), [_ALL], value_col, probs, names, blocks=blocks)
         return out.drop(_ALL)
+    if is_small(df):
+        # small input: Spark's exact ``percentile`` (it buffers each group's values)
+        v = F.col(value_col).cast("double")
+        q = F.percentile(v, [float(p) for p in probs])
+        return (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols)
+                .agg(q.alias("__qs"), F.count(F.lit(1)).alias("n"))
+                .select(*group_cols, *[F.col("__qs")[i].alias(nm) for i, nm in enumerate(names)], "n"))
     pos = value_positions(df, group_cols, value_col, with_total=True, blocks=blocks)
     pos = pos.select(*group_cols, value_col, "_before", F.col("cum__n").alias("_upto"), "_total")
     totals = pos.select(*group_cols, F.col("_total").alias("__N")).distinct()

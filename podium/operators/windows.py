@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col_ref
-from .ordering import _as_list, row_positions, value_positions
+from .ordering import _as_list, is_small, row_positions, value_positions
 
 PREV = "prev_"
 DELTA = "delta_"
@@ -70,6 +70,10 @@ def rank_in_period(df: DataFrame, period_col: str | Sequence[str], score_col: st
     positions come from range-partitioned running counts, not from a window
     over the whole period."""
     groups = _as_list(period_col)
+    if is_small(df):
+        w = Window.partitionBy(*groups).orderBy(F.col(score_col).desc(), *[F.col(t).asc_nulls_first() for t in tiebreak])
+        return df.withColumn(out_col, F.when(F.col(score_col).isNotNull(),
+                                             F.row_number().over(w).cast("long")))
     order = [(score_col, False)] + [(t, True) for t in tiebreak]
     scored = df.where(F.col(score_col).isNotNull())
     ranked = row_positions(scored, groups, order, out_col, blocks=blocks)
@@ -100,6 +104,8 @@ def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Seque
     groups = _as_list(period_col)
     cols = _as_list(cols)
     names = list(names) if names else [f"{c}{suffix}" for c in cols]
+    if is_small(df):
+        return df.select("*", *[_pct_window(c, groups).alias(nm) for c, nm in zip(cols, names)])
     out = df
     for c, nm in zip(cols, names):
         vp = value_positions(df.select(*groups, col_ref(c).alias("__v")), groups, "__v",
@@ -112,6 +118,17 @@ def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Seque
     return out
 
 
+def _pct_window(c: str, groups: list) -> "F.Column":
+    """Small-input form of W4 (R1): (rank + (ties - 1) / 2) / non-null count,
+    all windows clustered by the period, so one exchange serves them all."""
+    x = col_ref(c)
+    w_order = Window.partitionBy(*groups).orderBy(x.asc_nulls_last())
+    w_tie = Window.partitionBy(*groups, x)
+    w_all = Window.partitionBy(*groups)
+    avg_rank = F.rank().over(w_order).cast("double") + (F.count(F.lit(1)).over(w_tie) - 1).cast("double") / 2.0
+    return F.when(x.isNotNull(), avg_rank / F.count(x).over(w_all).cast("double"))
+
+
 def _and(conds):
     from functools import reduce
     return reduce(lambda a, b: a & b, conds)
@@ -262,3 +279,31 @@ def group_zscore(df: DataFrame, period_col: str, cols: Sequence[str], suffix: st
          .alias(f"{c}{suffix}") for i, c in enumerate(cols)]
     return j.select(*[col_ref(c) for c in df.columns], *z)
 
+
+
+def season_percentiles(df: DataFrame, period_col: str, cols: Sequence[str], key_cols: Sequence[str],
+                       prefix: str = "pct_", *, blocks: int | None = None) -> DataFrame:
+    """``pct_c`` = W4 percentile of every listed column within its period,
+    for many columns in one pass: the columns are unpivoted to (key, period,
+    feature, value), equal values are folded per (period, feature), ranks come
+    from running counts, and one grouped pivot brings the percentiles back to
+    the rows (``key_cols`` + period must be unique).  The number of shuffles
+    does not grow with the number of columns."""
+    cols = list(cols)
+    key_cols = [k for k in key_cols if k != period_col]
+    if is_small(df):
+        return df.select("*", *[_pct_window(c, [period_col]).alias(f"{prefix}{c}") for c in cols])
+    long = df.select(*[F.col(k) for k in key_cols], F.col(period_col), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("f"), col_ref(c).cast("double").alias("v")) for c in cols])).alias("__fv"))
+    long = long.select(*key_cols, period_col, F.col("__fv.f").alias("__f"), F.col("__fv.v").alias("__v"))
+    vp = value_positions(long.select(period_col, "__f", "__v"), [period_col, "__f"], "__v", with_total=True,
+                         blocks=blocks)
+    pct = vp.select(F.col(period_col).alias("__p"), F.col("__f").alias("__pf"), F.col("__v").alias("__pv"),
+                    (F.col("_avg_rank") / F.col("_total").cast("double")).alias("__pct"))
+    cond = ((long[period_col].eqNullSafe(pct["__p"])) & (long["__f"] == pct["__pf"]) & (long["__v"] == pct["__pv"]))
+    lp = long.join(pct, cond, "left")
+    wide = lp.groupBy(*[F.col(k).alias(f"__k_{k}") for k in key_cols], F.col(period_col).alias("__k_period")).agg(
+        *[F.max(F.when(F.col("__f") == c, F.col("__pct"))).alias(f"{prefix}{c}") for c in cols])
+    jc = [df[k].eqNullSafe(wide[f"__k_{k}"]) for k in key_cols] + [df[period_col].eqNullSafe(wide["__k_period"])]
+    j = df.join(wide, _and(jc), "left")
+    return j.select(*[col_ref(c) for c in df.columns], *[F.col(f"{prefix}{c}") for c in cols])

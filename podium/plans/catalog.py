@@ -1022,3 +1022,93 @@ def q_r2(spark, sf):
         F.lit("user_day").alias("source"), F.lit("count").alias("model"), "frac", "n_periods", "n_train_rows",
         "n_pos", "status")
     return rounded(K.full_data_points(lc, ["source", "model"], "frac", "status", "n_train_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Feature building and dataset builders
+# ---------------------------------------------------------------------------
+from . import datasets as B  # noqa: E402
+
+
+@register("season_percentiles", f"""
+with {UDN} select Player, season, round({pct_sql('G', 'season')}, 6) as pct_G, round({pct_sql('GS', 'season')}, 6) as pct_GS,
+  round({pct_sql('MP', 'season')}, 6) as pct_MP from udn
+""")
+def q_u3(spark, sf):
+    out = W.season_percentiles(_udn(spark, sf), "season", ["G", "GS", "MP"], ["Player"])
+    return rounded(out.select("Player", "season", "pct_G", "pct_GS", "pct_MP"))
+
+
+def _facts(spark, sf):
+    """user_day facts with per-day percentiles and an explicit row id."""
+    u = _udn(spark, sf).withColumn("__row_id", F.col("Player") * 100 + F.col("season"))
+    return W.season_percentiles(u, "season", ["G", "GS", "MP"], ["Player"])
+
+
+FACTS_SQL = f"""{UDN}, facts as (select *, Player * 100 + season as __row_id, {pct_sql('G', 'season')} as pct_G,
+  {pct_sql('GS', 'season')} as pct_GS, {pct_sql('MP', 'season')} as pct_MP from udn)"""
+
+
+@register("training_table", f"""
+with {FACTS_SQL}, pos as (select * from facts where coalesce(MP, 0) > 0), {MEDS_SQL.format(src='pos')}
+select season, Player, __row_id, round(pct_G, 6) as pct_G, round(pct_GS, 6) as pct_GS, round(pct_MP, 6) as pct_MP,
+  cast(coalesce(label > 0, false) as integer) as label
+from mpg where coalesce(mpg, 0) >= 25
+""")
+def q_b2(spark, sf):
+    out, spec = B.build_training_table(_facts(spark, sf), "mvp", "label", entity_col="Player", period_col="season")
+    return rounded(out)
+
+
+@register("training_table_mip", f"""
+with {FACTS_SQL},
+p as (select *, lag(pct_G) over w as prev_pct_G, lag(pct_GS) over w as prev_pct_GS, lag(pct_MP) over w as prev_pct_MP,
+             lag(MP) over w as prev_MP from facts window w as (partition by Player order by season, __row_id)),
+f as (select * from p where season > (select min(season) from facts) and coalesce(is_rookie, 0) = 0 and coalesce(G, 0) >= 2),
+{MEDS_SQL.format(src='f')}
+select season, Player, __row_id, round(pct_G, 6) as pct_G, round(pct_GS, 6) as pct_GS, round(pct_MP, 6) as pct_MP,
+  round(prev_pct_G, 6) as prev_pct_G, round(prev_pct_GS, 6) as prev_pct_GS, round(prev_pct_MP, 6) as prev_pct_MP,
+  round(pct_G - prev_pct_G, 6) as delta_pct_G, round(pct_GS - prev_pct_GS, 6) as delta_pct_GS, round(pct_MP - prev_pct_MP, 6) as delta_pct_MP,
+  cast(coalesce(label > 0, false) as integer) as label
+from mpg where coalesce(mpg, 0) >= 15 and coalesce(prev_MP, 0) > 0
+""")
+def q_b2m(spark, sf):
+    out, spec = B.build_training_table(_facts(spark, sf), "mip", "label", entity_col="Player", period_col="season",
+                                       eligibility={"min_g": 2})
+    return rounded(out)
+
+
+@register("target_matrix", f"""
+with {FACTS_SQL}, t as (select * from facts where season = 20), pos as (select * from t where coalesce(MP, 0) > 0),
+{MEDS_SQL.format(src='pos')}
+select season, Player, __row_id, round(pct_G, 6) as pct_G, round(pct_GS, 6) as pct_GS, round(pct_MP, 6) as pct_MP
+from mpg where coalesce(mpg, 0) >= 25
+""")
+def q_b1(spark, sf):
+    f = _facts(spark, sf)
+    hist = f.where(F.col("season") < 20).drop("__row_id")
+    target = f.where(F.col("season") == 20)
+    out, spec = B.build_target_matrix(hist, target, 20, "mvp")
+    return rounded(out)
+
+
+@register("award_dataset", f"""
+with {UDN}
+select Player, season, G, GS, MP, cast(coalesce(label, 0) as integer) as y from udn
+where coalesce(GS / nullif(cast(G as double), 0), 0) < 0.5 and coalesce(MP, 0) > 0
+""")
+def q_b3(spark, sf):
+    u = _udn(spark, sf)
+    return rounded(B.build_award_dataset(u, E.eligible_smoy(u, "season"), "label", ["G", "GS", "MP"], ["Player", "season"]))
+
+
+@register("mip_dataset", f"""
+with {UDN}, p as (select *, lag(season) over w as ps, lag(G) over w as pg, lag(MP) over w as pm from udn
+                  window w as (partition by Player order by season))
+select Player, season, MP, G, round(MP - pm, 6) as delta_MP, round(cast(G as double) - pg, 6) as delta_G,
+  pg as prev_G, 1 as mip_has_prev_season, cast(coalesce(label, 0) as integer) as y
+from p where ps = season - 1 and coalesce(is_rookie, 0) != 1 and coalesce(G, 0) >= 2 and coalesce(pg, 0) >= 2
+""")
+def q_b4(spark, sf):
+    out = B.build_mip_dataset(_udn(spark, sf), "Player", "season", "label", ["MP", "G"], min_g=2, min_g_prev=2)
+    return rounded(out)
