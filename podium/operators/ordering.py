@@ -89,7 +89,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of a plan (what ``explain("cost")``
     prints), or ``None`` when it is unavailable."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # statistics of the analysed plan: no optimiser run, and without
+        # cost-based statistics an upper bound of the optimised estimate
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - an estimate is optional
         return None
 

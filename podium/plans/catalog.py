@@ -1112,3 +1112,149 @@ from p where ps = season - 1 and coalesce(is_rookie, 0) != 1 and coalesce(G, 0)
 def q_b4(spark, sf):
     out = B.build_mip_dataset(_udn(spark, sf), "Player", "season", "label", ["MP", "G"], min_g=2, min_g_prev=2)
     return rounded(out)
+
+
+# ---------------------------------------------------------------------------
+# Model preprocessing (exact, SQL-checkable) and model selection on given scores
+# ---------------------------------------------------------------------------
+from . import models as ML  # noqa: E402
+from . import studies as ST  # noqa: E402
+from . import predict as PR  # noqa: E402
+from ..sources import readers as R  # noqa: E402
+from ..sources import writers as WR  # noqa: E402
+
+
+@register("median_impute", f"""
+with {UDN}, p as (select Player, season, lag(MP) over w as prev_MP, cast(lag(G) over w as double) as prev_G from udn
+                  window w as (partition by Player order by season)),
+m as (select median(prev_MP) as mm, median(prev_G) as mg from p where season < 24)
+select Player, season, round(coalesce(prev_MP, mm), 6) as prev_MP, round(coalesce(prev_G, mg), 6) as prev_G from p, m
+""")
+def q_ml1(spark, sf):
+    # medians fitted on the training days (< 24) only, applied to every row
+    p = _udn_prev(spark, sf).select("Player", "season", "prev_MP", F.col("prev_G").cast("double").alias("prev_G"))
+    imp = ML.MedianImputer.fit(p.where(F.col("season") < 24), ["prev_MP", "prev_G"])
+    return rounded(imp.transform(p))
+
+
+@register("median_table", f"""
+with {UDN}, p as (select lag(MP) over w as prev_MP, cast(lag(G) over w as double) as prev_G, MP from udn
+                  window w as (partition by Player order by season))
+select 'prev_MP' as feature, round(median(prev_MP), 6) as median from p
+union all select 'prev_G', round(median(prev_G), 6) from p
+union all select 'MP', round(median(MP), 6) from p
+""")
+def q_ml1b(spark, sf):
+    p = _udn_prev(spark, sf)
+    return rounded(ML.median_table(p, ["prev_MP", "prev_G", "MP"]))
+
+
+@register("scale_table", f"""
+with {UDN}, u as (unpivot (select cast(G as double) as G, cast(GS as double) as GS, MP from udn) on G, GS, MP into name feature value v)
+select feature, round(avg(v), 6) as mean,
+  round(case when coalesce(stddev_pop(v), 0) = 0 then 1.0 else stddev_pop(v) end, 6) as scale from u group by feature
+""")
+def q_ml2(spark, sf):
+    return rounded(ML.scale_table(_udn(spark, sf), ["G", "GS", "MP"]))
+
+
+@register("class_weights", f"""
+with {DL}, c as (select cast(coalesce(quality, 0) as integer) as y, count(*) as n_class from dl group by 1)
+select y, n_class, round((select count(*) from dl) / (2.0 * n_class), 6) as weight from c
+""")
+def q_ml9(spark, sf):
+    return rounded(ML.class_weights(doc_label(spark, sf), "quality"))
+
+
+GIVEN_SCORES_SQL = f"""
+{UD}, s as (
+  select period as award, 'baseline' as family, entity, mp / 1000.0 as score from ud
+  union all select period, 'tree', entity, cast(gs as double) / 10.0 from ud),
+tops as (select award, family, max(score) as top1_score from s group by all),
+ch as (select award, family, top1_score from (
+  select *, row_number() over (partition by award order by top1_score desc, case family when 'baseline' then 0 else 1 end) as rn
+  from tops) t where rn = 1)
+"""
+
+
+def _given_scores(spark, sf):
+    # two candidate score columns per day, as two model families
+    ud = _ud(spark, sf)
+    a = ud.select(F.col("period").alias("award"), F.lit("baseline").alias("family"), "entity",
+                  (F.col("mp") / 1000.0).alias("score"))
+    b = ud.select(F.col("period").alias("award"), F.lit("tree").alias("family"), "entity",
+                  (F.col("gs").cast("double") / 10.0).alias("score"))
+    return a.unionByName(b)
+
+
+@register("select_family", f"with {GIVEN_SCORES_SQL} select award, family, round(top1_score, 6) as top1_score from ch")
+def q_ml12(spark, sf):
+    return rounded(ST.select_family(_given_scores(spark, sf)))
+
+
+@register("prediction_audit", f"""
+with {GIVEN_SCORES_SQL}
+select t.award, t.family, round(t.top1_score, 6) as top1_score, cast(t.family = ch.family as integer) as chosen,
+  'asof=2024-01-30' as snapshot, 29 as period, '28-29' as season_label
+from tops t left join ch using (award)
+""")
+def q_s12(spark, sf):
+    sc = _given_scores(spark, sf)
+    audit = WR.prediction_audit(sc, ST.select_family(sc), "asof=2024-01-30", 29)
+    return rounded(audit.drop("built_on"))
+
+
+@register("latest_runs", """
+with r as (select o_orderkey, o_orderpriority as award, strftime(o_orderdate, '%Y%m%d_%H%M%S') as run_id from orders),
+m as (select award, max(run_id) as newest from r where regexp_full_match(run_id, '\\d{8}_\\d{6}') group by award)
+select o_orderkey, award, run_id from r join m using (award) where run_id = newest
+""")
+def q_s5(spark, sf):
+    # order dates as run ids, order priorities as the groups
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("award"),
+                                          F.date_format("o_orderdate", "yyyyMMdd_HHmmss").alias("run_id"))
+    return R.latest_runs(o, ["award"], "run_id")
+
+
+# ---------------------------------------------------------------------------
+# Fit-dependent queries (rows-only: solver output is not SQL)
+# ---------------------------------------------------------------------------
+FEATURES = ["pct_G", "pct_GS", "pct_MP"]
+
+
+def _split_facts(spark, sf):
+    t, _ = B.build_training_table(_facts(spark, sf), "mvp", "label", entity_col="Player", period_col="season")
+    return W.temporal_split_last_k(t, "season", 3, 3)
+
+
+def _small_grid():
+    # the reference grid with fewer trees / boosting rounds for a quick check
+    return ML.model_grid(rf={"num_trees": 30, "max_depth": 8}, hgb={"max_iter": 20, "max_depth": 4})
+
+
+@register("model_metrics_by_award")
+def q_ml10(spark, sf):
+    table_ = _split_facts(spark, sf)
+    scored = ST.fit_on_split(table_, FEATURES, "label", "season", ["Player"], _small_grid(), award="mvp",
+                             keep=["__row_id"])
+    return rounded(M.metrics_by_award(scored, "season", "score", "label", ["Player"]))
+
+
+@register("linear_coefficients")
+def q_ml14(spark, sf):
+    table_ = _split_facts(spark, sf)
+    fm = ML.fit_model(table_.where(F.col("split") == "train"), FEATURES, "label", ML.model_grid(["logreg_l2"])[0])
+    return rounded(ML.linear_coefficients(fm))
+
+
+@register("predict_period")
+def q_ml13(spark, sf):
+    f = _facts(spark, sf)
+    train, _ = B.build_training_table(f.where(F.col("season") < 29), "mvp", "label", entity_col="Player",
+                                      period_col="season")
+    specs = {s.family: s for s in ML.model_grid(["logreg_l2", "rf"], rf={"num_trees": 30, "max_depth": 8})}
+    fams = {"baseline": ML.fit_model(train, FEATURES, "label", specs["linear"]),
+            "tree": ML.fit_model(train, FEATURES, "label", specs["tree"])}
+    out, choice = PR.predict_period(f.where(F.col("season") < 29).drop("__row_id"), f.where(F.col("season") == 29),
+                                    29, {"mvp": fams})
+    return rounded(out)
