@@ -109,9 +109,11 @@ def latest_runs(runs: DataFrame, group_cols: Sequence[str] = ("award",), run_col
 
 
 def read_latest_run(spark: SparkSession, root: str, group_cols: Sequence[str] = ("award",),
-                    run_col: str = "run_id") -> DataFrame:
-    """S5 over a table written partitioned by ``award`` and ``run_id``."""
-    return latest_runs(nan_to_null(spark.read.parquet(root)), group_cols, run_col)
+                    run_col: str = "run_id", fmt: str = "parquet") -> DataFrame:
+    """S5 over a table written partitioned by ``award`` and ``run_id``
+    (Parquet winner ranks, or ``fmt="json"`` for the metrics records)."""
+    df = spark.read.option("basePath", root).format(fmt).load(root)
+    return latest_runs(nan_to_null(df.withColumn(run_col, F.col(run_col).cast("string"))), group_cols, run_col)
 
 
 def path_join(*parts: str) -> str:
