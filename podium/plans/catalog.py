@@ -1258,3 +1258,90 @@ def q_ml13(spark, sf):
     out, choice = PR.predict_period(f.where(F.col("season") < 29).drop("__row_id"), f.where(F.col("season") == 29),
                                     29, {"mvp": fams})
     return rounded(out)
+
+
+# ---------------------------------------------------------------------------
+# Upstream steps, projections, reports
+# ---------------------------------------------------------------------------
+from ..operators import matching as U  # noqa: E402
+from ..functions import names as N  # noqa: E402
+
+
+@register("merge_sources", f"""
+with {UD}, ev as (select user_id as entity, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as integer) as period,
+                         count(*) filter (where event_type = 'click') as clicks, round(max(value), 6) as max_value
+                  from events group by 1, 2)
+select ud.entity, ud.period, ud.mp, ev.clicks as ev_clicks, ev.max_value as ev_max_value
+from ud left join ev on ud.entity = ev.entity and ud.period = ev.period
+""")
+def q_u2(spark, sf):
+    ev = table(spark, sf, "events")
+    src = ev.groupBy(F.col("user_id").alias("entity"),
+                     F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("period")).agg(
+        F.count(F.when(F.col("event_type") == "click", 1)).alias("clicks"),
+        F.round(F.max("value"), 6).alias("max_value"))
+    base = _ud(spark, sf).select("entity", "period", "mp")
+    return U.merge_sources(base, {"ev_": src}, ["entity", "period"])
+
+
+@register("entity_match", """
+with l as (select c_custkey as left_id, c_name as left_name,
+                  trim(regexp_replace(lower(trim(replace(c_name, 'Customer#', 'Supplier '))), '[^a-z0-9]+', ' ', 'g')) as key from customer),
+r as (select s_suppkey as right_id, s_name as right_name,
+             trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', ' ', 'g')) as key from supplier),
+b as (select key, min(right_id) as right_id from r where key != '' group by key),
+bb as (select b.key, b.right_id, r.right_name from b join r on b.right_id = r.right_id and b.key = r.key)
+select l.left_id, l.left_name, l.key, bb.right_id, bb.right_name from l left join bb on l.key = bb.key
+""")
+def q_u1(spark, sf):
+    # customer names re-spelled with the supplier prefix: numbers shared by both tables match
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.regexp_replace("c_name", "Customer#", "Supplier ").alias("c_name"))
+    s = table(spark, sf, "supplier")
+    m = U.entity_match(c, s, "c_name", "s_name", "c_custkey", "s_suppkey")
+    orig = table(spark, sf, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_name").alias("__raw"))
+    return m.join(orig, "left_id").select("left_id", F.col("__raw").alias("left_name"), "key", "right_id", "right_name")
+
+
+@register("normalize_importance", f"""
+with {UDN}, c as (
+  select 'G' as name, corr(cast(G as double), label) as coefficient from udn
+  union all select 'GS', corr(cast(GS as double), label) from udn
+  union all select 'MP', corr(MP, label) from udn)
+select name as feature, round(coefficient, 6) as value, cast(null as double) as std, round(abs(coefficient), 6) as abs_value from c
+""")
+def q_p16(spark, sf):
+    fl = L.feature_label_corr(_udn(spark, sf), "label", ["G", "GS", "MP"])
+    return rounded(P.normalize_importance(fl.select(F.col("feature").alias("name"), F.col("corr").alias("coefficient"))))
+
+
+@register("select_features", f"""
+with {FACTS_SQL} select Player, season, round(pct_G, 6) as pct_G, round(pct_GS, 6) as pct_GS, round(pct_MP, 6) as pct_MP from facts
+""")
+def q_f2(spark, sf):
+    f = _facts(spark, sf).withColumn("pct_is_mvp_winner", F.col("label").cast("double"))
+    # the label-derived pct_is_mvp_winner column is a leak by name and is not selected
+    return rounded(P.select_features(f, N.infer_percentile_cols, keep=["Player", "season"]))
+
+
+@register("leakage_report", f"""
+with {UDN}, x as (select *, cast(label as double) as label_copy from udn),
+c as (select 'G' as feature, corr(cast(G as double), label) as corr, count(G) as n, stddev_samp(G) as s from x
+      union all select 'MP', corr(MP, label), count(MP), stddev_samp(MP) from x
+      union all select 'label_copy', corr(label_copy, label), count(label_copy), stddev_samp(label_copy) from x
+      union all select 'mvp_share', corr(MP, label), count(MP), stddev_samp(MP) from x)
+select 'name' as kind, 'mvp_share' as feature, cast(null as double) as corr
+union all select 'name', 'label_copy', cast(null as double)
+union all select 'corr', feature, round(corr, 6) from c where n >= 25 and s > 1e-12 and abs(corr) >= 0.95
+""")
+def q_l3(spark, sf):
+    x = (_udn(spark, sf).withColumn("label_copy", F.col("label").cast("double"))
+         .withColumn("mvp_share", F.col("MP")).select("G", "MP", "label_copy", "mvp_share", "label"))
+    return rounded(L.leakage_report(x, "label", "mvp"))
+
+
+@register("feature_audit")
+def q_f9(spark, sf):
+    f = _facts(spark, sf).withColumn("empty_stat", F.lit(None).cast("double")).withColumn(
+        "teams_list", F.array(F.lit("a")))
+    return P.feature_audit(f)
