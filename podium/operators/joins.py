@@ -27,19 +27,22 @@ def prev_period_join(df: DataFrame, entity_col: str, period_col: str, cols: Sequ
     the table with itself shifted by one period when (entity, period) is
     unique (``validate`` checks that, as the reference's one-to-one merge
     does).  Computed with one entity window (lag plus a gap check) instead of
-    a self-join, so the table is shuffled once."""
+    a self-join, so the table is shuffled at most once (not at all when it is
+    already partitioned by entity)."""
     if validate:
         assert_unique_key(df, [entity_col, period_col])
-    salt = F.when(F.col(entity_col).isNull(),
-                  F.xxhash64(*[col_ref(c) for c in df.columns])).otherwise(F.lit(0).cast("long"))
-    tmp = df.withColumn("__salt", salt)
-    w = Window.partitionBy(entity_col, "__salt").orderBy(F.col(period_col).asc_nulls_first())
-    strict = (F.col(entity_col).isNotNull()
-              & (F.lag(F.col(period_col), 1).over(w) == F.col(period_col) - F.lit(1)))
+    w = Window.partitionBy(entity_col).orderBy(F.col(period_col).asc_nulls_first())
+    strict = F.lag(F.col(period_col), 1).over(w) == F.col(period_col) - F.lit(1)
     outs = [F.when(strict, F.lag(col_ref(c), 1).over(w)).alias(f"{prefix}{c}") for c in cols]
     if flag_col:
         outs.append(F.coalesce(strict, F.lit(False)).cast("int").alias(flag_col))
-    return tmp.select(*[col_ref(c) for c in df.columns], *outs)
+    known = df.where(F.col(entity_col).isNotNull()).select(*[col_ref(c) for c in df.columns], *outs)
+    nulls = [F.lit(None).cast(df.schema[c].dataType).alias(f"{prefix}{c}") for c in cols]
+    if flag_col:
+        nulls.append(F.lit(0).alias(flag_col))
+    # rows without an entity have no previous period and never enter the window
+    unknown = df.where(F.col(entity_col).isNull()).select(*[col_ref(c) for c in df.columns], *nulls)
+    return known.unionByName(unknown)
 
 
 def row_id_join(left: DataFrame, right: DataFrame, row_id_col: str = "__row_id", how: str = "inner") -> DataFrame:

@@ -37,18 +37,19 @@ def add_prev_features(df: DataFrame, entity_col: str, period_col: str,
                       prefix: str = PREV) -> DataFrame:
     """``prev_c`` = value of ``c`` on the entity's previous *row* in period
     order (row-based lag 1, so a gap is skipped, see T8).  All columns share
-    one window, in one projection.  Rows with a NULL entity get NULL (T4); they
-    are spread over many window partitions by a hash salt instead of being
-    gathered into one."""
+    one window, in one projection, partitioned by the entity alone (so an
+    input already hash-partitioned by entity is not shuffled again).  Rows
+    with a NULL entity get NULL (T4) without entering the window, so they can
+    never pile up in one partition."""
     cols = default_prev_cols(df, entity_col, period_col) if cols is None else list(cols)
-    salt = F.when(F.col(entity_col).isNull(),
-                  F.xxhash64(*[col_ref(c) for c in df.columns])).otherwise(F.lit(0).cast("long"))
-    tmp = df.withColumn("__salt", salt)
-    w = Window.partitionBy(entity_col, "__salt").orderBy(
+    w = Window.partitionBy(entity_col).orderBy(
         F.col(period_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak])
-    lagged = [F.when(F.col(entity_col).isNotNull(), F.lag(col_ref(c), 1).over(w)).alias(f"{prefix}{c}")
-              for c in cols]
-    return tmp.select(*[col_ref(c) for c in df.columns], *lagged)
+    known = df.where(F.col(entity_col).isNotNull()).select(
+        *[col_ref(c) for c in df.columns], *[F.lag(col_ref(c), 1).over(w).alias(f"{prefix}{c}") for c in cols])
+    unknown = df.where(F.col(entity_col).isNull()).select(
+        *[col_ref(c) for c in df.columns],
+        *[F.lit(None).cast(df.schema[c].dataType).alias(f"{prefix}{c}") for c in cols])
+    return known.unionByName(unknown)
 
 
 def add_delta_features(df: DataFrame, cols: Sequence[str], prefix: str = DELTA,
