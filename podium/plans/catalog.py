@@ -1345,3 +1345,38 @@ def q_f9(spark, sf):
     f = _facts(spark, sf).withColumn("empty_stat", F.lit(None).cast("double")).withColumn(
         "teams_list", F.array(F.lit("a")))
     return P.feature_audit(f)
+
+
+@register("to_number", """
+select o_orderkey, try_cast(o_orderpriority as double) as priority_number,
+       try_cast(substr(o_orderpriority, 1, 1) as double) as priority_level,
+       try_cast(o_orderstatus as double) as status_number from orders
+""")
+def q_p1(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", S.to_number("o_orderpriority").alias("priority_number"),
+                    S.to_number(F.substring("o_orderpriority", 1, 1)).alias("priority_level"),
+                    S.to_number("o_orderstatus").alias("status_number"))
+
+
+@register("align_features", f"""
+with {DL} select doc_id, round(n_words, 6) as n_words, 0.0 as missing_feature, round(digit_share, 6) as digit_share from dl
+""")
+def q_p11(spark, sf):
+    # the model's columns in its order: a missing training column becomes 0.0, extras are dropped
+    d = P.select_numeric(doc_label(spark, sf))
+    return rounded(P.align_features(d, ["n_words", "missing_feature", "digit_share"], keep=["doc_id"]))
+
+
+@register("inf_to_null", """
+select o_orderkey,
+  cast(case when isinf(exp(o_totalprice / 100)) or isnan(exp(o_totalprice / 100)) then null
+            else exp(o_totalprice / 100) end is not null as integer) as is_finite,
+  round(o_totalprice, 6) as price from orders
+""")
+def q_p12(spark, sf):
+    # exp overflows to +infinity for most prices / 100 (above ~709.78): those become NULL
+    o = table(spark, sf, "orders")
+    v = S.inf_to_null(F.exp(F.col("o_totalprice") / 100))
+    return rounded(o.select("o_orderkey", v.isNotNull().cast("int").alias("is_finite"),
+                            F.col("o_totalprice").alias("price")))
