@@ -235,3 +235,9 @@ def seed_mean_std(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
                  F.coalesce(F.stddev_samp(col_ref(c)), F.lit(0.0)).alias(f"{c}_std")]
     aggs.append(F.count(F.lit(1)).alias("n_runs"))
     return df.groupBy(*group_cols).agg(*aggs)
+
+
+def missing_rate(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NULL share per column, sorted descending (one aggregation)."""
+    from .eligibility import missing_rates
+    return missing_rates(df, cols)

@@ -192,3 +192,17 @@ def generalization_gap(df: DataFrame, val_col: str = "val_auc", test_col: str =
                        out_col: str = "gap") -> DataFrame:
     """M9: ``test - val`` per row (NULL if either is NULL)."""
     return df.withColumn(out_col, F.col(test_col) - F.col(val_col))
+
+
+def top1(df: DataFrame, period_col: str, score_col: str, label_col: str, tiebreak: Sequence[str],
+         group_cols: Sequence[str] = ()) -> DataFrame:
+    """M2: share of positive rows ranked first in their period."""
+    return topk_accuracy(df, period_col, score_col, label_col, tiebreak, (1,), group_cols).select(
+        *group_cols, "top1")
+
+
+def mrr(df: DataFrame, period_col: str, score_col: str, label_col: str, tiebreak: Sequence[str],
+        group_cols: Sequence[str] = ()) -> DataFrame:
+    """M2: mean reciprocal rank over positive rows."""
+    return topk_accuracy(df, period_col, score_col, label_col, tiebreak, (1,), group_cols).select(
+        *group_cols, "mrr")

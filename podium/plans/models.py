@@ -151,6 +151,12 @@ MODEL_GRID = [
     ModelSpec("hgb", "tree", "gbt", {"max_iter": 400, "max_depth": 6, "step_size": 0.05}, scale=False, weighted=False),
     ModelSpec("rf", "tree", "rf", {"num_trees": 400, "max_depth": 20, "seed": 0}, scale=False),
 ]
+# further variants used by the studies and the notebooks
+EXTRA_MODELS = [
+    ModelSpec("logreg_l1", "linear", "logreg", {"C": LOGREG_C, "l1_ratio": 1.0, "max_iter": 1500}),
+    ModelSpec("logreg_unweighted", "linear", "logreg", {"C": LOGREG_C, "l1_ratio": 0.0, "max_iter": 1500},
+              weighted=False),
+]
 # ---------------------------------------------------------------------------
 
 
@@ -158,7 +164,7 @@ def model_grid(names: Sequence[str] | None = None, **overrides) -> list[ModelSpe
     """The model grid, optionally restricted to ``names``; ``overrides`` maps
     a model name to parameter changes (for example fewer trees in a test)."""
     out = []
-    for m in MODEL_GRID:
+    for m in MODEL_GRID + (EXTRA_MODELS if names is not None else []):
         if names is not None and m.name not in names:
             continue
         p = {**m.params, **overrides.get(m.name, {})}
@@ -333,3 +339,68 @@ def load_model(path: str) -> FittedModel:
     scaler = Scaler(meta["scale"], meta["mean"], meta["with_mean"]) if meta["scale"] is not None else None
     return FittedModel(spec, meta["features"], MedianImputer(meta["medians"], meta["dropped"]), scaler, models,
                        [tuple(c) for c in meta["calibrators"]])
+
+
+# ---------------------------------------------------------------------------
+# Names of the survey inventory
+# ---------------------------------------------------------------------------
+def median_impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """ML1: fill NULL / non-finite values of ``cols`` in ``df`` with exact
+    medians fitted on ``train``."""
+    return MedianImputer.fit(train, cols).transform(df)
+
+
+def scale(train: DataFrame, df: DataFrame, cols: Sequence[str], with_mean: bool = False) -> DataFrame:
+    """ML2: divide by the population std fitted on ``train`` (optionally
+    centre)."""
+    return Scaler.fit(train, cols, with_mean).transform(df)
+
+
+def class_weight_balanced(df: DataFrame, label_col: str, out_col: str = WEIGHT) -> DataFrame:
+    """ML9: attach balanced class weights."""
+    return with_class_weights(df, label_col, out_col)
+
+
+def _spec(name: str, **params) -> ModelSpec:
+    m = model_grid([name])[0]
+    return ModelSpec(m.name, m.family, m.kind, {**m.params, **params}, m.scale, m.weighted)
+
+
+def logreg_l2(**params) -> ModelSpec:
+    """ML3: L2 logistic regression, balanced classes."""
+    return _spec("logreg_l2", **params)
+
+
+def logreg_elasticnet(l1_ratio: float = ELASTICNET_L1_RATIO, **params) -> ModelSpec:
+    """ML4: elastic-net logistic regression, balanced classes."""
+    return _spec("logreg_elasticnet", l1_ratio=l1_ratio, **params)
+
+
+def logreg_l1(**params) -> ModelSpec:
+    """ML4: L1 logistic regression, balanced classes."""
+    return _spec("logreg_l1", **params)
+
+
+def logreg_unweighted(**params) -> ModelSpec:
+    """ML5: logistic regression without class weights."""
+    return _spec("logreg_unweighted", **params)
+
+
+def linear_svm_calibrated(**params) -> ModelSpec:
+    """ML6: linear SVM with sigmoid calibration over folds."""
+    return _spec("linear_svm_calibrated", **params)
+
+
+def random_forest(**params) -> ModelSpec:
+    """ML7: random forest, balanced classes."""
+    return _spec("rf", **params)
+
+
+def gradient_boosting(**params) -> ModelSpec:
+    """ML8: gradient-boosted trees."""
+    return _spec("hgb", **params)
+
+
+def score(fm: FittedModel, df: DataFrame, out_col: str = "score") -> DataFrame:
+    """ML11: probability of class 1 (or the margin) as a column."""
+    return fm.score(df, out_col)
