@@ -126,10 +126,8 @@ def period_coverage(df: DataFrame, period_col: str, last: int = 5) -> DataFrame:
     lastk = periods.orderBy(F.col(period_col).desc()).limit(last)
     summary = periods.agg(F.min(period_col).alias("period_min"), F.max(period_col).alias("period_max"),
                           F.count(F.lit(1)).alias("n_periods"))
-    tail = lastk.agg(F.sort_array(F.collect_list(period_col)).alias("last_periods"))
-    # both sides are single rows; a constant key keeps it an equi-join
-    return (summary.withColumn("__k", F.lit(0))
-            .join(tail.withColumn("__k", F.lit(0)), "__k").drop("__k"))
+    tail = lastk.agg(F.sort_array(F.collect_list(period_col))).scalar()  # at most `last` values
+    return summary.withColumn("last_periods", tail)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], complete: bool = True) -> DataFrame:

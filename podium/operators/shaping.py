@@ -94,20 +94,21 @@ def align_features(df: DataFrame, feature_names: Sequence[str], keep: Sequence[s
 
 def to_percent_0_100(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Multiply a column by 100 when its (global) maximum is <= 1.  The
-    maxima are one aggregation row joined back on a constant key, so the
-    operator stays lazy."""
+    maxima come from one aggregation used as a scalar subquery, so the
+    operator stays lazy and needs no join."""
     cols = list(cols)
-    mx = df.agg(*[F.max(col_ref(c).cast("double")).alias(f"__mx{i}") for i, c in enumerate(cols)])
-    j = df.withColumn("__k", F.lit(0)).join(mx.withColumn("__k", F.lit(0)), "__k")
+    if not cols:
+        return df
+    # all maxima in one aggregation, used as a scalar subquery (evaluated once)
+    mx = df.agg(F.struct(*[F.max(col_ref(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
     out = []
     for c in df.columns:
         if c in cols:
-            i = cols.index(c)
             x = col_ref(c).cast("double")
-            out.append(F.when(F.col(f"__mx{i}") <= 1.0, x * 100.0).otherwise(x).alias(c))
+            out.append(F.when(mx.getField(f"m{cols.index(c)}") <= 1.0, x * 100.0).otherwise(x).alias(c))
         else:
             out.append(col_ref(c))
-    return j.select(*out)
+    return df.select(*out)
 
 
 def normalize_importance(df: DataFrame) -> DataFrame:

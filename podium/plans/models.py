@@ -108,9 +108,8 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """ML9: ``balanced`` weights n / (2 * n_class) per class (a two-row table)."""
     y = F.coalesce(col_ref(label_col).try_cast("double"), F.lit(0.0)).cast("int")
     c = df.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = df.agg(F.count(F.lit(1)).alias("__n"))
-    return (c.withColumn("__k", F.lit(0)).join(tot.withColumn("__k", F.lit(0)), "__k")
-            .select("y", "n_class", (F.col("__n") / (2.0 * F.col("n_class"))).alias("weight")))
+    n = c.agg(F.sum("n_class")).scalar()  # total rows from the two-row table
+    return c.select("y", "n_class", (n / (2.0 * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label_col: str, out_col: str = WEIGHT) -> DataFrame:
