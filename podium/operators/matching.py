@@ -28,25 +28,51 @@ def normalize_name(c) -> Column:
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
 
+def _delete_variants(key: Column) -> Column:
+    """The key itself and every string obtained by deleting one character."""
+    dels = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))),
+                       lambda i: F.concat(key.substr(F.lit(1), i - 1), key.substr(i + 1, F.length(key))))
+    return F.array_distinct(F.concat(F.array(key), dels))
+
+
 def entity_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
-                 left_id: str, right_id: str) -> DataFrame:
-    """Match names without a shared id.  Both sides get a normalised key
-    (:func:`normalize_name`); rows match on equal keys (an equi-join, so a
-    common name never produces more than its duplicates), and each left row
-    keeps the lowest right id among its equal-key candidates (W6-style
-    aggregate).  Output: left id, right id, normalised key and the raw names;
-    unmatched left rows are kept with NULLs.  Fuzzy (edit-distance) matching
-    is not built: without a selective exact blocking rule it would emit all
-    pairs inside a block."""
+                 left_id: str, right_id: str, max_distance: int = 0) -> DataFrame:
+    """Match names without a shared id.
+
+    Both sides get a normalised key (:func:`normalize_name`); duplicate keys
+    are folded first (the lowest right id represents a right key).  Equal keys
+    match (an equi-join).  With ``max_distance=1`` a left key without an equal
+    right key is matched to the right key at edit distance 1 with the lowest
+    id: candidates are pairs that share a one-deletion variant (every pair at
+    distance <= 1 does), verified with ``levenshtein``.  Distinct keys sharing
+    a variant differ in one position, so a variant group is bounded by key
+    length x alphabet size, never by the data size.  Output: left id and name,
+    key, right id and name, distance; unmatched left rows keep NULLs."""
+    if max_distance not in (0, 1):
+        raise ValueError("max_distance must be 0 or 1")
     lk = left.select(col_ref(left_id).alias("left_id"), col_ref(left_name).alias("left_name"),
                      normalize_name(left_name).alias("key"))
     rk = (right.select(col_ref(right_id).alias("right_id"), col_ref(right_name).alias("right_name"),
-                       normalize_name(right_name).alias("key"))
-          .where(F.col("key") != "")
-          .groupBy("key").agg(F.min(F.struct("right_id", "right_name")).alias("__best")))
-    j = lk.join(rk, "key", "left")
-    return j.select("left_id", "left_name", "key", F.col("__best.right_id").alias("right_id"),
-                    F.col("__best.right_name").alias("right_name"))
+                       normalize_name(right_name).alias("rkey"))
+          .where(F.col("rkey") != "")
+          .groupBy("rkey").agg(F.min(F.struct("right_id", "right_name")).alias("__best")))
+    lkeys = lk.select("key").where(F.col("key") != "").distinct()
+    exact = lkeys.join(rk, lkeys["key"] == rk["rkey"], "inner").select(
+        "key", F.struct(F.lit(0).alias("d"), F.col("__best.right_id").alias("right_id"),
+                        F.col("__best.right_name").alias("right_name")).alias("__m"))
+    matches = exact
+    if max_distance == 1:
+        todo = lkeys.join(exact.select("key"), "key", "left_anti")
+        lv = todo.select("key", F.explode(_delete_variants(F.col("key"))).alias("__v"))
+        rv = rk.select("rkey", "__best", F.explode(_delete_variants(F.col("rkey"))).alias("__v"))
+        cand = lv.join(rv, "__v", "inner").select("key", "rkey", "__best").distinct()
+        near = cand.where(F.levenshtein("key", "rkey") == 1).groupBy("key").agg(F.min(F.struct(
+            F.lit(1).alias("d"), F.col("__best.right_id").alias("right_id"),
+            F.col("__best.right_name").alias("right_name"))).alias("__m"))
+        matches = exact.unionByName(near)
+    j = lk.join(matches, "key", "left")
+    return j.select("left_id", "left_name", "key", F.col("__m.right_id").alias("right_id"),
+                    F.col("__m.right_name").alias("right_name"), F.col("__m.d").alias("distance"))
 
 
 def merge_sources(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:

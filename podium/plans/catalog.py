@@ -1285,23 +1285,50 @@ def q_u2(spark, sf):
     return U.merge_sources(base, {"ev_": src}, ["entity", "period"])
 
 
-@register("entity_match", """
-with l as (select c_custkey as left_id, c_name as left_name,
-                  trim(regexp_replace(lower(trim(replace(c_name, 'Customer#', 'Supplier '))), '[^a-z0-9]+', ' ', 'g')) as key from customer),
-r as (select s_suppkey as right_id, s_name as right_name,
-             trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', ' ', 'g')) as key from supplier),
-b as (select key, min(right_id) as right_id from r where key != '' group by key),
-bb as (select b.key, b.right_id, r.right_name from b join r on b.right_id = r.right_id and b.key = r.key)
-select l.left_id, l.left_name, l.key, bb.right_id, bb.right_name from l left join bb on l.key = bb.key
-""")
-def q_u1(spark, sf):
+NORM_L = "trim(regexp_replace(lower(trim(replace(c_name, 'Customer#', 'Supplier '))), '[^a-z0-9]+', ' ', 'g'))"
+NORM_R = "trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', ' ', 'g'))"
+MATCH_BASE_SQL = f"""
+l as (select c_custkey as left_id, c_name as left_name, {NORM_L} as key from customer),
+r as (select s_suppkey as right_id, s_name as right_name, {NORM_R} as rkey from supplier),
+rb as (select rkey, min(right_id) as right_id from r where rkey != '' group by rkey),
+rb2 as (select rb.rkey, rb.right_id, r.right_name from rb join r on rb.right_id = r.right_id and rb.rkey = r.rkey)
+"""
+
+
+def _match(spark, sf, max_distance):
     # customer names re-spelled with the supplier prefix: numbers shared by both tables match
     c = table(spark, sf, "customer").select(
         "c_custkey", F.regexp_replace("c_name", "Customer#", "Supplier ").alias("c_name"))
     s = table(spark, sf, "supplier")
-    m = U.entity_match(c, s, "c_name", "s_name", "c_custkey", "s_suppkey")
+    m = U.entity_match(c, s, "c_name", "s_name", "c_custkey", "s_suppkey", max_distance)
     orig = table(spark, sf, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_name").alias("__raw"))
-    return m.join(orig, "left_id").select("left_id", F.col("__raw").alias("left_name"), "key", "right_id", "right_name")
+    return m.join(orig, "left_id").select("left_id", F.col("__raw").alias("left_name"), "key", "right_id",
+                                          "right_name", "distance")
+
+
+@register("entity_match", f"""
+with {MATCH_BASE_SQL}
+select l.left_id, l.left_name, l.key, rb2.right_id, rb2.right_name,
+       case when rb2.right_id is not null then 0 end as distance
+from l left join rb2 on l.key = rb2.rkey
+""")
+def q_u1(spark, sf):
+    return _match(spark, sf, 0)
+
+
+@register("entity_match_fuzzy", f"""
+with {MATCH_BASE_SQL},
+lk as (select distinct key from l where key != ''),
+pairs as (select lk.key, rb2.right_id, levenshtein(lk.key, rb2.rkey) as d from lk, rb2),
+best as (select key, min(d) as d from pairs where d <= 1 group by key),
+pick as (select p.key, p.d, min(p.right_id) as right_id from pairs p join best b on p.key = b.key and p.d = b.d
+         group by p.key, p.d)
+select l.left_id, l.left_name, l.key, pick.right_id, rb2.right_name, pick.d as distance
+from l left join pick on l.key = pick.key left join rb2 on pick.right_id = rb2.right_id
+""")
+def q_u1_fuzzy(spark, sf):
+    # oracle: every (name, supplier) pair scored by DuckDB -- brute force on the check tables
+    return _match(spark, sf, 1)
 
 
 @register("normalize_importance", f"""

@@ -176,3 +176,16 @@ def test_exact_median_interpolates(spark, distributed):
     df = spark.createDataFrame([(1, float(v)) for v in [1, 2, 4, 9]] + [(2, 5.0)], "g int, v double")
     got = {r.g: (r.q0, r.n) for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()}
     assert got == {1: (3.0, 4), 2: (5.0, 1)}
+
+
+def test_entity_match_exact_and_distance_one(spark):
+    from podium.operators.matching import entity_match
+    left = spark.createDataFrame([(1, "José"), (2, "Jon  Smith"), (3, "zzz"), (4, "Ann"), (5, "jose ")],
+                                 "id int, n string")
+    right = spark.createDataFrame([(10, "JOSE"), (11, "John Smith"), (12, "Anne"), (13, "Ana"), (9, "jose")],
+                                  "id int, n string")
+    got = {r.left_id: (r.right_id, r.distance) for r in entity_match(left, right, "n", "n", "id", "id", 1).collect()}
+    # accents folded and blanks collapsed; equal keys -> lowest right id; ties at distance 1 -> lowest id
+    assert got == {1: (9, 0), 2: (11, 1), 3: (None, None), 4: (12, 1), 5: (9, 0)}
+    exact = {r.left_id: r.right_id for r in entity_match(left, right, "n", "n", "id", "id").collect()}
+    assert exact == {1: 9, 2: None, 3: None, 4: None, 5: 9}
