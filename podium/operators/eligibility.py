@@ -46,8 +46,8 @@ def per_game_minutes(df: DataFrame, out_col: str = "__mpg", period_col: str | No
     """Add minutes per game.  ``MP_per_g`` if present; else ``MP / G``
     (G = 0 -> NULL) unless, within the period, median(MP/G) < 3 and
     5 <= median(MP) <= 45, in which case MP already is per game; else ``MP``;
-    else NULL.  The two medians are exact and per period (one grouped
-    aggregation of running counts per column, joined back)."""
+    else NULL.  The two medians are exact and per period, computed together
+    in one grouped pass over (period, column) and joined back."""
     if mp_per_g in df.columns:
         return df.withColumn(out_col, _num(df, mp_per_g))
     if mp not in df.columns:
@@ -57,10 +57,15 @@ def per_game_minutes(df: DataFrame, out_col: str = "__mpg", period_col: str | No
     grp = period_col if period_col else _ALL
     base = df if period_col else df.withColumn(_ALL, F.lit(0))
     ratio = safe_ratio(mp, g)
-    vals = base.select(grp, ratio.alias("__r"), _num(df, mp).alias("__m"))
-    med_r = exact_quantiles(vals, [grp], "__r", [0.5], ["__med_r"]).drop("n")
-    med_m = exact_quantiles(vals, [grp], "__m", [0.5], ["__med_m"]).drop("n")
-    meds = med_r.join(med_m, grp, "full").withColumnRenamed(grp, "__grp")
+    # both medians in one pass: (period, which, value) rows, grouped by (period, which)
+    vals = base.select(grp, F.explode(F.array(
+        F.struct(F.lit("r").alias("w"), ratio.alias("v")),
+        F.struct(F.lit("m").alias("w"), _num(df, mp).alias("v")))).alias("__wv"))
+    vals = vals.select(grp, F.col("__wv.w").alias("__w"), F.col("__wv.v").alias("__v"))
+    med = exact_quantiles(vals, [grp, "__w"], "__v", [0.5], ["__med"])
+    meds = med.groupBy(F.col(grp).alias("__grp")).agg(
+        F.max(F.when(F.col("__w") == "r", F.col("__med"))).alias("__med_r"),
+        F.max(F.when(F.col("__w") == "m", F.col("__med"))).alias("__med_m"))
     lo, hi = PER_GAME_MEDIAN_MP_RANGE
     already = ((F.col("__med_r") < PER_GAME_MEDIAN_MPG_BELOW)
                & (F.col("__med_m") >= lo) & (F.col("__med_m") <= hi))
