@@ -772,7 +772,7 @@ def q_g11(spark, sf):
 @register("linear_trend", f"""
 with {CY} select round(regr_slope(mp, cast(period as double)), 6) as slope,
   round(avg(mp) - regr_slope(mp, cast(period as double)) * avg(cast(period as double)), 2) as intercept,
-  regr_count(mp, cast(period as double)) as n from cy where mp is not null and period is not null
+  cast(regr_count(mp, cast(period as double)) as bigint) as n from cy where mp is not null and period is not null
 """)
 def q_g12(spark, sf):
     # the intercept at year 0 is ~1e7: two engines agree to ~1e-12 relative,
@@ -1323,7 +1323,7 @@ pairs as (select lk.key, rb2.right_id, levenshtein(lk.key, rb2.rkey) as d from l
 best as (select key, min(d) as d from pairs where d <= 1 group by key),
 pick as (select p.key, p.d, min(p.right_id) as right_id from pairs p join best b on p.key = b.key and p.d = b.d
          group by p.key, p.d)
-select l.left_id, l.left_name, l.key, pick.right_id, rb2.right_name, pick.d as distance
+select l.left_id, l.left_name, l.key, pick.right_id, rb2.right_name, cast(pick.d as integer) as distance
 from l left join pick on l.key = pick.key left join rb2 on pick.right_id = rb2.right_id
 """)
 def q_u1_fuzzy(spark, sf):
@@ -1388,7 +1388,7 @@ def q_p1(spark, sf):
 
 
 @register("align_features", f"""
-with {DL} select doc_id, round(n_words, 6) as n_words, 0.0 as missing_feature, round(digit_share, 6) as digit_share from dl
+with {DL} select doc_id, round(n_words, 6) as n_words, cast(0.0 as double) as missing_feature, round(digit_share, 6) as digit_share from dl
 """)
 def q_p11(spark, sf):
     # the model's columns in its order: a missing training column becomes 0.0, extras are dropped
