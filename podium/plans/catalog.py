@@ -1408,3 +1408,47 @@ def q_p12(spark, sf):
     v = S.inf_to_null(F.exp(F.col("o_totalprice") / 100))
     return rounded(o.select("o_orderkey", v.isNotNull().cast("int").alias("is_finite"),
                             F.col("o_totalprice").alias("price")))
+
+
+# ---------------------------------------------------------------------------
+# Model studies (rows-only): each fit is a Spark job set over the full training rows
+# ---------------------------------------------------------------------------
+def _train_val(spark, sf):
+    t = _split_facts(spark, sf)
+    return t, t.where(F.col("split") == "train"), t.where(F.col("split") == "val")
+
+
+@register("permutation_importance")
+def q_ml15(spark, sf):
+    t, train, _ = _train_val(spark, sf)
+    fm = ML.fit_model(train, FEATURES, "label", ML.logreg_l2())
+    return rounded(ST.permutation_importance(fm, t.where(F.col("split") != "train"), "label", "__row_id"))
+
+
+@register("hparam_sweep")
+def q_ml16(spark, sf):
+    _, train, val = _train_val(spark, sf)
+    return rounded(ST.hparam_sweep(train, val, FEATURES, "label", Cs=(0.1, 1.0, 10.0), award="mvp"))
+
+
+@register("feature_ablation")
+def q_ml17(spark, sf):
+    t, _, _ = _train_val(spark, sf)
+    # groups by name: games (pct_G, pct_GS) and minutes (pct_MP)
+    return rounded(ST.feature_ablation(t, FEATURES, "label", ML.logreg_l2(),
+                                       groups={"games": [r"_GS?$"], "minutes": [r"_MP$"]}))
+
+
+@register("learning_curve")
+def q_ml18(spark, sf):
+    t, _, val = _train_val(spark, sf)
+    train_part = t.where(F.col("split") == "train")
+    return rounded(ST.learning_curve(train_part, FEATURES, "label", "season", val, ML.logreg_l2()))
+
+
+@register("rolling_eval")
+def q_ml19(spark, sf):
+    t, _, _ = _train_val(spark, sf)
+    # walk forward over the last ten days, as the reference evaluates a range of test seasons
+    ranks, summary = ST.rolling_eval(t, FEATURES, "label", "season", ["Player"], ML.logreg_l2(), first_period=20)
+    return rounded(summary)
