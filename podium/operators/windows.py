@@ -99,21 +99,27 @@ def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Seque
                      blocks: int | None = None) -> DataFrame:
     """Pandas ``rank(pct=True, method="average")`` per period: average
     1-based rank among non-null values divided by the non-null count, in
-    (0, 1]; NULL stays NULL.  Per column, duplicate values are folded first,
-    ranks come from running counts over the distinct values, and the result
-    is joined back on (period, value)."""
+    (0, 1]; NULL stays NULL.  Small inputs use windows (R1).  Otherwise all
+    columns are unpivoted to (period, column, value), duplicate values are
+    folded, ranks come from one running-counts pass over the distinct values,
+    and each column joins its percentiles back on (period, value)."""
     groups = _as_list(period_col)
     cols = _as_list(cols)
     names = list(names) if names else [f"{c}{suffix}" for c in cols]
     if is_small(df):
         return df.select("*", *[_pct_window(c, groups).alias(nm) for c, nm in zip(cols, names)])
+    # one running-totals pass for all columns: (period, column, value) rows
+    long = df.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("f"), col_ref(c).cast("double").alias("v")) for c in cols])).alias("__fv"))
+    long = long.select(*groups, F.col("__fv.f").alias("__f"), F.col("__fv.v").alias("__v"))
+    vp = value_positions(long, [*groups, "__f"], "__v", with_total=True, blocks=blocks)
+    pct_all = vp.select(*[F.col(g).alias(f"__k_{g}") for g in groups], "__f", "__v",
+                        (F.col("_avg_rank") / F.col("_total").cast("double")).alias("__pct"))
     out = df
     for c, nm in zip(cols, names):
-        vp = value_positions(df.select(*groups, col_ref(c).alias("__v")), groups, "__v",
-                             with_total=True, blocks=blocks)
-        pct = vp.select(*[F.col(g).alias(f"__k_{g}") for g in groups], F.col("__v"),
-                        (F.col("_avg_rank") / F.col("_total").cast("double")).alias(nm))
-        cond = [out[g].eqNullSafe(pct[f"__k_{g}"]) for g in groups] + [col_ref(c) == pct["__v"]]
+        pct = pct_all.where(F.col("__f") == c).select(*[f"__k_{g}" for g in groups], "__v",
+                                                      F.col("__pct").alias(nm))
+        cond = [out[g].eqNullSafe(pct[f"__k_{g}"]) for g in groups] + [col_ref(c).cast("double") == pct["__v"]]
         j = out.join(pct, on=_and(cond), how="left")
         out = j.select(*[col_ref(x) for x in out.columns], F.col(nm))
     return out
