@@ -47,6 +47,8 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
 
 # a block should hold at least this many rows before the input is split at all
 MIN_ROWS_PER_BLOCK = 200_000
+# positions per bucket in the quantile lookup join
+POSITION_BUCKET = 1 << 20
 # session setting that overrides it (tests use a tiny value to force many blocks)
 MIN_ROWS_CONF = "podium.ordering.minRowsPerBlock"
 # sampled keys per block when choosing the block bounds
@@ -286,7 +288,13 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                          .alias("__e"))
     ends = ends.select(*[F.col(g).alias(f"__w_{g}") for g in group_cols], "pi", "__h", "__N",
                        "__e.end", "__e.at")
-    cond = [pos[g].eqNullSafe(ends[f"__w_{g}"]) for g in group_cols]
+    # equi-join on (group, position bucket) so that no join key holds a whole
+    # group: a value row covers positions [_before, _upto) and is repeated for
+    # each bucket of that range (one or two unless the value repeats > 2^20 times)
+    pos = pos.withColumn("__pb", F.explode(F.sequence(F.floor(F.col("_before") / POSITION_BUCKET).cast("long"),
+                                                       F.floor((F.col("_upto") - 1) / POSITION_BUCKET).cast("long"))))
+    ends = ends.withColumn("__eb", F.floor(F.col("at") / POSITION_BUCKET).cast("long"))
+    cond = [pos[g].eqNullSafe(ends[f"__w_{g}"]) for g in group_cols] + [pos["__pb"] == ends["__eb"]]
     cond += [ends["at"] >= pos["_before"], ends["at"] < pos["_upto"]]
     hit = pos.join(ends, on=reduce(lambda a, b: a & b, cond), how="inner")
     per_prob = (hit.groupBy(*group_cols, "pi")
