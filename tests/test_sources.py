@@ -54,3 +54,21 @@ def test_write_predictions_and_run(spark):
     WR.write_run(m, None, d, "20240101_000000")
     back = R.read_latest_run(spark, f"{d}/metrics", fmt="json")
     assert back.count() == 1
+
+
+def test_award_datasets_partitioned_and_audit(spark):
+    d = tempfile.mkdtemp(prefix="podium-aw-")
+    df = spark.createDataFrame([("mvp", 1, 0.5, 1), ("roy", 2, 0.1, 0), ("mvp", 3, 0.2, 0)],
+                               "award string, rid int, x double, y int")
+    WR.write_award_datasets(df, d)
+    back = spark.read.parquet(d).where(F.col("award") == "mvp")
+    assert sorted(r.rid for r in back.collect()) == [1, 3]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+    sc = spark.createDataFrame([("mvp", "baseline", 0.4), ("mvp", "tree", 0.9), ("roy", "baseline", 0.3)],
+                               "award string, family string, score double")
+    from podium.plans.studies import select_family
+    audit = {(r.award, r.family): (r.top1_score, r.chosen, r.season_label)
+             for r in WR.prediction_audit(sc, select_family(sc), "asof=2026-01-26", 2026).collect()}
+    assert audit == {("mvp", "baseline"): (0.4, 0, "2025-26"), ("mvp", "tree"): (0.9, 1, "2025-26"),
+                     ("roy", "baseline"): (0.3, 1, "2025-26")}
