@@ -3,7 +3,11 @@ folder, and connected components."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session (as --py-files would)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_podium_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = f"{tempfile.mkdtemp(prefix='podium-')}/podium.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(at)
+    sc._podium_shipped = True
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def words_of(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
@@ -63,3 +87,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return (small.select(F.col("u").alias("node"), F.col("v").alias("root"))
                     .unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
         e = small
+
+
+def open_store(path: str):
+    """(file system, path in it) of a URI, for byte-range reads and writes in
+    tasks; any store pyarrow knows, local paths included."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
