@@ -70,10 +70,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     task) and a join back, written to the shared folder; the number of steps
     grows with the logarithm of the longest path.
     """
-    e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .where("u > v").distinct())
-    e = materialize(e, "edges")
-    while True:
+    def mark(t: DataFrame):
+        """Equal for equal sets of edges."""
+        return tuple(t.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"),
+                           F.expr("bit_xor(xxhash64(v, u))")).first())
+
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(),
+                    "edges")
+    before = mark(e)
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u")
@@ -82,11 +87,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        small = materialize(small, "small")
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
-            return (small.select(F.col("u").alias("node"), F.col("v").alias("root"))
-                    .unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
-        e = small
+        e = materialize(small, "small")
+        now = mark(e)
+        if now == before:
+            break
+        before = now
+    return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
 
 
 def open_store(path: str):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, sharding, token_files, warc
+from . import line_dedup, quality, sharding, simhash, token_files, warc
 from .common import table
 
 N_SHARDS = 24
@@ -75,6 +75,11 @@ FROM kept
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents labelled as good."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
 
