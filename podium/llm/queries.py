@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, sharding, simhash, token_files, warc
+from . import decontaminate, licenses, line_dedup, packing, quality, sharding, simhash, token_files, warc
 from .common import table
 
 N_SHARDS = 24
@@ -44,6 +44,14 @@ FROM d JOIN f ON d.h = f.h
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), packing.word_length())
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,16 +98,53 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *quality.BASE, "llr_micro", "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    d = docs.select("doc_id")
+    return d.join(found.withColumnRenamed("doc_id", "leak"), d["doc_id"].eqNullSafe(F.col("leak")), "left").select(
+        "doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "matched")
+
+
+_MASKS_SQL = ", ".join(f"({i}, {len(m)}, [{', '.join(str(j) for j, c in enumerate(m) if c == '1')}])"
+                       for i, m in enumerate(decontaminate.MASKS))
+_TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_WINDOW_SQL = f"least({decontaminate.OVERLAP}, len(b.w))"
+OP9_SQL = f"""
+WITH m(mask, span, offs) AS (VALUES {_MASKS_SQL}),
+d AS (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_TOKENS_SQL} AS w FROM benchmark),
+dp AS (SELECT doc_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS q FROM d, m),
+ds AS (SELECT doc_id, mask, q, hash(list_transform(offs, lambda o: w[q + o + 1])) AS k FROM dp),
+bp AS (SELECT item_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS p FROM b, m),
+bs AS (SELECT item_id, mask, p, hash(list_transform(offs, lambda o: w[p + o + 1])) AS k FROM bp),
+hits AS (SELECT doc_id, item_id, mask, q, p FROM ds JOIN bs USING (mask, k)),
+windows AS (SELECT hits.doc_id, hits.item_id, d.w AS dw, b.w AS bw, q - p AS shift, {_WINDOW_SQL} AS width,
+                   unnest(range(greatest(0, p + span - {_WINDOW_SQL}), least(p, len(b.w) - {_WINDOW_SQL}) + 1)) AS s
+            FROM hits JOIN m USING (mask) JOIN d USING (doc_id) JOIN b USING (item_id)),
+scored AS (SELECT doc_id, item_id, width, len(list_filter(range(width), lambda j:
+                  shift + s + j >= 0 AND coalesce(dw[shift + s + j + 1] = bw[s + j + 1], false))) AS matched FROM windows),
+leak AS (SELECT doc_id, min(item_id) AS item_id, CAST(max(matched) AS BIGINT) AS matched FROM scored
+         WHERE matched * 100 >= width * {decontaminate.SIMILARITY} GROUP BY doc_id)
+SELECT documents.doc_id, leak.item_id IS NOT NULL AS contaminated, leak.item_id, leak.matched
+FROM documents LEFT JOIN leak ON documents.doc_id = leak.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op9_decontamination": OP9_SQL,
 }
