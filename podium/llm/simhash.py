@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, materialize
@@ -62,17 +62,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the rows of one doc_id apart (null: as if empty)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long.  A null or wordless text has 0."""
+    """(doc_id, th, fp) of every row: its text hash, and its fingerprint as a signed
+    long.  A null or wordless text has fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 c = b.slice(i, 512)
-                fp = [_signed(fingerprint(t, shingle)) for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+                fp = [_signed(fingerprint(t, shingle)) for t in c.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(fp, pa.int64())],
+                                                 ["doc_id", "th", "fp"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run,
-                       "doc_id long, fp long")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("th"),
+                                   F.col(text).alias("text")), run, "doc_id long, th long, fp long")
 
 
 def bit_correlations(fps: DataFrame) -> np.ndarray:
@@ -268,8 +275,9 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id
-    reachable over links of at most ``distance`` differing bits.
+    """(doc_id, th, fp, root, component_id) of every row: component_id is the
+    smallest doc_id reachable over links of at most ``distance`` differing bits,
+    root the smallest fingerprint there, th the text's hash.
 
     Null and wordless texts share fingerprint 0 and link like any other.  A
     repeated doc_id joins the components of all its rows' fingerprints only
@@ -282,7 +290,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected_components(links)
     rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(
         roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(names, "root").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+        F.col("fp").alias("f"), "first", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
+    named = rooted.join(names, F.col("root") == F.col("r")).select("f", "root", "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "th", "fp", "root", "component_id")
