@@ -33,15 +33,12 @@ def _token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, mask: str, number: int) -> Column:
-    """Hash of the masked tokens at every position where the mask fits."""
-    at = [i for i, c in enumerate(mask[:-1]) if c == "1"]
-    return F.transform(F.slice(h, len(mask), F.size(h)),
-                       lambda last, i: F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in at], last))
-
-
-def _fits(n: Column, mask: str) -> Column:
-    return F.greatest(n - (len(mask) - 1), F.lit(0))
+def _seed(h: Column, p: Column, number: int) -> Column:
+    """Hash of the masked tokens from place p on; null where the mask doesn't fit.
+    Compiled code, unlike a lambda over the tokens."""
+    mask = MASKS[number]
+    return F.when(p + len(mask) <= F.size(h),
+                  F.xxhash64(F.lit(number), *[F.get(h, p + o) for o, c in enumerate(mask) if c == "1"]))
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
@@ -61,7 +58,8 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str =
         start = F.greatest(p - (overlap - span), F.lit(0))
         end = F.least(p + overlap, n)
         width = F.least(F.lit(overlap), n)
-        parts.append(items.select("item", "h", F.posexplode(_seeds(F.col("h"), mask, number)).alias("p", "seed"))
+        parts.append(items.select("item", "h", F.posexplode("h").alias("p", "token"))
+                     .select("item", "h", "p", _seed(F.col("h"), p, number).alias("seed")).where("seed is not null")
                      .select("seed", F.lit(number).alias("mask"), F.slice("h", start + 1, end - start).alias("context"),
                              (p - start).alias("lead"), width.alias("width"),
                              (F.greatest(p + span - width, F.lit(0)) - start).alias("first"),
@@ -83,24 +81,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """
     seeds = materialize(benchmark_seeds(benchmark, item_id, item_text, overlap), "benchmark_seeds")
     n_blocks = max(1, math.ceil(seeds.count() / seeds_per_block))
-    h, n = F.col("h"), F.size("h")
-    sown = docs.select(F.col(doc_id).alias("doc"), _token_hashes(F.col(text)).alias("h")).select(
-        "doc", "h", F.posexplode(F.concat(*[_seeds(h, m, i) for i, m in enumerate(MASKS)])).alias("nth", "s"))
+    # outer: an inner explode would put a filter that computes the tokens again before it
+    h, p = F.col("h"), F.col("p")
+    tokens = docs.select(F.col(doc_id).alias("doc"), _token_hashes(F.col(text)).alias("h")).select(
+        "doc", "h", F.posexplode_outer("h").alias("p", "token"))
+    sown = tokens.select("doc", "h", "p", F.explode_outer(F.array(
+        *[_seed(h, p, i) for i in range(len(MASKS))])).alias("s"))
     hits = reduce(DataFrame.unionByName, [
         sown.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(n_blocks)) == b)), F.col("s") == F.col("seed"))
         for b in range(n_blocks)])
-    # the place in the document: nth counts through the masks
-    skipped = reduce(lambda c, i: F.when(F.col("mask") == i, sum((_fits(n, m) for m in MASKS[:i]), F.lit(0)))
-                     .otherwise(c), range(1, len(MASKS)), F.lit(0))
-    hits = hits.select("doc", "item", "context", "width", "first", "last",
-                       (F.col("nth") - skipped - F.col("lead")).alias("at"), "h")
-    agree = F.transform("context", lambda x, j: F.coalesce((F.get("h", F.col("at") + j) == x).cast("int"), F.lit(0)))
-    hits = hits.select("doc", "item", "width", "first", "last", agree.alias("agree"))
+    # the document's tokens opposite the context, from its first if the context begins before it; nth, never
+    # negative, keeps what follows from moving into the join, whose rows would then carry whole documents
+    skip = F.greatest(F.col("lead") - p, F.lit(0))
+    hits = hits.select("doc", "item", "context", "width", "first", "last", skip.alias("skip"),
+                       F.slice(h, p - F.col("lead") + skip + 1, F.size("context") - skip).alias("near"),
+                       F.monotonically_increasing_id().alias("nth"))
+    agree = F.transform("context", lambda x, j: F.coalesce(
+        (F.get("near", j - F.col("skip")) == x).cast("int"), F.lit(0)))
+    hits = hits.select("doc", "item", "width", "first", "last", "nth", agree.alias("agree"))
     best = F.array_max(F.transform(
         F.sequence("first", "last"),
         lambda s: F.aggregate(F.slice("agree", s + 1, F.col("width")), F.lit(0), lambda total, x: total + x)))
-    found = (hits.select("doc", "item", "width", best.alias("matched"))
-             .where(F.col("matched") * 100 >= F.col("width") * similarity))
+    found = (hits.select("doc", "item", "width", "nth", best.alias("matched"))
+             .where((F.col("matched") * 100 >= F.col("width") * similarity) & (F.col("nth") >= 0)))
     return (found.groupBy("doc").agg(F.min("item").alias("item_id"), F.max("matched").cast("long").alias("matched"))
             .withColumnRenamed("doc", "doc_id"))
 
