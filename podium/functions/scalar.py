@@ -106,4 +106,3 @@ def safe_ratio(num, den) -> Column:
 
 
 col_ref = _c
-sql_ref = _sql_ref

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_ref
-from .ordering import _as_list, exact_quantiles
+from .ordering import _as_list, exact_quantiles, join_summary
 from .windows import best_per_group
 
 
@@ -173,7 +173,8 @@ def box_summary(df: DataFrame, group_col: str, value_col: str, whisker: float =
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr"))
          .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr")))
-    j = v.join(q.select(group_col, "lo_fence", "hi_fence"), group_col, "inner")
+    fences = q.select(col_ref(group_col).alias("__g"), "lo_fence", "hi_fence")
+    j = join_summary(v, fences, [(group_col, "__g")], "inner").where(col_ref(group_col).isNotNull())
     ends = j.groupBy(group_col).agg(
         F.min(F.when(F.col("__v") >= F.col("lo_fence"), F.col("__v"))).alias("whisker_lo"),
         F.max(F.when(F.col("__v") <= F.col("hi_fence"), F.col("__v"))).alias("whisker_hi"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_ref, safe_ratio
-from .ordering import _ALL, exact_quantiles
+from .ordering import _ALL, exact_quantiles, join_summary
 
 # ---------------------------------------------------------------------------
 # Fixed values (the reference's thresholds)
@@ -69,7 +69,7 @@ def per_game_minutes(df: DataFrame, out_col: str = "__mpg", period_col: str | No
     lo, hi = PER_GAME_MEDIAN_MP_RANGE
     already = ((F.col("__med_r") < PER_GAME_MEDIAN_MPG_BELOW)
                & (F.col("__med_m") >= lo) & (F.col("__med_m") <= hi))
-    j = base.join(meds, base[grp].eqNullSafe(F.col("__grp")), "left")
+    j = join_summary(base, meds, [(grp, "__grp")])
     val = F.when(F.coalesce(already, F.lit(False)), _num(df, mp)).otherwise(ratio)
     return j.select(*[col_ref(c) for c in df.columns], val.alias(out_col))
 
@@ -132,21 +132,22 @@ def eligible_roy(df: DataFrame, period_col: str, rookie_col: str = "is_rookie",
     keep the whole period.  The "anyone flagged?" test is a per-period
     aggregate joined back; the list match is a left-semi join on the distinct
     trimmed names (a broadcast when adaptive execution sees it is small)."""
+    ids = [col_ref(c) for c in df.columns]
+    flag, someone, j = F.lit(False), F.lit(False), df
     if rookie_col in df.columns:
         flag = F.coalesce(col_ref(rookie_col).try_cast("double").cast("int"), F.lit(0)) == 1
-        any_flag = (df.groupBy(period_col).agg(F.max(flag.cast("int")).alias("__any"))
-                    .withColumnRenamed(period_col, "__p"))
-        j = df.join(any_flag, df[period_col].eqNullSafe(F.col("__p")), "left")
-        flagged = j.where((F.col("__any") == 1) & flag).select(*[col_ref(c) for c in df.columns])
-        rest = j.where(F.coalesce(F.col("__any"), F.lit(0)) == 0).select(*[col_ref(c) for c in df.columns])
-    else:
-        flagged = None
-        rest = df
+        any_flag = df.groupBy(col_ref(period_col).alias("__p")).agg(F.max(flag.cast("int")).alias("__any"))
+        j = join_summary(df, any_flag, [(period_col, "__p")])
+        someone = F.coalesce(F.col("__any"), F.lit(0)) == 1
+    listed = F.lit(True)
     if rookies is not None and rookie_name_col in rookies.columns and name_col in df.columns:
-        names = (rookies.select(F.trim(F.col(rookie_name_col).cast("string")).alias("__name"))
-                 .where(F.col("__name").isNotNull()).distinct())
-        rest = rest.join(names, F.trim(col_ref(name_col).cast("string")) == F.col("__name"), "left_semi")
-    out = rest if flagged is None else flagged.unionByName(rest)
+        names = (rookies.select(F.trim(col_ref(rookie_name_col).cast("string")).alias("__name"))
+                 .where("__name is not null").distinct())
+        # an empty list is no list; that is settled inside the plan
+        empty = names.agg(F.count(F.lit(1)) == 0).scalar()
+        j = j.join(names, F.trim(col_ref(name_col).cast("string")) == F.col("__name"), "left")
+        listed = F.col("__name").isNotNull() | empty
+    out = j.where((someone & flag) | (~someone & listed)).select(*ids)
     return min_volume(out, "roy", period_col, mpg_min, None, mp, g, mp_per_g)
 
 
@@ -170,24 +171,21 @@ def eligible_mip(df: DataFrame, period_col: str | None = None, rookie_col: str =
     return out
 
 
+RULES = {"mvp": eligible_mvp, "dpoy": eligible_dpoy, "smoy": eligible_smoy, "roy": eligible_roy,
+         "mip": eligible_mip}
+
+
 def apply_eligibility(df: DataFrame, award: str, period_col: str | None = None,
                       rookies: DataFrame | None = None, **kw) -> DataFrame:
     """Dispatch on the lower-cased, trimmed award name."""
     a = str(award).lower().strip()
-    if a == "mvp":
-        return eligible_mvp(df, period_col, **kw)
-    if a == "dpoy":
-        return eligible_dpoy(df, period_col, **kw)
-    if a == "smoy":
-        return eligible_smoy(df, period_col, **kw)
+    if a not in RULES:
+        raise ValueError(f"unknown award: {award!r}")
     if a == "roy":
+        kw["rookies"] = rookies
         if period_col is None:
-            df = df.withColumn(_ALL, F.lit(0))
-            return eligible_roy(df, _ALL, rookies=rookies, **kw).drop(_ALL)
-        return eligible_roy(df, period_col, rookies=rookies, **kw)
-    if a == "mip":
-        return eligible_mip(df, period_col, **kw)
-    raise ValueError(f"unknown award: {award!r}")
+            return eligible_roy(df.withColumn(_ALL, F.lit(0)), _ALL, **kw).drop(_ALL)
+    return RULES[a](df, period_col=period_col, **kw)
 
 
 def eligible_smoy_strict(df: DataFrame, g: str = "G", gs: str = "GS") -> DataFrame:
@@ -221,7 +219,7 @@ def drop_invalid_periods(df: DataFrame, period_col: str, label_col: str, wanted:
     y = F.coalesce(col_ref(label_col).try_cast("double"), F.lit(0.0))
     ok = (df.groupBy(period_col).agg(F.sum(y).alias("__s"))
           .where(F.col("__s") == float(wanted)).select(F.col(period_col).alias("__p")))
-    return df.join(ok, df[period_col] == F.col("__p"), "left_semi")
+    return join_summary(df, ok, [(period_col, "__p")], "inner").where(col_ref(period_col).isNotNull()).drop("__p")
 
 
 def complete_cases(df: DataFrame, subset: Sequence[str] | None = None, how: str = "any") -> DataFrame:

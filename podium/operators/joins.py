@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_ref
+from .windows import entity_window
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """J2 (report form): the keys that repeat, with their number of rows ``n``."""
+    return df.groupBy(*[col_ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> None:
@@ -21,28 +27,25 @@ def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> None:
 
 def prev_period_join(df: DataFrame, entity_col: str, period_col: str, cols: Sequence[str],
                      prefix: str = "prev_", flag_col: str | None = None,
-                     validate: bool = False) -> DataFrame:
+                     validate: bool = True) -> DataFrame:
     """Values of *exactly* period N-1 for the same entity (NULL when the
     entity skipped N-1; T8: not the previous row).  Equal to a left join of
-    the table with itself shifted by one period when (entity, period) is
-    unique (``validate`` checks that, as the reference's one-to-one merge
-    does).  Computed with one entity window (lag plus a gap check) instead of
-    a self-join, so the table is shuffled at most once (not at all when it is
-    already partitioned by entity)."""
+    the table with itself shifted by one period.  (entity, period) must be
+    unique; ``validate`` raises when the query runs on a table where it is not,
+    as the reference's one-to-one merge does.  Computed with one entity window
+    (lag plus a gap check) over one scan instead of a self-join."""
+    w = entity_window(df, entity_col).orderBy(col_ref(period_col).asc_nulls_first())
+    known = col_ref(entity_col).isNotNull()
+    before = F.lag(col_ref(period_col), 1).over(w)
+    strict = known & (before == col_ref(period_col) - F.lit(1))
     if validate:
-        assert_unique_key(df, [entity_col, period_col])
-    w = Window.partitionBy(entity_col).orderBy(F.col(period_col).asc_nulls_first())
-    strict = F.lag(F.col(period_col), 1).over(w) == F.col(period_col) - F.lit(1)
+        strict = F.when(known & (before == col_ref(period_col)), F.raise_error(F.concat(
+            F.lit(f"duplicate key in columns [{entity_col}, {period_col}]: "), col_ref(entity_col).cast("string"),
+            F.lit(", "), col_ref(period_col).cast("string"))).cast("boolean")).otherwise(strict)
     outs = [F.when(strict, F.lag(col_ref(c), 1).over(w)).alias(f"{prefix}{c}") for c in cols]
     if flag_col:
         outs.append(F.coalesce(strict, F.lit(False)).cast("int").alias(flag_col))
-    known = df.where(F.col(entity_col).isNotNull()).select(*[col_ref(c) for c in df.columns], *outs)
-    nulls = [F.lit(None).cast(df.schema[c].dataType).alias(f"{prefix}{c}") for c in cols]
-    if flag_col:
-        nulls.append(F.lit(0).alias(flag_col))
-    # rows without an entity have no previous period and never enter the window
-    unknown = df.where(F.col(entity_col).isNull()).select(*[col_ref(c) for c in df.columns], *nulls)
-    return known.unionByName(unknown)
+    return df.select(*[col_ref(c) for c in df.columns], *outs)
 
 
 def row_id_join(left: DataFrame, right: DataFrame, row_id_col: str = "__row_id", how: str = "inner") -> DataFrame:
@@ -116,15 +119,16 @@ def audit_alignment(df: DataFrame, features: DataFrame, labels: DataFrame, keys:
     """One row of checks: row counts of the three tables, keys missing on
     either side (left-anti joins both ways) and periods whose positives are
     not exactly one."""
-    keys = list(keys)
-    kx, kd = features.select(*keys), df.select(*keys)
-    miss_x = kd.join(kx, keys, "left_anti").count()
-    miss_d = kx.join(kd, keys, "left_anti").count()
-    per = (labels.groupBy(period_col)
+    def one(table: DataFrame, name: str) -> DataFrame:
+        return table.agg(F.count(F.lit(1)).alias(name))
+
+    k = [col_ref(c) for c in keys]
+    kx, kd = features.select(*k), df.select(*k)
+    per = (labels.groupBy(col_ref(period_col))
            .agg(F.sum(F.coalesce(col_ref(label_col).cast("double"), F.lit(0.0))).alias("__s")))
-    bad = per.where(F.col("__s") != 1.0).count()
-    spark = df.sparkSession
-    row = (df.count(), features.count(), labels.count(), miss_x, miss_d, bad)
-    return spark.createDataFrame(
-        [row], "n_df long, n_features long, n_labels long, keys_missing_in_features long, "
-               "keys_missing_in_df long, periods_not_one_winner long")
+    counts = [one(df, "n_df"), one(features, "n_features"), one(labels, "n_labels"),
+              one(kd.join(kx, list(keys), "left_anti"), "keys_missing_in_features"),
+              one(kx.join(kd, list(keys), "left_anti"), "keys_missing_in_df"),
+              one(per.where(F.col("__s") != 1.0), "periods_not_one_winner")]
+    # one plan: the first count with the others as scalar subqueries
+    return counts[0].select("*", *[c.scalar().alias(c.columns[0]) for c in counts[1:]])

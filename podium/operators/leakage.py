@@ -21,6 +21,12 @@ MIN_NON_NULL = 25
 MIN_STD = 1e-12
 
 
+def _coercible(df: DataFrame, exclude: Sequence[str]) -> list[str]:
+    """Every column that may hold numbers: text is coerced, value by value."""
+    kinds = (T.NumericType, T.BooleanType, T.StringType)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in set(exclude)]
+
+
 def _numeric(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.NumericType, T.BooleanType)) and f.name not in set(exclude)]
@@ -50,11 +56,12 @@ def _feature_label_stats(df: DataFrame, label_col: str, cols: Sequence[str]) ->
 
 def corr_leakage(df: DataFrame, label_col: str, cols: Sequence[str] | None = None,
                  threshold: float = CORR_THRESHOLD, min_non_null: int = MIN_NON_NULL) -> DataFrame:
-    """L2: Pearson correlation of each numeric column with the label; columns
+    """L2: Pearson correlation of each column with the label, text coerced to
+    numbers; columns
     with fewer than ``min_non_null`` values or a std <= 1e-12 are skipped, and
     nothing is reported when the label is constant; returns (feature, corr)
     with |corr| >= threshold, strongest first."""
-    cols = list(cols) if cols is not None else _numeric(df, [label_col])
+    cols = list(cols) if cols is not None else _coercible(df, [label_col])
     if not cols:
         return df.sparkSession.createDataFrame([], "feature string, corr double")
     st = _feature_label_stats(df, label_col, cols)
@@ -83,7 +90,7 @@ def leakage_report(df: DataFrame, label_col: str, award: str, cols: Sequence[str
     spark = df.sparkSession
     names = spark.createDataFrame([(c,) for c in name_leakage(cols, strict_tokens)], "feature string")
     names = names.select(F.lit("name").alias("kind"), "feature", F.lit(None).cast("double").alias("corr"))
-    numeric = [c for c in _numeric(df, [label_col]) if c in set(cols)]
+    numeric = [c for c in _coercible(df, [label_col]) if c in set(cols)]
     corr = corr_leakage(df, label_col, numeric, threshold).select(F.lit("corr").alias("kind"), "feature", "corr")
     return names.unionByName(corr)
 

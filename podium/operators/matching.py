@@ -6,7 +6,6 @@ U3 (season percentiles) and U4 (group z-scores) live in :mod:`.windows`.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +27,16 @@ def normalize_name(c) -> Column:
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
 
-def _delete_variants(key: Column) -> Column:
-    """The key itself and every string obtained by deleting one character."""
-    dels = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))),
-                       lambda i: F.concat(key.substr(F.lit(1), i - 1), key.substr(i + 1, F.length(key))))
-    return F.array_distinct(F.concat(F.array(key), dels))
+def _delete_variants(key: Column, deletions: int = 1) -> Column:
+    """The key itself and every string obtained by deleting up to ``deletions``
+    characters."""
+    found = F.array(key)
+    for _ in range(deletions):
+        shorter = F.flatten(F.transform(found, lambda k: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(k), F.lit(1))),
+            lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))))
+        found = F.array_distinct(F.concat(found, shorter))
+    return found
 
 
 def entity_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
@@ -41,15 +45,16 @@ def entity_match(left: DataFrame, right: DataFrame, left_name: str, right_name:
 
     Both sides get a normalised key (:func:`normalize_name`); duplicate keys
     are folded first (the lowest right id represents a right key).  Equal keys
-    match (an equi-join).  With ``max_distance=1`` a left key without an equal
-    right key is matched to the right key at edit distance 1 with the lowest
-    id: candidates are pairs that share a one-deletion variant (every pair at
-    distance <= 1 does), verified with ``levenshtein``.  Distinct keys sharing
-    a variant differ in one position, so a variant group is bounded by key
-    length x alphabet size, never by the data size.  Output: left id and name,
-    key, right id and name, distance; unmatched left rows keep NULLs."""
-    if max_distance not in (0, 1):
-        raise ValueError("max_distance must be 0 or 1")
+    match (an equi-join).  With ``max_distance = d`` a left key without an equal
+    right key is matched to the nearest right key at an edit distance of at most
+    d, the lowest id among equally near ones: candidates are pairs that share a
+    variant with up to d deletions (every pair at distance <= d does), verified
+    with ``levenshtein``.  Distinct keys sharing a variant differ in d positions
+    at most, so a variant group is bounded by (key length x alphabet size) to the
+    power d, never by the data size.  Output: left id and name, key, right id and
+    name, distance; unmatched left rows keep NULLs."""
+    if max_distance < 0:
+        raise ValueError("max_distance must not be negative")
     lk = left.select(col_ref(left_id).alias("left_id"), col_ref(left_name).alias("left_name"),
                      normalize_name(left_name).alias("key"))
     rk = (right.select(col_ref(right_id).alias("right_id"), col_ref(right_name).alias("right_name"),
@@ -61,16 +66,20 @@ def entity_match(left: DataFrame, right: DataFrame, left_name: str, right_name:
         "key", F.struct(F.lit(0).alias("d"), F.col("__best.right_id").alias("right_id"),
                         F.col("__best.right_name").alias("right_name")).alias("__m"))
     matches = exact
-    if max_distance == 1:
+    if max_distance > 0:
         todo = lkeys.join(exact.select("key"), "key", "left_anti")
-        lv = todo.select("key", F.explode(_delete_variants(F.col("key"))).alias("__v"))
-        rv = rk.select("rkey", "__best", F.explode(_delete_variants(F.col("rkey"))).alias("__v"))
+        lv = todo.select("key", F.explode(_delete_variants(F.col("key"), max_distance)).alias("__v"))
+        rv = rk.select("rkey", "__best", F.explode(_delete_variants(F.col("rkey"), max_distance)).alias("__v"))
         cand = lv.join(rv, "__v", "inner").select("key", "rkey", "__best").distinct()
-        near = cand.where(F.levenshtein("key", "rkey") == 1).groupBy("key").agg(F.min(F.struct(
-            F.lit(1).alias("d"), F.col("__best.right_id").alias("right_id"),
-            F.col("__best.right_name").alias("right_name"))).alias("__m"))
+        cand = cand.withColumn("d", F.levenshtein("key", "rkey")).where((F.col("d") > 0) & (F.col("d") <= max_distance))
+        near = cand.groupBy("key").agg(F.min(F.struct(
+            "d", F.col("__best.right_id").alias("right_id"), F.col("__best.right_name").alias("right_name"))).alias("__m"))
         matches = exact.unionByName(near)
-    j = lk.join(matches, "key", "left")
+    # rows without a key match nothing; their hash keeps them from meeting in one task
+    alone = F.when(F.coalesce(F.col("key"), F.lit("")) == "", F.xxhash64("left_id", "left_name"))
+    lk = lk.withColumn("__alone", F.coalesce(alone, F.lit(0)))
+    matches = matches.withColumnRenamed("key", "__key").withColumn("__none", F.lit(0).cast("long"))
+    j = lk.join(matches, F.col("key").eqNullSafe(F.col("__key")) & (F.col("__alone") == F.col("__none")), "left")
     return j.select("left_id", "left_name", "key", F.col("__m.right_id").alias("right_id"),
                     F.col("__m.right_name").alias("right_name"), F.col("__m.d").alias("distance"))
 
@@ -86,6 +95,3 @@ def merge_sources(base: DataFrame, sources: Mapping[str, DataFrame], keys: Seque
         out = out.join(renamed, keys, "left")
     return out
 
-
-def _and(cs: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cs)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_probability, col_ref
-from .ordering import _as_list, value_positions
+from .ordering import _as_list, all_of, exact_quantiles, join_summary, value_positions
 from .windows import rank_in_period
 
 
@@ -32,24 +32,20 @@ def winner_ranks(df: DataFrame, period_col: str | Sequence[str], score_col: str,
     ordering score desc, tiebreak asc.  Periods without a positive (or whose
     positives have no score) are absent.  Computed as 1 + the number of scored
     rows that sort before that positive."""
-    groups = _as_list(period_col)
-    tiebreak = list(tiebreak)
-
-    def key(prefix=""):
-        return F.struct((-F.col(score_col).cast("double")).alias("s"),
-                        *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
-
-    scored = df.where(F.col(score_col).isNotNull())
-    best = (scored.where(_label01(label_col) == 1).groupBy(*groups)
-            .agg(F.min(key()).alias("__best")))
-    best = best.select(*[F.col(g).alias(f"__b_{g}") for g in groups], "__best")
-    cond = None
-    for g in groups:
-        c = scored[g].eqNullSafe(best[f"__b_{g}"])
-        cond = c if cond is None else cond & c
-    j = scored.select(*groups, key().alias("__k")).join(best, cond, "inner")
-    return (j.groupBy(*[F.col(f"__b_{g}").alias(g) for g in groups])
-            .agg((F.sum((F.col("__k") < F.col("__best")).cast("long")) + F.lit(1)).alias("winner_rank")))
+    groups, tiebreak = _as_list(period_col), list(tiebreak)
+    # sorts before: a larger score, or the same and a smaller tiebreak
+    scored = df.where(col_ref(score_col).isNotNull()).select(
+        *[col_ref(g).alias(f"g{i}") for i, g in enumerate(groups)], _label01(label_col).alias("y"),
+        col_ref(score_col).alias("s"), F.struct(F.lit(0).alias("z"), *[col_ref(t).alias(f"t{i}") for i, t in enumerate(tiebreak)]).alias("t"))
+    keys = [f"g{i}" for i in range(len(groups))]
+    top = scored.where("y = 1").groupBy(*keys).agg(F.max("s").alias("best_s"))
+    ties = join_summary(scored.where("y = 1"), top.select(*[F.col(k).alias(f"b{k}") for k in keys], "best_s"),
+                        [(k, f"b{k}") for k in keys], "inner").where(F.col("s") == F.col("best_s"))
+    best = ties.groupBy(*[F.col(k).alias(f"b{k}") for k in keys]).agg(F.max("best_s").alias("bs"), F.min("t").alias("bt"))
+    j = join_summary(scored, best, [(k, f"b{k}") for k in keys], "inner")
+    ahead = (F.col("s") > F.col("bs")) | ((F.col("s") == F.col("bs")) & (F.col("t") < F.col("bt")))
+    return j.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, groups)]).agg(
+        (F.sum(ahead.cast("long")) + F.lit(1)).alias("winner_rank"))
 
 
 def summarize_ranks(ranks: DataFrame, rank_col: str = "winner_rank", group_cols: Sequence[str] = (),
@@ -150,17 +146,24 @@ def log_loss(df: DataFrame, prob_col: str, label_col: str, group_cols: Sequence[
 
 
 def winner_rank_summary(ranks: DataFrame, rank_col: str = "rank", group_cols: Sequence[str] = (),
-                        ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
-    """M7: periods, top-k rates, MRR, median and worst winner rank.  The rank
-    table has one row per winner, so its size is bounded by the number of
-    periods."""
+                        ks: Sequence[int] = (1, 3, 5, 10), period_col: str | None = None) -> DataFrame:
+    """M7: distinct periods (without ``period_col``: winner rows), top-k rates, MRR,
+    exact median and worst winner rank over a table with one row per winner."""
     group_cols = list(group_cols)
-    r = F.col(rank_col).cast("double")
-    aggs = [F.count(F.col(rank_col)).alias("seasons")]
+    r = col_ref(rank_col).cast("double")
+    seasons = F.count(col_ref(rank_col)) if period_col is None else F.count_distinct(col_ref(period_col))
+    aggs = [seasons.alias("seasons")]
     aggs += [F.avg((r <= k).cast("double")).alias(f"top{k}") for k in ks]
-    aggs += [F.avg(F.lit(1.0) / r).alias("mrr"), F.median(r).alias("median_rank"), F.max(r).alias("max_rank")]
-    src = ranks.where(F.col(rank_col).isNotNull())
-    return src.groupBy(*group_cols).agg(*aggs) if group_cols else src.agg(*aggs)
+    aggs += [F.avg(F.lit(1.0) / r).alias("mrr"), F.max(r).alias("max_rank")]
+    src = ranks.where(col_ref(rank_col).isNotNull())
+    median = exact_quantiles(src, group_cols, rank_col, [0.5], ["median_rank"]).drop("n")
+    order = [*group_cols, "seasons", *[f"top{k}" for k in ks], "mrr", "median_rank", "max_rank"]
+    if not group_cols:
+        return src.agg(*aggs).select("*", median.select("median_rank").scalar().alias("median_rank")).select(*order)
+    both = src.groupBy(*group_cols).agg(*aggs)
+    m = median.select(*[col_ref(g).alias(f"__{g}") for g in group_cols], "median_rank")
+    cond = [col_ref(g).eqNullSafe(col_ref(f"__{g}")) for g in group_cols]
+    return both.join(m, all_of(cond), "left").select(*order)
 
 
 def metrics_by_award(scored: DataFrame, period_col: str, score_col: str, label_col: str,

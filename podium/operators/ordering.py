@@ -2,34 +2,42 @@
 
 A window ``partition by period order by score`` sends every row of a period to
 one task; at scale a period (or a whole table, for a global AUC) is unbounded.
-The helpers here compute the same numbers from *running totals* built in two
-levels:
-
-1. Key bounds sampled once (about 20 keys per block, sorted by Spark, kept
-   on the driver as at most #blocks literals) cut the sorted order into
-   contiguous blocks of bounded size.  A row's block is a pure function of
-   its key, so recomputed or re-planned stages always agree; a unique order
-   key lets the bounds split a hot value across blocks.
-2. Inside each block a window over ``(group, block)`` gives local running
-   sums; the per-block totals (one row per group and block, so at most
-   ``#groups + #blocks`` rows) give each block's offset.  The offset table is
-   tiny; adaptive execution turns its join into a broadcast once it has seen
-   its real size, and falls back to a sort-merge join otherwise.
-   Inputs below ``MIN_ROWS_PER_BLOCK`` rows are one block: no sampling.
-
-Everything stays inside whole-stage-codegen operators: no Python per row.
+One algorithm serves every size, and it is one lazy plan:
+
+1. The rows are range-partitioned by (group, order keys) into blocks, so a
+   large group spans many blocks and a small one shares a block.
+2. A window over (block, group) gives running sums inside the block.
+3. One total per (block, group) -- at most #groups + #blocks rows -- gives each
+   block's offset and the group's total, joined back on (block, group).
+
+Steps 2 and 3 read the same exchange, which Spark computes once.  Should a
+plan ever range-partition twice with other bounds, the row counts of the two
+sides would differ; the join checks them and raises rather than answer.
+
+The number of blocks follows the bytes the plan scans (and is at least
+``spark.sql.shuffle.partitions``); results do not depend on it.  Rows travel
+inside one struct, so the caller's column names never clash with ours.
+Everything stays in native operators: no Python per row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID = "__blk"
+from ..functions.scalar import col_ref
+
 _ALL = "__all"
+#: scanned bytes for each block beyond ``spark.sql.shuffle.partitions`` blocks
+BYTES_PER_BLOCK = 32 << 20
+#: session setting that fixes the number of blocks
+BLOCKS_CONF = "podium.ordering.blocks"
+#: copies of a group summary, so that joining it back splits a large group
+SALTS = 16
 
 
 def _as_list(x) -> list:
@@ -40,273 +48,144 @@ def _as_list(x) -> list:
     return list(x)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds)
-
-
-# a block should hold at least this many rows before the input is split at all
-MIN_ROWS_PER_BLOCK = 200_000
-# positions per bucket in the quantile lookup join
-POSITION_BUCKET = 1 << 20
-# session setting that overrides it (tests use a tiny value to force many blocks)
-MIN_ROWS_CONF = "podium.ordering.minRowsPerBlock"
-# sampled keys per block when choosing the block bounds
-OVERSAMPLE = 20
-
-
-def n_blocks(df: DataFrame, n: int | None = None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-# inputs the optimizer estimates below this size are one block: no count and
-# no sample job (the estimate is an upper bound for scans, filters, aggregates
-# and joins without cost-based statistics)
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-SMALL_INPUT_CONF = "podium.smallInputBytes"
-
-
-def small_input_bytes(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the optimizer's (upper-bound) size estimate says the input
-    fits comfortably in one task.  Operators then use a plain window or a
-    grouped ``percentile``; above it they take the running-totals path whose
-    tasks stay bounded however large one group grows.  Setting
-    ``podium.smallInputBytes`` to -1 forces the distributed path (tests)."""
-    limit = small_input_bytes(df)
-    if limit < 0:
-        return False
-    est = estimated_bytes(df)
-    scanned = scanned_bytes(df)
-    if scanned is not None:
-        # joins without cost-based statistics are estimated as the product of
-        # their sides; the bytes the plan scans bound a plan without
-        # many-to-many joins far better (x4 for decompression)
-        est = min(est, SCAN_EXPANSION * scanned) if est is not None else SCAN_EXPANSION * scanned
-    return est is not None and est <= limit
+def all_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
-SCAN_EXPANSION = 4
+def join_summary(df: DataFrame, summary: DataFrame, on: Sequence[tuple[str, str]], how: str = "left",
+                 salts: int = SALTS) -> DataFrame:
+    """``df`` joined with a small table of one row per group, null-safe on the pairs
+    (column of df, column of summary).  Small summaries are broadcast by Spark; else
+    the summary is repeated ``salts`` times and the rows of a group are spread by
+    their hash, so no task gets a whole group.  Summary columns must have names of
+    their own."""
+    spread = F.pmod(F.xxhash64(*[col_ref(c) for c in df.columns]), F.lit(salts)).cast("int")
+    copies = summary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df.withColumn("__spread", spread)
+    cond = [col_ref(a).eqNullSafe(col_ref(b)) for a, b in on] + [F.col("__spread") == F.col("__salt")]
+    return left.join(copies, all_of(cond), how).drop("__spread", "__salt")
 
 
-def scanned_bytes(df: DataFrame) -> int | None:
-    """Sum of the size estimates of the plan's leaf relations (the files it
-    reads), or ``None`` when unavailable."""
+def scanned_bytes(df: DataFrame) -> int:
+    """Sum of the size estimates of the files a plan reads (0 if unknown)."""
     try:
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - an estimate is optional
-        return None
+        return 0
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan (what ``explain("cost")``
-    prints), or ``None`` when it is unavailable."""
-    try:
-        # statistics of the analysed plan: no optimiser run, and without
-        # cost-based statistics an upper bound of the optimised estimate
-        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - an estimate is optional
-        return None
-
-
-def _key_fields(group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]]) -> list[Column]:
-    """The ordering as ascending struct fields: group columns, then each order
-    column (descending numeric columns are negated)."""
-    fields = [F.col(g).alias(f"k{i}") for i, g in enumerate(group_cols)]
-    for j, (c, asc) in enumerate(order_by):
-        e = F.col(c) if asc else -F.col(c)
-        fields.append(e.alias(f"k{len(group_cols) + j}"))
-    return fields
-
-
-def _block_bounds(keyed: DataFrame, blocks: int, min_rows: int) -> list:
-    """Choose up to ``blocks - 1`` increasing key bounds from a sample.  Two
-    small jobs (a count and a sample of about ``OVERSAMPLE`` keys per block,
-    sorted by Spark); the bounds come back to the driver as literals, so the
-    block of a row is a pure function of its key -- every recomputation (a
-    lost executor, a re-planned stage) puts it in the same block."""
-    if blocks <= 1:
-        return []
-    if is_small(keyed):
-        return []
-    n = keyed.count()
-    want = min(blocks, max(1, -(-n // max(1, min_rows))))
-    if want <= 1:
-        return []
-    frac = min(1.0, OVERSAMPLE * want / float(n))
-    sample = keyed.select("__key").sample(False, frac, seed=20240101).orderBy("__key").collect()
-    if not sample:
-        return []
-    step = len(sample) / float(want)
-    bounds, last = [], None
-    for i in range(1, want):
-        k = sample[min(len(sample) - 1, int(i * step))]["__key"]
-        if last is None or k != last:
-            bounds.append(k)
-            last = k
-    return bounds
-
-
-def _block_expr(key: Column, bounds: list, key_type) -> Column:
-    """Number of bounds strictly below ``key``: a balanced CASE tree over the
-    literal bounds (log2(#bounds) comparisons per row, whole-stage codegen)."""
-    lits = [F.lit(None).cast(key_type) if b is None else
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, key_type.fields)])
-            for b in bounds]
-
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > lits[mid], build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return build(0, len(lits))
+def n_blocks(df: DataFrame, blocks: int | None = None) -> int:
+    conf = df.sparkSession.conf
+    fixed = blocks or conf.get(BLOCKS_CONF, None)
+    if fixed:
+        return int(fixed)
+    most = 1 << 17
+    return max(int(conf.get("spark.sql.shuffle.partitions", "200")),
+               min(most, math.ceil(scanned_bytes(df) / BYTES_PER_BLOCK)))
 
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]],
-                   sums: Sequence[str], *, prefix: str = "cum_",
-                   blocks: int | None = None, min_rows_per_block: int = MIN_ROWS_PER_BLOCK) -> DataFrame:
-    """Add inclusive running sums ``{prefix}{c}`` of ``sums`` within each group,
-    in the order ``order_by`` (a list of ``(column, ascending)``; descending
-    only for numeric columns).
-
-    ``group_cols + order_by`` must identify a row uniquely (end the ordering
-    with a unique key), otherwise the split between tied rows is arbitrary.
-    The sorted order is cut into blocks by sampled key bounds; local running
-    sums come from a window over (group, block), and each block's offset from
-    the per-block totals (a table of at most #groups + #blocks rows).
+                   sums: Sequence[str], *, prefix: str = "cum_", totals: str | None = None,
+                   blocks: int | None = None) -> DataFrame:
+    """Add inclusive running sums ``{prefix}{c}`` of ``sums`` within each group, in the
+    order ``order_by``: (column, ascending), any orderable type; nulls come first in
+    ascending order and last in descending.  ``totals`` adds the group's sums under
+    that prefix.
+
+    ``group_cols + order_by`` must identify a row uniquely (end the ordering with a
+    unique key), otherwise the split between tied rows is arbitrary.
     """
-    group_cols = _as_list(group_cols)
-    order_by = list(order_by)
-    sums = _as_list(sums)
-    keyed = df.withColumn("__key", F.struct(*_key_fields(group_cols, order_by)))
-    min_rows = int(df.sparkSession.conf.get(MIN_ROWS_CONF, str(min_rows_per_block)))
-    bounds = _block_bounds(keyed, n_blocks(df, blocks), min_rows)
-    key_type = keyed.schema["__key"].dataType
-    keyed = keyed.withColumn(_PID, _block_expr(F.col("__key"), bounds, key_type) if bounds else F.lit(0))
-
-    w_local = (Window.partitionBy(*group_cols, _PID).orderBy(F.col("__key").asc_nulls_first())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = keyed.select("*", *[F.sum(c).over(w_local).alias(f"__loc_{c}") for c in sums])
-    if not bounds:
-        return local.select(*[F.col(c) for c in df.columns],
-                            *[F.col(f"__loc_{c}").alias(f"{prefix}{c}") for c in sums])
-
-    blk = keyed.groupBy(*group_cols, _PID).agg(*[F.sum(c).alias(f"__blk_{c}") for c in sums])
-    w_off = (Window.partitionBy(*group_cols).orderBy(_PID)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blk.select(*[F.col(g).alias(f"__g_{g}") for g in group_cols],
-                         F.col(_PID).alias("__g_blk"),
-                         *[F.coalesce(F.sum(f"__blk_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}")
-                           for c in sums])
-    cond = [local[_PID] == offsets["__g_blk"]] + [local[g].eqNullSafe(offsets[f"__g_{g}"]) for g in group_cols]
-    joined = local.join(offsets, on=reduce(lambda a, b: a & b, cond), how="inner")
-    out_cols = [F.col(c) for c in df.columns] + [
-        (F.col(f"__loc_{c}") + F.col(f"__off_{c}")).alias(f"{prefix}{c}") for c in sums]
-    return joined.select(*out_cols)
+    groups, sums, cols = _as_list(group_cols), _as_list(sums), df.columns
+
+    def field(c: str) -> Column:
+        return F.col(f"row.c{cols.index(c)}")
+
+    rows = df.select(F.struct(*[col_ref(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"))
+    rows = rows.withColumn("g", F.struct(F.lit(0).alias("g"), *[field(c).alias(f"g{i}") for i, c in enumerate(groups)]))
+    order = [field(c).asc_nulls_first() if asc else field(c).desc_nulls_last() for c, asc in order_by]
+    blocked = (rows.repartitionByRange(n_blocks(df, blocks), F.col("g").asc(), *order)
+               .withColumn("b", F.spark_partition_id()))
+
+    inside = Window.partitionBy("b", "g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = blocked.select("row", "g", "b", F.count(F.lit(1)).over(Window.partitionBy("b", "g")).alias("seen"),
+                           *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)])
+    per_block = blocked.groupBy("b", "g").agg(F.count(F.lit(1)).alias("n"),
+                                              *[F.sum(field(c)).alias(f"t{i}") for i, c in enumerate(sums)])
+    # one row per block of the group
+    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(
+        F.col("g").alias("og"), F.col("b").alias("ob"), "n",
+        *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"f{i}") for i in range(len(sums))],
+        *[F.sum(f"t{i}").over(Window.partitionBy("g")).alias(f"a{i}") for i in range(len(sums))])
+    both = local.join(offsets, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")), "left")
+
+    def checked(e: Column) -> Column:
+        return F.when(F.col("seen") == F.col("n"), e).otherwise(
+            F.raise_error(F.lit("blocks of two range partitionings met")))
+
+    return both.select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)],
+        *[checked(F.col(f"l{i}") + F.col(f"f{i}")).alias(f"{prefix}{c}") for i, c in enumerate(sums)],
+        *[F.col(f"a{i}").alias(f"{totals}{c}") for i, c in enumerate(sums) if totals is not None])
 
 
 def value_positions(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     weights: dict[str, Column] | None = None, *, descending: bool = False,
-                    with_total: bool = False, blocks: int | None = None) -> DataFrame:
+                    blocks: int | None = None) -> DataFrame:
     """Distinct non-null values per group with their multiplicity ``_n``, the
-    number of values strictly before them ``_before`` and their average rank
-    ``_avg_rank`` (1-based, ties averaged) in ascending (or descending) order.
+    number of values strictly before them ``_before``, their average rank
+    ``_avg_rank`` (1-based, ties averaged) in ascending (or descending) order, and
+    the group's non-null count ``_total``.
 
     Duplicated values are folded by a partial aggregation first, so a value
     that holds a third of all rows becomes one row before any shuffle.
     Extra ``weights`` (name -> column) are summed per value and get running
-    totals ``cum_<name>`` as well.  ``with_total`` adds the group's non-null
-    count ``_total``.
+    totals ``cum_<name>`` as well.
     """
-    group_cols = _as_list(group_cols)
-    if not group_cols:
-        # one global group: a constant key keeps every join below an equi-join
-        out = value_positions(df.withColumn(_ALL, F.lit(0)), [_ALL], value_col, weights,
-                              descending=descending, with_total=with_total, blocks=blocks)
-        return out.drop(_ALL)
-    weights = weights or {}
-    d = (df.where(F.col(value_col).isNotNull())
-         .groupBy(*group_cols, value_col)
-         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(k) for k, e in weights.items()]))
-    rt = running_totals(d, group_cols, [(value_col, not descending)], ["_n", *weights.keys()], blocks=blocks)
-    rt = (rt.withColumn("_before", F.col("cum__n") - F.col("_n"))
-            .withColumn("_avg_rank", F.col("_before").cast("double")
-                        + (F.col("_n").cast("double") + F.lit(1.0)) / F.lit(2.0)))
-    if not with_total:
-        return rt
-    # group sizes from the folded table (one row per group; it shares the
-    # aggregation's shuffle with the branch above)
-    tot = d.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
-    tot = tot.select(*[F.col(g).alias(f"__t_{g}") for g in group_cols], "_total")
-    cond = reduce(lambda a, b: a & b, [rt[g].eqNullSafe(tot[f"__t_{g}"]) for g in group_cols])
-    return rt.join(tot, cond, "inner").drop(*[f"__t_{g}" for g in group_cols])
+    groups, weights = _as_list(group_cols), weights or {}
+    folded = (df.where(col_ref(value_col).isNotNull()).groupBy(*[col_ref(g) for g in groups], col_ref(value_col))
+              .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(k) for k, e in weights.items()]))
+    rt = running_totals(folded, groups, [(value_col, not descending)], ["_n", *weights], totals="all_", blocks=blocks)
+    return (rt.withColumn("_before", F.col("cum__n") - F.col("_n"))
+            .withColumn("_avg_rank", F.col("_before").cast("double") + (F.col("_n").cast("double") + 1.0) / 2.0)
+            .withColumnRenamed("all__n", "_total").drop(*[f"all_{k}" for k in weights]))
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], names: Sequence[str] | None = None, *,
                     blocks: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (Spark ``percentile``, DuckDB
-    ``quantile_cont``) per group, computed from running counts over distinct
-    values; one row per group with columns ``names`` (default ``q0, q1 ...``)
-    and ``n`` (non-null count).  Groups with no non-null value are absent."""
-    group_cols = _as_list(group_cols)
+    ``quantile_cont``) per group, one row per group with columns ``names`` (default
+    ``q0, q1 ...``) and ``n`` (non-null count).  Groups with no non-null value are
+    absent.
+
+    A distinct value covers the order positions from ``_before`` up to its
+    running count; the values that cover a quantile's two positions are picked by
+    one partial aggregation.
+    """
+    groups = _as_list(group_cols)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    if not group_cols:
-        out = exact_quantiles(df.withColumn(_ALL, F.lit(0)), [_ALL], value_col, probs, names, blocks=blocks)
-        return out.drop(_ALL)
-    if is_small(df):
-        # small input: Spark's exact ``percentile`` (it buffers each group's values)
-        v = F.col(value_col).cast("double")
-        q = F.percentile(v, [float(p) for p in probs])
-        return (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols)
-                .agg(q.alias("__qs"), F.count(F.lit(1)).alias("n"))
-                .select(*group_cols, *[F.col("__qs")[i].alias(nm) for i, nm in enumerate(names)], "n"))
-    pos = value_positions(df, group_cols, value_col, with_total=True, blocks=blocks)
-    pos = pos.select(*group_cols, value_col, "_before", F.col("cum__n").alias("_upto"), "_total")
-    totals = pos.select(*group_cols, F.col("_total").alias("__N")).distinct()
-    # one row per (group, prob, end): the 0-based order positions we need
-    wanted = totals.select(
-        *group_cols, "__N",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"))
-                            for i, p in enumerate(probs)])).alias("__q"))
-    wanted = wanted.select(*group_cols, "__N", "__q.pi", "__q.p",
-                           ((F.col("__N") - 1).cast("double") * F.col("__q.p")).alias("__h"))
-    wanted = wanted.select("*", F.floor("__h").cast("long").alias("__lo"),
-                           F.ceil("__h").cast("long").alias("__hi"))
-    ends = wanted.select(*group_cols, "pi", "__h", "__N",
-                         F.explode(F.array(F.struct(F.lit("lo").alias("end"), F.col("__lo").alias("at")),
-                                           F.struct(F.lit("hi").alias("end"), F.col("__hi").alias("at"))))
-                         .alias("__e"))
-    ends = ends.select(*[F.col(g).alias(f"__w_{g}") for g in group_cols], "pi", "__h", "__N",
-                       "__e.end", "__e.at")
-    # equi-join on (group, position bucket) so that no join key holds a whole
-    # group: a value row covers positions [_before, _upto) and is repeated for
-    # each bucket of that range (one or two unless the value repeats > 2^20 times)
-    pos = pos.withColumn("__pb", F.explode(F.sequence(F.floor(F.col("_before") / POSITION_BUCKET).cast("long"),
-                                                       F.floor((F.col("_upto") - 1) / POSITION_BUCKET).cast("long"))))
-    ends = ends.withColumn("__eb", F.floor(F.col("at") / POSITION_BUCKET).cast("long"))
-    cond = [pos[g].eqNullSafe(ends[f"__w_{g}"]) for g in group_cols] + [pos["__pb"] == ends["__eb"]]
-    cond += [ends["at"] >= pos["_before"], ends["at"] < pos["_upto"]]
-    hit = pos.join(ends, on=reduce(lambda a, b: a & b, cond), how="inner")
-    per_prob = (hit.groupBy(*group_cols, "pi")
-                .agg(F.max(F.when(F.col("end") == "lo", F.col(value_col))).alias("__xlo"),
-                     F.max(F.when(F.col("end") == "hi", F.col(value_col))).alias("__xhi"),
-                     F.first("__h").alias("__h"), F.first("__N").alias("__N")))
-    per_prob = per_prob.withColumn(
-        "__q", F.col("__xlo").cast("double")
-        + (F.col("__h") - F.floor("__h")) * (F.col("__xhi").cast("double") - F.col("__xlo").cast("double")))
-    return (per_prob.groupBy(*group_cols)
-            .agg(*[F.max(F.when(F.col("pi") == i, F.col("__q"))).alias(nm) for i, nm in enumerate(names)],
-                 F.max("__N").alias("n")))
+    pos = value_positions(df.select(*[col_ref(g) for g in groups], col_ref(value_col)), groups, value_col, blocks=blocks)
+
+    def place(p: float, total: Column) -> Column:
+        return (total - 1).cast("double") * float(p)
+
+    def covering(end) -> Column:
+        at = end.cast("long")
+        return F.max(F.when((F.col("_before") <= at) & (at < F.col("cum__n")), col_ref(value_col).cast("double")))
+
+    ends = []
+    for i, p in enumerate(probs):
+        h = place(p, F.col("_total"))
+        ends += [covering(F.floor(h)).alias(f"__lo{i}"), covering(F.ceil(h)).alias(f"__hi{i}")]
+    aggs = [F.max("_total").alias("__n"), *ends]
+    one = pos.groupBy(*[col_ref(g) for g in groups]).agg(*aggs) if groups else pos.agg(*aggs).where("__n is not null")
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        h = place(p, F.col("__n"))
+        out.append((F.col(f"__lo{i}") + (h - F.floor(h)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(name))
+    return one.select(*[col_ref(g) for g in groups], *out, F.col("__n").alias("n"))
 
 
 def row_positions(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]],

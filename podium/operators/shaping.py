@@ -46,14 +46,10 @@ def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c in have])
 
 
-def distinct_categories(df: DataFrame, col: str, max_categories: int = 1000) -> list:
-    """Distinct non-NULL values of a low-cardinality column, sorted; raises
-    when there are more than ``max_categories`` (a one-hot of an unbounded
-    column is a modelling error, not something to collect)."""
-    vals = (df.select(col_ref(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-            .limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"column {col!r} has more than {max_categories} categories")
+def distinct_categories(df: DataFrame, col: str) -> list:
+    """Distinct non-NULL values of a categorical column, sorted: they become the
+    columns of the result, so the driver has to know them all."""
+    vals = df.select(col_ref(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
     return sorted(r["v"] for r in vals)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col_ref
-from .ordering import _as_list, is_small, row_positions, value_positions
+from .ordering import _as_list, all_of, join_summary, row_positions, value_positions
 
 PREV = "prev_"
 DELTA = "delta_"
@@ -32,24 +32,26 @@ def default_prev_cols(df: DataFrame, entity_col: str, period_col: str,
             if c not in skip and not c.startswith(PREV) and not c.startswith(DELTA)]
 
 
+def entity_window(df: DataFrame, entity_col: str) -> "Window":
+    """Partitions of one entity each; a row without an entity is a partition of its
+    own (by its hash), so such rows never pile up in one task."""
+    alone = F.when(col_ref(entity_col).isNull(), F.xxhash64(*[col_ref(c) for c in df.columns]))
+    return Window.partitionBy(col_ref(entity_col), alone)
+
+
 def add_prev_features(df: DataFrame, entity_col: str, period_col: str,
                       cols: Sequence[str] | None = None, tiebreak: Sequence[str] = (),
                       prefix: str = PREV) -> DataFrame:
     """``prev_c`` = value of ``c`` on the entity's previous *row* in period
     order (row-based lag 1, so a gap is skipped, see T8).  All columns share
-    one window, in one projection, partitioned by the entity alone (so an
-    input already hash-partitioned by entity is not shuffled again).  Rows
-    with a NULL entity get NULL (T4) without entering the window, so they can
-    never pile up in one partition."""
+    one window, in one projection over one scan.  Rows with a NULL entity get
+    NULL (T4)."""
     cols = default_prev_cols(df, entity_col, period_col) if cols is None else list(cols)
-    w = Window.partitionBy(entity_col).orderBy(
-        F.col(period_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak])
-    known = df.where(F.col(entity_col).isNotNull()).select(
-        *[col_ref(c) for c in df.columns], *[F.lag(col_ref(c), 1).over(w).alias(f"{prefix}{c}") for c in cols])
-    unknown = df.where(F.col(entity_col).isNull()).select(
-        *[col_ref(c) for c in df.columns],
-        *[F.lit(None).cast(df.schema[c].dataType).alias(f"{prefix}{c}") for c in cols])
-    return known.unionByName(unknown)
+    w = entity_window(df, entity_col).orderBy(
+        col_ref(period_col).asc_nulls_first(), *[col_ref(t).asc_nulls_first() for t in tiebreak])
+    known = col_ref(entity_col).isNotNull()
+    return df.select(*[col_ref(c) for c in df.columns],
+                     *[F.when(known, F.lag(col_ref(c), 1).over(w)).alias(f"{prefix}{c}") for c in cols])
 
 
 def add_delta_features(df: DataFrame, cols: Sequence[str], prefix: str = DELTA,
@@ -70,16 +72,10 @@ def rank_in_period(df: DataFrame, period_col: str | Sequence[str], score_col: st
     NULL rank, and NULL-score rows do not push others down.  Exact at any size:
     positions come from range-partitioned running counts, not from a window
     over the whole period."""
-    groups = _as_list(period_col)
-    if is_small(df):
-        w = Window.partitionBy(*groups).orderBy(F.col(score_col).desc(), *[F.col(t).asc_nulls_first() for t in tiebreak])
-        return df.withColumn(out_col, F.when(F.col(score_col).isNotNull(),
-                                             F.row_number().over(w).cast("long")))
     order = [(score_col, False)] + [(t, True) for t in tiebreak]
-    scored = df.where(F.col(score_col).isNotNull())
-    ranked = row_positions(scored, groups, order, out_col, blocks=blocks)
-    unscored = df.where(F.col(score_col).isNull()).withColumn(out_col, F.lit(None).cast("long"))
-    return ranked.unionByName(unscored)
+    # nulls come last, so they push nobody down
+    ranked = row_positions(df, _as_list(period_col), order, out_col, blocks=blocks)
+    return ranked.withColumn(out_col, F.when(col_ref(score_col).isNotNull(), col_ref(out_col)))
 
 
 def top_k_per_period(df: DataFrame, period_col: str | Sequence[str], score_col: str,
@@ -94,51 +90,53 @@ def top_k_per_period(df: DataFrame, period_col: str | Sequence[str], score_col:
             .where(F.col(out_col) <= k))
 
 
+def _by_type(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """Columns that can share one unpivoted value column without a cast."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return list(kinds.values())
+
+
+def _value_percentiles(df: DataFrame, groups: Sequence[str], cols: Sequence[str],
+                       blocks: int | None) -> DataFrame:
+    """(k0.., f, v, pct): the percentile of each distinct value of each column, all
+    columns in one pass; the columns have one type."""
+    long = df.select(*[col_ref(g).alias(f"k{i}") for i, g in enumerate(groups)], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("f"), col_ref(c).alias("v")) for c in cols])).alias("fv"))
+    keys = [*[f"k{i}" for i in range(len(groups))], "f"]
+    vp = value_positions(long.select(*keys[:-1], "fv.f", "fv.v"), keys, "v", blocks=blocks)
+    return vp.select(*keys, "v", (F.col("_avg_rank") / F.col("_total").cast("double")).alias("pct"))
+
+
 def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Sequence[str] | str,
                      suffix: str = "_pct", names: Sequence[str] | None = None, *,
                      blocks: int | None = None) -> DataFrame:
     """Pandas ``rank(pct=True, method="average")`` per period: average
     1-based rank among non-null values divided by the non-null count, in
-    (0, 1]; NULL stays NULL.  Small inputs use windows (R1).  Otherwise all
-    columns are unpivoted to (period, column, value), duplicate values are
-    folded, ranks come from one running-counts pass over the distinct values,
-    and each column joins its percentiles back on (period, value)."""
+    (0, 1]; NULL stays NULL.  Values keep their own type.  The columns of a type
+    are unpivoted to (period, column, value), duplicate values are folded, ranks
+    come from one running-counts pass over the distinct values, and each column
+    joins its percentiles back on (period, value); rows without a value are
+    spread by their hash."""
     groups = _as_list(period_col)
     cols = _as_list(cols)
     names = list(names) if names else [f"{c}{suffix}" for c in cols]
-    if is_small(df):
-        return df.select("*", *[_pct_window(c, groups).alias(nm) for c, nm in zip(cols, names)])
-    # one running-totals pass for all columns: (period, column, value) rows
-    long = df.select(*groups, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("f"), col_ref(c).cast("double").alias("v")) for c in cols])).alias("__fv"))
-    long = long.select(*groups, F.col("__fv.f").alias("__f"), F.col("__fv.v").alias("__v"))
-    vp = value_positions(long, [*groups, "__f"], "__v", with_total=True, blocks=blocks)
-    pct_all = vp.select(*[F.col(g).alias(f"__k_{g}") for g in groups], "__f", "__v",
-                        (F.col("_avg_rank") / F.col("_total").cast("double")).alias("__pct"))
-    out = df
-    for c, nm in zip(cols, names):
-        pct = pct_all.where(F.col("__f") == c).select(*[f"__k_{g}" for g in groups], "__v",
-                                                      F.col("__pct").alias(nm))
-        cond = [out[g].eqNullSafe(pct[f"__k_{g}"]) for g in groups] + [col_ref(c).cast("double") == pct["__v"]]
-        j = out.join(pct, on=_and(cond), how="left")
-        out = j.select(*[col_ref(x) for x in out.columns], F.col(nm))
-    return out
-
-
-def _pct_window(c: str, groups: list) -> "F.Column":
-    """Small-input form of W4 (R1): (rank + (ties - 1) / 2) / non-null count,
-    all windows clustered by the period, so one exchange serves them all."""
-    x = col_ref(c)
-    w_order = Window.partitionBy(*groups).orderBy(x.asc_nulls_last())
-    w_tie = Window.partitionBy(*groups, x)
-    w_all = Window.partitionBy(*groups)
-    avg_rank = F.rank().over(w_order).cast("double") + (F.count(F.lit(1)).over(w_tie) - 1).cast("double") / 2.0
-    return F.when(x.isNotNull(), avg_rank / F.count(x).over(w_all).cast("double"))
-
-
-def _and(conds):
-    from functools import reduce
-    return reduce(lambda a, b: a & b, conds)
+    out, have = df, list(df.columns)
+    spread = F.pmod(F.xxhash64(*[col_ref(c) for c in have]), F.lit(1 << 20))
+    for same in _by_type(df, cols):
+        pct_all = _value_percentiles(df, groups, same, blocks)
+        for c in same:
+            name = names[cols.index(c)]
+            pct = pct_all.where(F.col("f") == c).select(
+                *[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(groups))], F.col("v").alias("__v"),
+                F.col("pct").alias("__pct"), F.lit(-1).cast("long").alias("__none"))
+            cond = [col_ref(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups)]
+            cond += [col_ref(c).eqNullSafe(F.col("__v")), F.col("__spread") == F.col("__none")]
+            j = out.withColumn("__spread", F.when(col_ref(c).isNull(), spread).otherwise(F.lit(-1).cast("long"))).join(
+                pct, all_of(cond), "left")
+            out = j.select(*[col_ref(x) for x in out.columns], F.col("__pct").alias(name))
+    return out.select(*[col_ref(c) for c in have], *[col_ref(n) for n in names])
 
 
 def add_volume_features(df: DataFrame, period_col: str, award: str,
@@ -162,15 +160,16 @@ def add_volume_features(df: DataFrame, period_col: str, award: str,
 def best_per_group(df: DataFrame, group_cols: Sequence[str], crit_col: str,
                    tiebreak: Sequence[str] = ()) -> DataFrame:
     """The best row per group: highest ``crit_col`` (NULL last), then
-    lowest ``tiebreak``.  A partial aggregation of an ordered struct, so a
-    hot group never sits in one task."""
+    lowest ``tiebreak``, then the other columns in order.  ``row_number() = 1``
+    plans a group limit before the shuffle, so a task sends one row per group;
+    values are compared in their own type."""
     group_cols = _as_list(group_cols)
-    rest = [c for c in df.columns if c not in group_cols]
-    key = F.struct(F.col(crit_col).isNull().alias("__nl"), (-F.col(crit_col).cast("double")).alias("__neg"),
-                   *[F.col(t).alias(f"__t{i}") for i, t in enumerate(tiebreak)],
-                   *[col_ref(c).alias(c) for c in rest])
-    best = df.groupBy(*group_cols).agg(F.min(key).alias("__best"))
-    return best.select(*group_cols, *[F.col("__best").getField(c).alias(c) for c in rest])
+    w = Window.partitionBy(*[col_ref(g) for g in group_cols]).orderBy(
+        col_ref(crit_col).desc_nulls_last(), *[col_ref(t).asc_nulls_first() for t in tiebreak],
+        *[col_ref(c).asc_nulls_first() for c in df.columns if c not in {crit_col, *group_cols, *tiebreak}
+          and not isinstance(df.schema[c].dataType, T.MapType)])
+    return df.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").select(*[
+        col_ref(c) for c in [*group_cols, *[c for c in df.columns if c not in group_cols]]])
 
 
 def _distinct_periods(df: DataFrame, period_col: str) -> DataFrame:
@@ -193,7 +192,7 @@ def temporal_split_last_k(df: DataFrame, period_col: str, val_periods: int = 3,
     lab = ranked.select(F.col(period_col).alias("__p"),
                         F.when(F.col("__r") <= test_periods, "test")
                         .when(F.col("__r") <= test_periods + val_periods, "val").otherwise("train").alias(out_col))
-    return df.join(lab, df[period_col] == lab["__p"], "left").drop("__p")
+    return join_summary(df, lab, [(period_col, "__p")]).drop("__p")
 
 
 def temporal_split_cutoff(df: DataFrame, period_col: str, train_end: int = 2018, val_end: int = 2021,
@@ -204,13 +203,11 @@ def temporal_split_cutoff(df: DataFrame, period_col: str, train_end: int = 2018,
                          .when(p.isNotNull(), "test"))
 
 
-def assert_splits_nonempty(df: DataFrame, split_col: str = "split",
-                           splits: Sequence[str] = ("train", "val", "test")) -> None:
-    """nb05 guard: every split must have rows (one small aggregation)."""
-    have = {r[0] for r in df.groupBy(split_col).count().collect()}
-    missing = [s for s in splits if s not in have]
-    if missing:
-        raise ValueError(f"empty split(s): {missing}")
+def _per_period(df: DataFrame, period_col: str, label_col: str) -> DataFrame:
+    """(p, n_rows, n_pos): one row per distinct period."""
+    return (df.where(col_ref(period_col).isNotNull()).groupBy(col_ref(period_col).alias("p"))
+            .agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.coalesce(col_ref(label_col).cast("long"), F.lit(0))).alias("n_pos")))
 
 
 def walk_forward_folds(df: DataFrame, period_col: str, label_col: str,
@@ -218,28 +215,21 @@ def walk_forward_folds(df: DataFrame, period_col: str, label_col: str,
     """Fold table.  For every test period s (optionally within
     [first, last]): train = all periods < s, test = s; folds whose train part
     has no positive are dropped.  Output: one row per (fold, period) with the
-    role, the rows and the positives of that period.  Built from the
-    per-period summary (one row per period); a range join of two tiny tables."""
-    per = (df.where(F.col(period_col).isNotNull()).groupBy(period_col)
-           .agg(F.count(F.lit(1)).alias("n_rows"),
-                F.sum(F.coalesce(F.col(label_col).cast("long"), F.lit(0))).alias("n_pos")))
-    folds = per.select(F.col(period_col).alias("fold"))
+    role, the rows and the positives of that period: a running list over the
+    per-period table (one row per period), without a join."""
+    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    folds = _per_period(df, period_col, label_col).select(
+        F.col("p").alias("fold"), F.collect_list(F.struct("p", "n_rows", "n_pos")).over(upto).alias("parts"),
+        F.sum("n_pos").over(earlier).alias("train_pos"))
+    folds = folds.where(F.col("train_pos") > 0)
     if first_period is not None:
         folds = folds.where(F.col("fold") >= first_period)
     if last_period is not None:
         folds = folds.where(F.col("fold") <= last_period)
-    pairs = folds.join(per, F.col(period_col) <= F.col("fold"), "inner")
-    pairs = pairs.withColumn("role", F.when(F.col(period_col) == F.col("fold"), "test").otherwise("train"))
-    train_pos = (pairs.where(F.col("role") == "train").groupBy("fold")
-                 .agg(F.sum("n_pos").alias("__train_pos")))
-    ok = train_pos.where(F.col("__train_pos") > 0).select("fold")
-    return pairs.join(ok, "fold", "left_semi").select("fold", period_col, "role", "n_rows", "n_pos")
-
-
-def fold_rows(df: DataFrame, folds: DataFrame, period_col: str) -> DataFrame:
-    """Attach the fold table to the fact rows: each row appears once per fold
-    it belongs to (train rows of a period repeat in every later fold)."""
-    return df.join(folds.select("fold", period_col, "role"), period_col, "inner")
+    role = F.when(F.col("x.p") == F.col("fold"), "test").otherwise("train")
+    return folds.select("fold", F.explode("parts").alias("x")).select(
+        "fold", F.col("x.p").alias(period_col), role.alias("role"), "x.n_rows", "x.n_pos")
 
 
 LEARNING_FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)
@@ -252,20 +242,15 @@ def learning_curve_folds(df: DataFrame, period_col: str, label_col: str,
     periods (earliest first).  One row per fraction with the size of the
     training part and a status: ``ok``, ``too_few_periods``, ``single_class``
     or ``too_few_positives``."""
-    per = (df.where(F.col(period_col).isNotNull()).groupBy(period_col)
-           .agg(F.count(F.lit(1)).alias("__rows"),
-                F.sum(F.coalesce(F.col(label_col).cast("long"), F.lit(0))).alias("__pos")))
     # the per-period table has one row per distinct period, so ordered windows
     # without a partition key touch only that small table
-    w = Window.orderBy(F.col(period_col).asc())
-    per = per.withColumn("__i", F.row_number().over(w)).withColumn(
-        "__n", F.count(F.lit(1)).over(Window.partitionBy()))
-    fr = df.sparkSession.createDataFrame([(float(f),) for f in fracs], "frac double")
-    # range join of two small tables: a period belongs to every fraction whose cut covers it
-    pairs = fr.join(per, F.col("__i") <= F.ceil(F.col("frac") * F.col("__n")), "inner")
-    agg = (pairs.groupBy("frac")
-           .agg(F.count(F.lit(1)).alias("n_periods"), F.max(period_col).alias("periods_max"),
-                F.sum("__rows").alias("n_train_rows"), F.sum("__pos").alias("n_pos")))
+    per = _per_period(df, period_col, label_col).select(
+        "*", F.row_number().over(Window.orderBy("p")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    # a period belongs to every fraction whose cut covers it
+    cuts = per.select("p", "n_rows", "n_pos", "i", "n", F.explode(F.array(*[F.lit(float(f)) for f in fracs])).alias("frac"))
+    agg = (cuts.where(F.col("i") <= F.ceil(F.col("frac") * F.col("n"))).groupBy("frac")
+           .agg(F.count(F.lit(1)).alias("n_periods"), F.max("p").alias("periods_max"),
+                F.sum("n_rows").alias("n_train_rows"), F.sum("n_pos").alias("n_pos")))
     agg = agg.withColumn("n_neg", F.col("n_train_rows") - F.col("n_pos"))
     status = (F.when(F.col("n_periods") < min_train_periods, "too_few_periods")
               .when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), "single_class")
@@ -281,7 +266,7 @@ def group_zscore(df: DataFrame, period_col: str, cols: Sequence[str], suffix: st
     stats = df.groupBy(period_col).agg(
         *[F.avg(col_ref(c)).alias(f"__m{i}") for i, c in enumerate(cols)],
         *[F.stddev_samp(col_ref(c)).alias(f"__s{i}") for i, c in enumerate(cols)])
-    j = df.join(stats.withColumnRenamed(period_col, "__p"), df[period_col].eqNullSafe(F.col("__p")), "left")
+    j = join_summary(df, stats.withColumnRenamed(period_col, "__p"), [(period_col, "__p")])
     z = [F.try_divide(col_ref(c).cast("double") - F.col(f"__m{i}"), F.nullif(F.col(f"__s{i}"), F.lit(0.0)))
          .alias(f"{c}{suffix}") for i, c in enumerate(cols)]
     return j.select(*[col_ref(c) for c in df.columns], *z)
@@ -297,20 +282,17 @@ def season_percentiles(df: DataFrame, period_col: str, cols: Sequence[str], key_
     the rows (``key_cols`` + period must be unique).  The number of shuffles
     does not grow with the number of columns."""
     cols = list(cols)
-    key_cols = [k for k in key_cols if k != period_col]
-    if is_small(df):
-        return df.select("*", *[_pct_window(c, [period_col]).alias(f"{prefix}{c}") for c in cols])
-    long = df.select(*[F.col(k) for k in key_cols], F.col(period_col), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("f"), col_ref(c).cast("double").alias("v")) for c in cols])).alias("__fv"))
-    long = long.select(*key_cols, period_col, F.col("__fv.f").alias("__f"), F.col("__fv.v").alias("__v"))
-    vp = value_positions(long.select(period_col, "__f", "__v"), [period_col, "__f"], "__v", with_total=True,
-                         blocks=blocks)
-    pct = vp.select(F.col(period_col).alias("__p"), F.col("__f").alias("__pf"), F.col("__v").alias("__pv"),
-                    (F.col("_avg_rank") / F.col("_total").cast("double")).alias("__pct"))
-    cond = ((long[period_col].eqNullSafe(pct["__p"])) & (long["__f"] == pct["__pf"]) & (long["__v"] == pct["__pv"]))
-    lp = long.join(pct, cond, "left")
-    wide = lp.groupBy(*[F.col(k).alias(f"__k_{k}") for k in key_cols], F.col(period_col).alias("__k_period")).agg(
-        *[F.max(F.when(F.col("__f") == c, F.col("__pct"))).alias(f"{prefix}{c}") for c in cols])
-    jc = [df[k].eqNullSafe(wide[f"__k_{k}"]) for k in key_cols] + [df[period_col].eqNullSafe(wide["__k_period"])]
-    j = df.join(wide, _and(jc), "left")
-    return j.select(*[col_ref(c) for c in df.columns], *[F.col(f"{prefix}{c}") for c in cols])
+    keys = [*[k for k in key_cols if k != period_col], period_col]
+    out = df
+    for same in _by_type(df, cols):
+        pct = _value_percentiles(df, [period_col], same, blocks).select(
+            F.col("k0").alias("__p"), F.col("f").alias("__f"), F.col("v").alias("__v"), "pct")
+        long = df.select(*[col_ref(k).alias(f"k{i}") for i, k in enumerate(keys)], F.explode(F.array(*[
+            F.struct(F.lit(c).alias("f"), col_ref(c).alias("v")) for c in same])).alias("fv")).where("fv.v is not null")
+        hits = long.join(pct, F.col(f"k{len(keys) - 1}").eqNullSafe(F.col("__p")) & (F.col("fv.f") == F.col("__f"))
+                         & (F.col("fv.v") == F.col("__v")))
+        wide = hits.groupBy(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))]).agg(
+            *[F.max(F.when(F.col("__f") == c, F.col("pct"))).alias(f"{prefix}{c}") for c in same])
+        out = out.join(wide, all_of([col_ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]), "left").drop(
+            *[f"__k{i}" for i in range(len(keys))])
+    return out.select(*[col_ref(c) for c in df.columns], *[col_ref(f"{prefix}{c}") for c in cols])

@@ -42,8 +42,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, laptops) set a
-    fresh scratch folder of our own."""
+    ``spark.checkpoint.dir``; only when it is unset on a local master (tests,
+    laptops) set a fresh scratch folder of our own.  On a cluster such a folder
+    would be the driver's alone, so there an unset folder is an error."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="podium-ckpt-")
         sc.setCheckpointDir(d)
         current = sc.getCheckpointDir()

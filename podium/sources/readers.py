@@ -6,7 +6,6 @@ paths and choosing between them (schema and file-system metadata, no job).
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Sequence
 
@@ -112,9 +111,26 @@ def read_latest_run(spark: SparkSession, root: str, group_cols: Sequence[str] =
                     run_col: str = "run_id", fmt: str = "parquet") -> DataFrame:
     """S5 over a table written partitioned by ``award`` and ``run_id``
     (Parquet winner ranks, or ``fmt="json"`` for the metrics records)."""
-    df = spark.read.option("basePath", root).format(fmt).load(root)
-    return latest_runs(nan_to_null(df.withColumn(run_col, F.col(run_col).cast("string"))), group_cols, run_col)
-
-
-def path_join(*parts: str) -> str:
-    return os.path.join(*parts)
+    newest: dict[str, str] = {}
+    for folder in _folders(spark, root, list(group_cols)):
+        runs = [f.rpartition("=")[2] for f in _folders(spark, folder, [run_col])]
+        runs = [r for r in runs if re.fullmatch(RUN_ID_PATTERN, r)]
+        if runs:
+            newest[folder] = max(runs)
+    if not newest:
+        raise FileNotFoundError(f"no {run_col}= partitions under {root}")
+    # only the newest run of each group is listed and read
+    paths = [f"{folder}/{run_col}={run}" for folder, run in newest.items()]
+    df = spark.read.option("basePath", root).format(fmt).load(paths)
+    return nan_to_null(df.withColumn(run_col, F.col(run_col).cast("string")))
+
+
+def _folders(spark: SparkSession, root: str, columns: list[str]) -> list[str]:
+    """Partition folders below ``root``, one level for each column."""
+    found = [root.rstrip("/")]
+    for c in columns:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [str(st.getPath()) for at in found
+                 for st in path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path(at))
+                 if st.isDirectory() and st.getPath().getName().startswith(f"{c}=")]
+    return found

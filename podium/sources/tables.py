@@ -11,10 +11,11 @@ named here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nan_to_null
+from ..operators.ordering import join_summary
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -31,19 +32,18 @@ def _winner_flag(df: DataFrame, period_col: str, score_col: str, entity_col: str
     """1 for the row with the highest score in its period (lowest entity on
     ties), else 0.  The best row per period comes from a partial aggregation
     (``min`` of an ordered struct), not from a window over the whole period."""
-    best = (df.where(F.col(score_col).isNotNull())
-            .groupBy(period_col)
+    best = (df.where(F.col(score_col).isNotNull()).groupBy(F.col(period_col).alias("__bp"))
             .agg(F.min(F.struct((-F.col(score_col)).alias("s"), F.col(entity_col).alias("e"))).alias("__b")))
-    best = best.select(F.col(period_col).alias("__bp"), F.col("__b.s").alias("__bs"), F.col("__b.e").alias("__be"))
-    j = df.join(best, df[period_col] == best["__bp"], "left")
-    flag = ((F.col(entity_col) == F.col("__be")) & (-F.col(score_col) == F.col("__bs"))).cast("int")
+    j = join_summary(df, best, [(period_col, "__bp")])
+    flag = ((F.col(entity_col) == F.col("__b.e")) & (-F.col(score_col) == F.col("__b.s"))).cast("int")
     return j.select(*[F.col(c) for c in df.columns], F.coalesce(flag, F.lit(0)).alias(out_col))
 
 
 def _first_period_flag(df: DataFrame, entity_col: str, period_col: str, out_col: str = "is_rookie") -> DataFrame:
-    # rows per entity are bounded by the number of periods, so an entity window is small
-    w = Window.partitionBy(entity_col)
-    return df.withColumn(out_col, (F.col(period_col) == F.min(period_col).over(w)).cast("int"))
+    # a grouped minimum (partial aggregation) joined back, spread over salts: no task gets a whole entity
+    first = df.groupBy(F.col(entity_col).alias("__e")).agg(F.min(period_col).alias("__first"))
+    return join_summary(df, first, [(entity_col, "__e")], salts=2).select(
+        *[F.col(c) for c in df.columns], (F.col(period_col) == F.col("__first")).cast("int").alias(out_col))
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,12 +16,10 @@ def spark():
 
 @pytest.fixture
 def distributed(spark):
-    """Force the running-totals path with tiny blocks for the duration of a test."""
-    spark.conf.set("podium.smallInputBytes", "-1")
-    spark.conf.set("podium.ordering.minRowsPerBlock", "2")
+    """Many small blocks for the duration of a test."""
+    spark.conf.set("podium.ordering.blocks", "23")
     yield spark
-    spark.conf.unset("podium.smallInputBytes")
-    spark.conf.unset("podium.ordering.minRowsPerBlock")
+    spark.conf.unset("podium.ordering.blocks")
 
 
 SF0001 = "/root/testdata/sf0.001"

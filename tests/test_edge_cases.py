@@ -189,3 +189,51 @@ def test_entity_match_exact_and_distance_one(spark):
     assert got == {1: (9, 0), 2: (11, 1), 3: (None, None), 4: (12, 1), 5: (9, 0)}
     exact = {r.left_id: r.right_id for r in entity_match(left, right, "n", "n", "id", "id").collect()}
     assert exact == {1: 9, 2: None, 3: None, 4: None, 5: 9}
+
+
+def test_seasons_count_periods_not_winners(spark):
+    ranks = spark.createDataFrame([(1, 1), (1, 4), (2, 2)], "season int, rank long")
+    r = M.winner_rank_summary(ranks, period_col="season").first()
+    assert (r.seasons, r.median_rank, r.max_rank) == (2, 2.0, 4.0)
+    by = M.winner_rank_summary(ranks.withColumn("award", F.lit("mvp")), group_cols=["award"], period_col="season").first()
+    assert (by.award, by.seasons, by.median_rank) == ("mvp", 2, 2.0)
+
+
+def test_an_empty_rookie_list_is_no_list(spark):
+    df = spark.createDataFrame([(2000, "a", 0), (2000, "b", 0), (2001, "c", 1), (2001, "d", 0)],
+                               "season int, Player string, is_rookie int")
+    empty = spark.createDataFrame([], "Player string")
+    got = sorted(r.Player for r in E.apply_eligibility(df, "roy", "season", rookies=empty).collect())
+    assert got == ["a", "b", "c"]
+
+
+def test_text_copies_of_the_label_are_leaks(spark):
+    df = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("string").alias("copy"),
+                                 F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"),
+                                 (F.col("id") % 7).cast("string").alias("other"))
+    assert [r.feature for r in L.corr_leakage(df, "y").collect()] == ["copy"]
+    assert ("corr", "copy") in {(r.kind, r.feature) for r in L.leakage_report(df, "y", "mvp").collect()}
+
+
+def test_strict_previous_period_refuses_repeated_keys(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0)], "e string, p int, x double")
+    with pytest.raises(Exception, match="duplicate key"):
+        J.prev_period_join(df, "e", "p", ["x"]).collect()
+    assert J.prev_period_join(df, "e", "p", ["x"], validate=False).count() == 2
+    unknown = spark.createDataFrame([(None, 1, 1.0), (None, 1, 1.0)], "e string, p int, x double")
+    assert [r.prev_x for r in J.prev_period_join(unknown, "e", "p", ["x"]).collect()] == [None, None]
+
+
+def test_one_scan_for_previous_values(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "ts", "value")
+    for out in (W.add_prev_features(df, "user_id", "ts", ["value"]),
+                J.prev_period_join(df.withColumn("p", F.dayofyear("ts")), "user_id", "p", ["value"])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_names_match_within_two_edits(spark):
+    from podium.operators.matching import entity_match
+    left = spark.createDataFrame([(1, "Jon Smith"), (2, "Nikola Jokic"), (3, "Nobody Here"), (4, None), (5, "?!")], "i int, n string")
+    right = spark.createDataFrame([(10, "John Smyth"), (11, "Nikola Jokic"), (12, "Nikola Joki")], "i int, n string")
+    got = {r.left_id: (r.right_id, r.distance) for r in entity_match(left, right, "n", "n", "i", "i", max_distance=2).collect()}
+    assert got == {1: (10, 2), 2: (11, 0), 3: (None, None), 4: (None, None), 5: (None, None)}

@@ -31,12 +31,10 @@ def test_unchanged_by_shuffle_partitions_and_order(spark, parts):
     base = _flagship(spark, user_day(spark, "/root/testdata/sf0.01"))
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    spark.conf.set("podium.smallInputBytes", "-1")
-    spark.conf.set("podium.ordering.minRowsPerBlock", "100")
+    spark.conf.set("podium.ordering.blocks", "31")
     try:
         shuffled = user_day(spark, "/root/testdata/sf0.01").orderBy(F.rand(7)).repartition(parts)
         assert _flagship(spark, shuffled) == pytest.approx(base)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("podium.smallInputBytes")
-        spark.conf.unset("podium.ordering.minRowsPerBlock")
+        spark.conf.unset("podium.ordering.blocks")

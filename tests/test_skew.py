@@ -14,20 +14,23 @@ def _skewed(spark, n=3000):
         F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") * 7919 % 1000) / 1000.0).alias("s"))
 
 
-def test_hot_value_is_split_across_blocks(spark, distributed):
-    spark.conf.set("podium.ordering.minRowsPerBlock", "300")
+def test_hot_value_is_split_across_blocks(spark):
     df = _skewed(spark)
-    keyed = df.withColumn("__key", F.struct(*O._key_fields(["p"], [("s", False), ("rid", True)])))
-    bounds = O._block_bounds(keyed, 10, 300)
-    assert len(bounds) >= 8
-    blk = keyed.withColumn("b", O._block_expr(F.col("__key"), bounds, keyed.schema["__key"].dataType))
-    sizes = [r["count"] for r in blk.groupBy("b").count().collect()]
+    blocks = df.repartitionByRange(10, "p", F.col("s").desc(), "rid").groupBy(F.spark_partition_id()).count()
     # the 1,000 tied rows are cut by the row key: no block holds them all
-    assert max(sizes) <= 2.5 * (sum(sizes) / len(sizes))
+    assert blocks.count() == 10
+    assert max(r["count"] for r in blocks.collect()) <= 2.5 * 300
+
+
+def test_block_count_follows_the_bytes_scanned(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert O.n_blocks(df) == least
+    monkeypatch.setattr(O, "BYTES_PER_BLOCK", 10_000)
+    assert O.n_blocks(df) > 10 * least
 
 
 def test_ranks_exact_under_skew(spark, distributed):
-    spark.conf.set("podium.ordering.minRowsPerBlock", "300")
     df = _skewed(spark)
     got = W.rank_in_period(df, "p", "s", ["rid"])
     ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("p").orderBy(F.col("s").desc(), "rid")))
@@ -38,3 +41,57 @@ def test_ranks_exact_under_skew(spark, distributed):
     below, ties = df.where("s < 0.5").count(), df.where("s = 0.5").count()
     assert ties >= 1000
     assert abs(pct[0] - (below + (ties + 1) / 2.0) / 3000.0) < 1e-12
+
+
+def test_any_type_and_any_column_name(spark, distributed):
+    """A group called p, a text score, longs beyond 2**53, names the plan uses itself."""
+    rows = [("a", "x" + str(i % 7), 2**53 + i % 3, i, None if i % 5 == 0 else float(i)) for i in range(60)]
+    rows += [("b", None, 2**53, 100, 1.0), (None, "z", None, 101, 2.0)]
+    df = spark.createDataFrame(rows, "p string, b string, g long, n long, row double")
+    got = {r.n: r["rank"] for r in W.rank_in_period(df, "p", "b", ["n"]).collect()}
+    ref = df.withColumn("r", F.when(F.col("b").isNotNull(), F.row_number().over(
+        Window.partitionBy("p").orderBy(F.col("b").desc_nulls_last(), "n"))))
+    assert got == {r.n: r.r for r in ref.collect()}
+    for c in ("b", "g", "row"):
+        pct = {r.n: r[f"{c}_pct"] for r in W.percent_rank_avg(df, "p", c).collect()}
+        every = [r for r in rows if r[0] == "a"]
+        at = df.columns.index(c)
+        known = [r[at] for r in every if r[at] is not None]
+        for r in every:
+            want = None if r[at] is None else (sum(v < r[at] for v in known) + (sum(v == r[at] for v in known) + 1) / 2) / len(known)
+            assert pct[r[3]] == want if want is None else abs(pct[r[3]] - want) < 1e-12
+    q = {r.p: (r.q0, r.n) for r in O.exact_quantiles(df.select("p", F.col("row").alias("v")), ["p"], "v", [0.5]).collect()}
+    import statistics
+    assert q["a"] == (statistics.median(r[4] for r in rows if r[0] == "a" and r[4] is not None), 48)
+    assert q[None] == (2.0, 1)
+
+
+def test_ordering_is_lazy_and_has_few_exchanges(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", "event_type", "value", "ts")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "planning")
+    out = W.percent_rank_avg(df, "event_type", "value")
+    assert tracker.getJobIdsForGroup("lazy") == []
+    spark.sparkContext.setJobGroup("rest", "rest")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 10 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_facts_are_not_shuffled_by_period(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from podium.operators import metrics as M
+        df = _skewed(spark).withColumn("label", (F.col("rid") == 7).cast("int"))
+        plans = [M.winner_ranks(df, "p", "s", "label", ["rid"]), W.group_zscore(df, "p", ["s"]),
+                 W.walk_forward_folds(df, "p", "label"), W.learning_curve_folds(df, "p", "label")]
+        for out in plans[:2]:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "__spread" in plan or "__salt" in plan
+        for out in plans:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+        seven = df.where("rid = 7").first()
+        ahead = df.where((F.col("s") > seven.s) | ((F.col("s") == seven.s) & (F.col("rid") < 7))).count()
+        assert plans[0].first()["winner_rank"] == ahead + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
