@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_ref, inf_to_null
-from ..operators.ordering import exact_quantiles
+from ..operators.ordering import exact_quantiles, row_positions
 
 FEATURES_VEC = "__features"
 WEIGHT = "__weight"
@@ -113,12 +113,10 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label_col: str, out_col: str = WEIGHT) -> DataFrame:
-    """Attach ML9 weights; the weight table has at most two rows, so a
-    broadcast is safe by construction."""
-    w = class_weights(df, label_col)
+    """Attach ML9 weights: those of the classes, as a map in one scalar subquery."""
+    w = class_weights(df, label_col).agg(F.map_from_entries(F.collect_list(F.struct("y", "weight")))).scalar()
     y = F.coalesce(col_ref(label_col).try_cast("double"), F.lit(0.0)).cast("int")
-    return (df.withColumn("__y", y).join(F.broadcast(w.select(F.col("y").alias("__y"), F.col("weight").alias(out_col))),
-                                         "__y", "left").drop("__y"))
+    return df.withColumn(out_col, F.element_at(w, y))
 
 
 # ---------------------------------------------------------------------------
@@ -141,6 +139,7 @@ class ModelSpec:
 # The reference's model grid and its hyper-parameters
 # ---------------------------------------------------------------------------
 LOGREG_C = 1.0
+SVM_C = 1.0
 SKLEARN_TOL = 1e-4
 ELASTICNET_L1_RATIO = 0.2
 MODEL_GRID = [
@@ -276,24 +275,40 @@ def _fit_model(train: DataFrame, features: list[str], label_col: str, spec: Mode
     return fm
 
 
+def n_train(rows: DataFrame, weight: str | None) -> float:
+    """Sum of the weights (or the rows) of a training part."""
+    return float(rows.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0.0)
+
+
 def _fit_svm_calibrated(fm: FittedModel, x: DataFrame, feats: list[str], weight: str | None) -> None:
     """ML6: ``folds`` linear SVMs, each fitted on the other folds, each with a
     sigmoid (Platt) calibration fitted on its held-out fold; scores average
-    the calibrated probabilities.  Folds are stratified by label and assigned
-    by a hash of the row, so they are stable under recomputation."""
+    the calibrated probabilities.  Folds are stratified: the rows of each class,
+    in the order of their hash, are dealt to the folds in turn.  Raises if a class
+    has fewer rows than folds.  scikit-learn minimises 1/2|w|^2 + C * sum of
+    weighted losses, Spark the mean-weighted loss + regParam/2 * |w|^2, hence
+    regParam = 1 / (C * sum of weights) and no standardisation."""
     k = int(fm.spec.params.get("folds", 3))
-    h = F.abs(F.xxhash64(*[col_ref(c) for c in x.columns if c != weight])) % k
-    xf = x.withColumn("__fold", h)
+    few = [r["__label"] for r in x.groupBy("__label").count().collect() if r["count"] < k]  # two classes
+    if few:
+        raise ValueError(f"class {few[0]} has fewer rows than {k} folds")
+    rows = [c for c in x.columns if c != weight]
+    ordered = x.withColumn("__h", F.xxhash64(*[col_ref(c) for c in rows]))
+    nth = row_positions(ordered, ["__label"], [("__h", True), *[(c, True) for c in rows]], "__nth")
+    xf = nth.withColumn("__fold", F.pmod(F.col("__nth"), F.lit(k))).drop("__h", "__nth")
+    xf = xf.persist(StorageLevel.MEMORY_AND_DISK)
     for i in range(k):
         tr, ho = xf.where(F.col("__fold") != i), xf.where(F.col("__fold") == i)
         svc = LinearSVC(featuresCol=FEATURES_VEC, labelCol="__label", weightCol=weight or "",
-                        maxIter=int(fm.spec.params.get("max_iter", 100)), regParam=0.0)
+                        maxIter=int(fm.spec.params.get("max_iter", 100)), standardization=False,
+                        regParam=1.0 / (float(fm.spec.params.get("C", SVM_C)) * max(1.0, float(n_train(tr, weight)))))
         m = Pipeline(stages=[_assembler(feats), svc]).fit(tr)
         margin = m.transform(ho).select(vector_to_array("rawPrediction")[1].alias("__m"), "__label")
         cal = LogisticRegression(featuresCol="__mv", labelCol="__label", regParam=0.0).fit(
             VectorAssembler(inputCols=["__m"], outputCol="__mv").transform(margin))
         fm.models.append(m)
         fm.calibrators.append((float(cal.coefficients[0]), float(cal.intercept)))
+    xf.unpersist()
 
 
 def linear_coefficients(fm: FittedModel, top_n: int = 20) -> DataFrame:

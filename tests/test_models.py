@@ -73,7 +73,8 @@ def test_permutation_importance_and_rolling_eval(spark, separable):
     ranks, summary = ST.rolling_eval(separable, ["x1", "x2"], "y", "period", ["rid"], ML.model_grid(["logreg_l2"])[0],
                                      first_period=8)
     s = summary.first()
-    assert s.seasons == 2 * 20 and s.top1 is not None
+    # period 8 has no positive; period 9 has 40 of them
+    assert s.seasons == 1 and s.top1 is not None
 
 
 def test_learning_curve_and_sweep(spark, separable):
@@ -84,3 +85,12 @@ def test_learning_curve_and_sweep(spark, separable):
     sw = ST.hparam_sweep(separable.where("period < 8"), separable.where("period >= 8"), ["x1", "x2"], "y",
                          Cs=(0.1, 1.0)).collect()
     assert len(sw) == 2 and all(math.isclose(r.val_auc_mean, 1.0) for r in sw)
+
+
+def test_svm_folds_are_stratified_and_few_rows_are_refused(spark):
+    rows = [(i, float(i % 2), float(i % 5), int(i < 4)) for i in range(200)]
+    few = spark.createDataFrame(rows, "rid int, x1 double, x2 double, y int")
+    fm = ML.fit_model(few, ["x1", "x2"], "y", ML.linear_svm_calibrated())
+    assert len(fm.calibrators) == 3  # each fold has one of the four positives or more
+    with pytest.raises(ValueError):
+        ML.fit_model(few.where("rid > 1"), ["x1", "x2"], "y", ML.linear_svm_calibrated())
