@@ -13,6 +13,7 @@ Reading decodes each file's blocks independently from their checkpoints.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import struct
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,13 @@ from .huffman import BLOCK, Codec, code_lengths
 END_ID = 0
 #: ids per file; larger on a large cluster
 IDS_PER_FILE = 4_000_000
-#: distinct pieces whose ids a worker remembers
-PIECES = 300_000
+#: words whose ids a worker remembers (some 200 bytes each)
+WORDS = 1_500_000
+#: texts encoded together
+TEXTS = 1024
 MAGIC = b"PODTOK01"
-#: texts of these characters only are cut into pieces before they reach the tokenizer
-PLAIN = r"[^\t\n\x20-\x7e\xa1-\xff]"
+#: characters of texts that are not cut into words before they reach the tokenizer
+ODD = r"[^\n\x20-\x7e\xa1-\xff]"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -43,60 +47,105 @@ _ENCODERS: dict[str, "Encoder"] = {}
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
-    A byte-level tokenizer encodes each piece of its split on its own, so the ids
-    of a piece are asked of the library once and remembered (PIECES at most, then
-    forgotten).  That holds for plain texts, whose split is certain; texts with
-    any other character go to the library whole, as do all texts of a tokenizer
-    of another kind.
+    A byte-level tokenizer splits a text before every space that a visible
+    character follows, and around a single line feed, and encodes the parts on
+    their own.  So a text of common characters and single white space is cut
+    there into words, and the ids of a word are asked of the library once and
+    remembered (WORDS at most, then forgotten).  Texts with any other character
+    or with white space side by side go to the library whole, as do all texts of
+    a tokenizer of another kind.
     """
 
     def __init__(self, path: str):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path, "rb") as f:
-            spec = json.load(f)
+        spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"] or {}
-        self.by_piece = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
-                         and spec["normalizer"] is None and spec["post_processor"] is None)
-        import public_tokenizers
-
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(PLAIN).search
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, words = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        cuts = np.searchsorted(words, np.arange(len(pieces) + 1))
-        for i, p in enumerate(pieces):
-            self.known[p] = ids[cuts[i]:cuts[i + 1]].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.by_piece or self.odd(t)]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                found = self.pieces(t)
-                try:
-                    out[i] = b"".join([self.known[p] for p in found])
-                except KeyError:
-                    missing = [p for p in set(found) if p not in self.known]
-                    if len(self.known) + len(missing) > PIECES:
-                        self.known.clear()
-                        missing = list(set(found))
-                    for j in range(0, len(missing), 20_000):
-                        self._learn(missing[j:j + 20_000])
-                    out[i] = b"".join([self.known[p] for p in found])
-        return out
+        self.by_word = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
+                        and spec["normalizer"] is None and spec["post_processor"] is None)
+        vocabulary = self.tokenizer.get_vocab()
+        # ids of tokens that begin with a space or a line feed: the first of a word
+        self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+        self.odd = re.compile(ODD).search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of a word; its ids are flat[begin[n]:begin[n + 1]]
+        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _room(self, end: int) -> None:
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+
+    def _learn(self, words: list[str]) -> None:
+        spaced = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.frombuffer(self._whole(["".join(spaced)])[0], "<u4")
+        cuts = np.flatnonzero(self.first[ids])
+        if len(cuts) != len(words) or cuts[0] != 0:  # a vocabulary whose tokens don't tell where a word begins
+            each = self._whole(spaced)
+            ids = np.frombuffer(b"".join(each), "<u4")
+            cuts = np.cumsum([0] + [len(e) // 4 for e in each[:-1]])
+        n = len(self.known)
+        at, end = int(self.begin[n]), int(self.begin[n]) + len(ids)
+        self._room(end)
+        while n + len(words) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[at:end] = ids
+        self.begin[n:n + len(words)] = at + cuts
+        self.begin[n + len(words)] = end
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def _plain(self, t: str) -> bool:
+        return bool(t) and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n"
+                                or self.odd(t))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (unsigned 32-bit)."""
+        plain = [bool(self.by_word and self._plain(t)) for t in texts]
+        whole = self._whole([t for t, p in zip(texts, plain) if not p])
+        of_words = self._by_words([t for t, p in zip(texts, plain) if p])
+        whole, of_words = iter(whole), iter(of_words)
+        return [next(of_words) if p else np.frombuffer(next(whole), "<u4") for p in plain]
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        first = np.asarray(split.offsets)[:-1].astype(np.int64)
+        coded = split.values.dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(self.known) + len(new) > WORDS:
+            self._forget()
+            new = np.arange(len(words))
+        number[new] = len(self.known) + np.arange(len(new))
+        for i in range(0, len(new), 4096):
+            self._learn([words[j] for j in new[i:i + 4096].tolist()])
+        # a text's first word has no space before it: its ids are its own
+        heads = self._whole(pc.take(split.values, pa.array(first)).to_pylist())
+        head_ids, head_n = np.frombuffer(b"".join(heads), "<u4"), np.array([len(h) // 4 for h in heads], np.int64)
+        known_ids = int(self.begin[len(self.known)])
+        self._room(known_ids + len(head_ids))
+        self.flat[known_ids:known_ids + len(head_ids)] = head_ids  # behind the words', until the next is learnt
+        begin = self.begin[number][code]
+        n = (self.begin[number + 1] - self.begin[number])[code]
+        begin[first] = known_ids + np.cumsum(head_n) - head_n
+        n[first] = head_n
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))]
+        return np.split(ids, ends[np.append(first[1:], len(n)) - 1][:-1])
 
 
 def encoder(path: str) -> Encoder:
@@ -108,46 +157,34 @@ def encoder(path: str) -> Encoder:
 
 def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
               end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids): little-endian unsigned 32-bit ids of every whole
-    text (null: empty) and the end id.  ``tokenizer`` is a path that every
-    executor can open."""
-    end = struct.pack("<I", end_id)
-
+    """(doc_id, n_tokens, ids) of every whole text (null: empty) with the end id.  ids
+    is a byte that tells their width, 2 or 4, and the ids in so many
+    little-endian bytes.  ``tokenizer`` is a path that every executor can open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                ids = [x + end for x in e.encode([t or "" for t in b.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"])
+        e, end = encoder(tokenizer), np.array([end_id], np.uint32)
+        for b in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
+            ids = [np.append(x, end) for x in e.encode([t or "" for t in b.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([_pack(x) for x in ids], pa.binary())],
+                ["doc_id", "n_tokens", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run,
                        "doc_id long, n_tokens long, ids binary")
 
 
-def _pack(ids: bytes) -> bytes:
-    """Ids for the scratch table, after a byte that tells their width: 16 bits each if they fit."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\x02" + a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + ids
+def _pack(ids: np.ndarray) -> bytes:
+    """The width the ids need, and the ids."""
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.uint32)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([_pack(x) for x in b.column(2).to_pylist()], pa.binary())],
-            ["doc_id", "n_tokens", "ids"])
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for x in b.column(0).to_pylist():
+        for x in (x.as_py() for x in b.column(0)):
             c = np.bincount(_unpack(x))
             if len(c) > len(total):
                 total = np.append(total, np.zeros(len(c) - len(total), np.int64))
@@ -159,7 +196,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _coder(lengths: bytes, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, ends = Codec(np.frombuffer(zlib.decompress(lengths), np.uint8)), np.array(bounds, np.int64)
-        for b in batches:
+        for b in (batch.slice(i, 512) for batch in batches for i in range(0, batch.num_rows, 512)):
             ids, keys = b.column(2).to_pylist(), b.column(0).to_pylist()
             coded = [codec.encode(_unpack(x)) for x in ids]
             part = [0 if k is None else int(np.searchsorted(ends, k)) for k in keys]
@@ -205,14 +242,14 @@ def _file_writer(folder: str, lengths: bytes):
 
 
 def write_token_files(ids: DataFrame, folder: str, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """Write (doc_id, n_tokens, ids) into files under ``folder`` in ascending doc_id
+    """Write what ``token_ids`` gives into files under ``folder`` in ascending doc_id
     order (null first); the manifest: part, path, n_docs, n_tokens, start.
 
     Rows with equal doc_ids stay together, in no set order.  An empty table
     writes no file.
     """
     spark = ids.sparkSession
-    packed = materialize(map_batches(ids, _packed, "doc_id long, n_tokens long, ids binary"), "ids")
+    packed = materialize(ids, "ids")
     counted = (map_batches(packed.select("ids"), _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
                .toPandas())  # one row per vocabulary entry at most
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
