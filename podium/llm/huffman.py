@@ -64,22 +64,35 @@ class Codec:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The ids' bits, filled up to whole bytes, and the bit offset of every BLOCK-th id."""
+        return self.encode_many([ids])[0]
+
+    def encode_many(self, lists: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
+        """``encode`` of each list, all packed in one go."""
+        n = np.array([len(x) for x in lists], np.int64)
+        ids = np.concatenate(lists) if lists else np.empty(0, np.uint32)
         if not len(ids):
-            return b"", np.empty(0, np.uint32)
+            return [(b"", np.empty(0, np.uint32)) for _ in lists]
         size = self.lengths[ids].astype(np.int64)
         if not size.all():
             raise ValueError("an id without a code")
-        end = np.cumsum(size)
-        at = end - size
+        ends = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.concatenate([[0], np.cumsum(n)])  # first id of each list
+        n_bytes = (ends[cuts[1:]] - ends[cuts[:-1]] + 7) // 8
+        first_byte = np.cumsum(n_bytes) - n_bytes
+        inside = ends[:-1] - np.repeat(ends[cuts[:-1]], n)  # bit offset in the list
+        at = inside + np.repeat(8 * first_byte, n)
         code, word, room = self.codes[ids], at >> 6, 64 - (at & 63) - size
         whole = code << np.maximum(room, 0).astype(np.uint64)
         over = np.flatnonzero(room < 0)
         whole[over] = code[over] >> (-room[over]).astype(np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
-        words = np.zeros((int(end[-1]) + 63) // 64, np.uint64)
+        words = np.zeros(int(8 * n_bytes.sum() + 63) // 64, np.uint64)
         words[word[starts]] = np.bitwise_or.reduceat(whole, starts)
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at[::BLOCK].astype(np.uint32)
+        data = words.astype(">u8").tobytes()
+        marked = (np.arange(len(ids)) - np.repeat(cuts[:-1], n)) % BLOCK == 0
+        marks = np.split(inside[marked].astype(np.uint32), np.cumsum(-(-n // BLOCK))[:-1])
+        return [(data[a:a + k], m) for a, k, m in zip(first_byte.tolist(), n_bytes.tolist(), marks)]
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         if self._table is None:

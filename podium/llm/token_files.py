@@ -198,7 +198,7 @@ def _coder(lengths: bytes, bounds: list[int]):
         codec, ends = Codec(np.frombuffer(zlib.decompress(lengths), np.uint8)), np.array(bounds, np.int64)
         for b in (batch.slice(i, 512) for batch in batches for i in range(0, batch.num_rows, 512)):
             ids, keys = b.column(2).to_pylist(), b.column(0).to_pylist()
-            coded = [codec.encode(_unpack(x)) for x in ids]
+            coded = [c for i in range(0, len(ids), 64) for c in codec.encode_many([_unpack(x) for x in ids[i:i + 64]])]
             part = [0 if k is None else int(np.searchsorted(ends, k)) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), b.column(0), b.column(1), pa.array([c for c, _ in coded], pa.binary()),
