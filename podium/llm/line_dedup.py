@@ -35,7 +35,7 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source",
     """
     pages = docs.where(F.col(text).isNotNull()).select(
         F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("text"))
-    lines = (pages.select("host", "page", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
+    lines = (pages.select("host", "page", F.explode_outer(F.array_distinct(_lines(F.col("text")))).alias("line"))
              .where(F.col("line").rlike(f"[^{SPACE}]"))
              .select("host", "page", _line_key(F.col("line")).alias("key")))
     # both distinct counts aggregate before the shuffle, so a hot site or line is spread over its pages
@@ -62,7 +62,7 @@ def drop_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     lines = (docs.where(F.col(text).isNotNull())
              .select(F.col(doc_id).alias("id"), F.col(host).alias("host"),
-                     F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _line_key))).alias("key")))
+                     F.explode_outer(F.array_distinct(F.transform(_lines(F.col(text)), _line_key))).alias("key")))
     b = boiler.select(F.col("host").alias("site"), F.col("key").alias("bad"))
     hits = (lines.join(b, F.col("host").eqNullSafe(F.col("site")) & (F.col("key") == F.col("bad")))
             .groupBy(F.col("id").alias("hit_id"), F.col("host").alias("hit_host"))

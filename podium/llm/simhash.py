@@ -162,7 +162,7 @@ def plan_partitions(fps: DataFrame, distance: int, sizes=range(2, 9)) -> list[tu
     for m, parts in plans.items():
         costs = []
         for i, bits in enumerate(parts):
-            n, s = squares.get((m, i), (0, 0.0))
+            n, s = squares.get((m, i), (1, 1.0))  # an empty table: plan as for one fingerprint
             ball = [sum(math.comb(len(bits), k) for k in range(t + 1)) for t in range(distance + 1)]
             costs.append([0.0, *(b * (s + probe * n) for b in ball)])
         chosen = allocate(costs, distance)

@@ -51,7 +51,7 @@ def base_rules(text):
 
 
 def grams(text):
-    h = [xx(w) for w in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", text or "")]
+    h = [xx(w) for w in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+", text or "")]
     return [x % quality.BUCKETS for x in h + [xx(a, b) for a, b in zip(h, h[1:])]]
 
 

@@ -83,7 +83,7 @@ def _leak_corpus():
         docs.append((i, rng.choice([" ", ", ", " - "]).join(w)))
     every_fifth = items[4 if len(items[4][1].split()) > 20 else 0][1].split(" ")
     docs.append((500, " ".join("x" if k % 5 == 4 else x for k, x in enumerate(every_fifth))))
-    docs += [(501, None), (502, ""), (None, items[0][1] + " tail"), (503, "of " * 40)]
+    docs += [(501, None), (502, ""), (None, max((x for _, x in items[:25]), key=len) + " tail"), (503, "of " * 40)]
     return docs, items
 
 
