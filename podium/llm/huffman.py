@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 
-#: longest code; the decoding table has 2**MAX_LENGTH entries
-MAX_LENGTH = 20
+#: bits of the longest code; more only where the vocabulary needs them.  The decoding
+#: table has 2**longest entries and should stay in the processor's cache.
+MAX_LENGTH = 16
 #: tokens from one bit-offset checkpoint to the next
 BLOCK = 512
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
-    """Optimal code length of each symbol (0: never used) with none over ``limit``."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal code length of each symbol (0: never used) with none over ``limit``
+    (default: MAX_LENGTH, or one bit more than the symbols need)."""
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     n = len(used)
+    if limit is None:
+        limit = max(MAX_LENGTH, n.bit_length() + 1)
     if n > 1 << limit:
         raise ValueError(f"{n} symbols don't fit codes of {limit} bits")
     if n <= 1:
@@ -60,6 +64,7 @@ class Codec:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.uint8)
         self.codes = canonical_codes(self.lengths)
+        self.longest = max(1, int(self.lengths.max(initial=1)))
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -98,8 +103,8 @@ class Codec:
         if self._table is None:
             order = np.lexsort((np.arange(len(self.lengths)), self.lengths))
             order = order[self.lengths[order] > 0]
-            spans = 1 << (MAX_LENGTH - self.lengths[order].astype(np.int64))
-            pad = (1 << MAX_LENGTH) - int(spans.sum())
+            spans = 1 << (self.longest - self.lengths[order].astype(np.int64))
+            pad = (1 << self.longest) - int(spans.sum())
             self._table = (np.append(np.repeat(order, spans), np.zeros(pad, order.dtype)).astype(np.uint32),
                            np.append(np.repeat(self.lengths[order], spans), np.ones(pad, np.uint8)))
         return self._table
@@ -116,7 +121,7 @@ class Codec:
         for step in range(out.shape[0]):
             live = int(np.searchsorted(-left, -step, side="left"))  # blocks with more than step ids
             p = at[:live]
-            code = (windows[p >> 3] << (p & 7).astype(np.uint32)) >> np.uint32(32 - MAX_LENGTH)
+            code = (windows[p >> 3] << (p & 7).astype(np.uint32)) >> np.uint32(32 - self.longest)
             out[step, :live] = symbols[code]
             p += lengths[code]
         rows = np.empty_like(out.T)

@@ -33,17 +33,52 @@ from .huffman import BLOCK, Codec, code_lengths
 END_ID = 0
 #: ids per file; larger on a large cluster
 IDS_PER_FILE = 4_000_000
-#: words whose ids a worker remembers (some 200 bytes each)
-WORDS = 1_500_000
+#: words whose ids a worker remembers (some 200 bytes each), seen again and seen once
+WORDS, NEW_WORDS = 500_000, 300_000
 #: texts encoded together
 TEXTS = 1024
 MAGIC = b"PODTOK01"
-#: characters of texts that are not cut into words before they reach the tokenizer
-ODD = r"[^\n\x20-\x7e\xa1-\xff]"
+#: texts that are not cut into words before they reach the tokenizer: with characters
+#: beyond these, or white space side by side or at an end
+ODD = r"[^\n\x20-\x7e\x{a1}-\x{ff}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class Words:
+    """Ids of words: those of the n-th are ``flat[begin[n]:begin[n + 1]]``."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray) -> None:
+        n = len(self.number)
+        at, end = int(self.begin[n]), int(self.begin[n]) + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(words) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[at:end] = ids
+        self.begin[n + 1:n + len(words) + 1] = at + np.cumsum(n_ids)
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of words, one after the other."""
+        begin = self.begin[numbers]
+        n = self.begin[numbers + 1] - begin
+        return self.flat[_places(begin, n)], n
+
+
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... n of them, for each."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
@@ -51,14 +86,14 @@ class Encoder:
     character follows, and around a single line feed, and encodes the parts on
     their own.  So a text of common characters and single white space is cut
     there into words, and the ids of a word are asked of the library once and
-    remembered (WORDS at most, then forgotten).  Texts with any other character
-    or with white space side by side go to the library whole, as do all texts of
-    a tokenizer of another kind.
+    remembered.  Words seen once are forgotten every NEW_WORDS, words seen again
+    every WORDS, which bounds the memory.  Texts with any other character or with
+    white space side by side go to the library whole, as do all texts of a
+    tokenizer of another kind.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -73,79 +108,82 @@ class Encoder:
         # ids of tokens that begin with a space or a line feed: the first of a word
         self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.first[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
-        self.odd = re.compile(ODD).search
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # number of a word; its ids are flat[begin[n]:begin[n + 1]]
-        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.known, self.new = Words(), Words()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _room(self, end: int) -> None:
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-
     def _learn(self, words: list[str]) -> None:
         spaced = [w if w[0] == "\n" else " " + w for w in words]
         ids = np.frombuffer(self._whole(["".join(spaced)])[0], "<u4")
         cuts = np.flatnonzero(self.first[ids])
-        if len(cuts) != len(words) or cuts[0] != 0:  # a vocabulary whose tokens don't tell where a word begins
+        if len(cuts) == len(words) and cuts[0] == 0:
+            n = np.diff(np.append(cuts, len(ids)))
+        else:  # a vocabulary whose tokens don't tell where a word begins
             each = self._whole(spaced)
-            ids = np.frombuffer(b"".join(each), "<u4")
-            cuts = np.cumsum([0] + [len(e) // 4 for e in each[:-1]])
-        n = len(self.known)
-        at, end = int(self.begin[n]), int(self.begin[n]) + len(ids)
-        self._room(end)
-        while n + len(words) >= len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[at:end] = ids
-        self.begin[n:n + len(words)] = at + cuts
-        self.begin[n + len(words)] = end
-        self.known.update(zip(words, range(n, n + len(words))))
-
-    def _plain(self, t: str) -> bool:
-        return bool(t) and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n"
-                                or self.odd(t))
+            ids, n = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each])
+        self.new.add(words, ids, n)
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of distinct words."""
+        at = self.known.find(words)
+        rest = np.flatnonzero(at < 0)
+        others = [words[i] for i in rest.tolist()]
+        new_at = self.new.find(others)
+        again = np.flatnonzero(new_at >= 0)
+        if len(again):
+            if len(self.known.number) + len(again) > WORDS:
+                self.known = Words()
+                return self._word_ids(words)
+            ids, n = self.new.ids(new_at[again])
+            at[rest[again]] = len(self.known.number) + np.arange(len(again))
+            self.known.add([others[i] for i in again.tolist()], ids, n)
+        missing = np.flatnonzero(new_at < 0)
+        if len(self.new.number) + len(missing) > NEW_WORDS:
+            self.new = Words()
+        unseen = [others[i] for i in missing.tolist()]
+        first_new = len(self.new.number)
+        for i in range(0, len(unseen), 4096):
+            self._learn(unseen[i:i + 4096])
+        # both stores' ids, in the words' order
+        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        old, fresh = np.flatnonzero(at >= 0), rest[missing]
+        flat = []
+        for where, (ids, k) in ((old, self.known.ids(at[old])),
+                                (fresh, self.new.ids(first_new + np.arange(len(unseen))))):
+            begin[where] = sum(map(len, flat)) + np.cumsum(k) - k
+            n[where] = k
+            flat.append(ids)
+        return np.concatenate(flat)[_places(begin, n)], n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (unsigned 32-bit)."""
-        plain = [bool(self.by_word and self._plain(t)) for t in texts]
-        whole = self._whole([t for t, p in zip(texts, plain) if not p])
-        of_words = self._by_words([t for t, p in zip(texts, plain) if p])
-        whole, of_words = iter(whole), iter(of_words)
+        column = pa.array(texts, pa.large_string())
+        plain = np.zeros(len(texts), bool)
+        if self.by_word:
+            plain = ~pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False).astype(bool)
+        whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        of_words = iter(self._by_words(column.filter(pa.array(plain))))
         return [next(of_words) if p else np.frombuffer(next(whole), "<u4") for p in plain]
 
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
             return []
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = np.asarray(split.offsets)[:-1].astype(np.int64)
         coded = split.values.dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        number = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(number < 0)
-        if len(self.known) + len(new) > WORDS:
-            self._forget()
-            new = np.arange(len(words))
-        number[new] = len(self.known) + np.arange(len(new))
-        for i in range(0, len(new), 4096):
-            self._learn([words[j] for j in new[i:i + 4096].tolist()])
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, n_ids = self._word_ids(coded.dictionary.to_pylist())
         # a text's first word has no space before it: its ids are its own
         heads = self._whole(pc.take(split.values, pa.array(first)).to_pylist())
-        head_ids, head_n = np.frombuffer(b"".join(heads), "<u4"), np.array([len(h) // 4 for h in heads], np.int64)
-        known_ids = int(self.begin[len(self.known)])
-        self._room(known_ids + len(head_ids))
-        self.flat[known_ids:known_ids + len(head_ids)] = head_ids  # behind the words', until the next is learnt
-        begin = self.begin[number][code]
-        n = (self.begin[number + 1] - self.begin[number])[code]
-        begin[first] = known_ids + np.cumsum(head_n) - head_n
+        head_n = np.array([len(h) // 4 for h in heads], np.int64)
+        flat = np.concatenate([ids, np.frombuffer(b"".join(heads), "<u4")])
+        begin, n = (np.cumsum(n_ids) - n_ids)[code], n_ids[code]
+        begin[first] = len(ids) + np.cumsum(head_n) - head_n
         n[first] = head_n
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))]
-        return np.split(ids, ends[np.append(first[1:], len(n)) - 1][:-1])
+        return np.split(flat[_places(begin, n)], ends[np.append(first[1:], len(n)) - 1][:-1])
 
 
 def encoder(path: str) -> Encoder:
@@ -183,12 +221,11 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for b in batches:
-        for x in (x.as_py() for x in b.column(0)):
-            c = np.bincount(_unpack(x))
-            if len(c) > len(total):
-                total = np.append(total, np.zeros(len(c) - len(total), np.int64))
-            total[: len(c)] += c
+    for b in (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64)):
+        c = np.bincount(np.concatenate([_unpack(x) for x in b.column(0).to_pylist()]))
+        if len(c) > len(total):
+            total = np.append(total, np.zeros(len(c) - len(total), np.int64))
+        total[: len(c)] += c
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
