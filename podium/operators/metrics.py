@@ -38,10 +38,11 @@ def winner_ranks(df: DataFrame, period_col: str | Sequence[str], score_col: str,
         *[col_ref(g).alias(f"g{i}") for i, g in enumerate(groups)], _label01(label_col).alias("y"),
         col_ref(score_col).alias("s"), F.struct(F.lit(0).alias("z"), *[col_ref(t).alias(f"t{i}") for i, t in enumerate(tiebreak)]).alias("t"))
     keys = [f"g{i}" for i in range(len(groups))]
-    top = scored.where("y = 1").groupBy(*keys).agg(F.max("s").alias("best_s"))
-    ties = join_summary(scored.where("y = 1"), top.select(*[F.col(k).alias(f"b{k}") for k in keys], "best_s"),
-                        [(k, f"b{k}") for k in keys], "inner").where(F.col("s") == F.col("best_s"))
-    best = ties.groupBy(*[F.col(k).alias(f"b{k}") for k in keys]).agg(F.max("best_s").alias("bs"), F.min("t").alias("bt"))
+    # the smallest tiebreak of each score, then the largest score: two partial aggregations
+    best = (scored.where("y = 1").groupBy(*keys, "s").agg(F.min("t").alias("bt"))
+            .groupBy(*[F.col(k).alias(f"b{k}") for k in keys])
+            .agg(F.max(F.struct(F.col("s").alias("bs"), "bt")).alias("best"))
+            .select(*[f"b{k}" for k in keys], "best.bs", "best.bt"))
     j = join_summary(scored, best, [(k, f"b{k}") for k in keys], "inner")
     ahead = (F.col("s") > F.col("bs")) | ((F.col("s") == F.col("bs")) & (F.col("t") < F.col("bt")))
     return j.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, groups)]).agg(

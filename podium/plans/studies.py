@@ -121,12 +121,13 @@ def permutation_importance(fm, df: DataFrame, label_col: str, key: str, n_repeat
 
 def hparam_sweep(train: DataFrame, val: DataFrame, features: Sequence[str], label_col: str,
                  Cs: Sequence[float] = tuple(SWEEP_C), l1_ratio: float = 0.0, seeds: Sequence[int] = (0,),
-                 award: str = "award", feature_set: str = "baseline") -> DataFrame:
-    """ML16: logistic regression over a grid of C x seeds; train and val AUC
+                 award: str = "award", feature_set: str = "baseline", min_pos: int = 1) -> DataFrame:
+    """ML16 (raises on a single class or fewer than ``min_pos`` positives): logistic regression over a grid of C x seeds; train and val AUC
     per fit, then mean and std per C (G16).  Fixed-seed L-BFGS fits repeat
     exactly (D13), so one seed is the default."""
     spark = train.sparkSession
     train, val = cut_lineage(train), cut_lineage(val)
+    G.check_class_balance(train, label_col, min_pos)
     res = []
     for c in Cs:
         for s in seeds:
@@ -144,13 +145,14 @@ def hparam_sweep(train: DataFrame, val: DataFrame, features: Sequence[str], labe
 
 def feature_ablation(table: DataFrame, features: Sequence[str], label_col: str, spec: ModelSpec,
                      split_col: str = "split", seeds: Sequence[int] = (0,),
-                     groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """ML17: the full feature list, then one variant per non-empty group
+                     groups: dict[str, list[str]] | None = None, min_pos: int = 1) -> DataFrame:
+    """ML17 (raises on a single class or fewer than ``min_pos`` positives): the full feature list, then one variant per non-empty group
     (F7) with that group's columns dropped; AUC per split, mean/std over
     seeds."""
     spark = table.sparkSession
     base = cut_lineage(table)
     parts = {s: base.where(F.col(split_col) == s) for s in ("train", "val", "test")}
+    G.check_class_balance(parts["train"], label_col, min_pos)
     gm = N.feature_groups(features, groups)
     variants = [("baseline", [])] + [(f"no_{g}", cols) for g, cols in gm.items() if cols]
     res = []

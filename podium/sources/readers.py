@@ -111,21 +111,28 @@ def read_latest_run(spark: SparkSession, root: str, group_cols: Sequence[str] =
                     run_col: str = "run_id", fmt: str = "parquet") -> DataFrame:
     """S5 over a table written partitioned by ``award`` and ``run_id``
     (Parquet winner ranks, or ``fmt="json"`` for the metrics records)."""
-    newest: dict[str, str] = {}
-    for folder in _folders(spark, root, list(group_cols)):
-        runs = [f.rpartition("=")[2] for f in _folders(spark, folder, [run_col])]
-        runs = [r for r in runs if re.fullmatch(RUN_ID_PATTERN, r)]
-        if runs:
-            newest[folder] = max(runs)
-    if not newest:
-        raise FileNotFoundError(f"no {run_col}= partitions under {root}")
     # only the newest run of each group is listed and read
-    paths = [f"{folder}/{run_col}={run}" for folder, run in newest.items()]
+    paths = list(newest_runs(spark, root, group_cols, run_col).values())
+    if not paths:
+        raise FileNotFoundError(f"no {run_col}= partitions under {root}")
     df = spark.read.option("basePath", root).format(fmt).load(paths)
     return nan_to_null(df.withColumn(run_col, F.col(run_col).cast("string")))
 
 
-def _folders(spark: SparkSession, root: str, columns: list[str]) -> list[str]:
+def newest_runs(spark: SparkSession, root: str, group_cols: Sequence[str] = ("award",),
+                run_col: str = "run_id") -> dict[tuple[str, ...], str]:
+    """Group values -> folder of the group's newest run, from the listing alone."""
+    newest: dict[tuple[str, ...], str] = {}
+    for folder in partition_folders(spark, root, list(group_cols)):
+        runs = [f for f in partition_folders(spark, folder, [run_col])
+                if re.fullmatch(RUN_ID_PATTERN, f.rpartition("=")[2])]
+        if runs:
+            values = [part.partition("=")[2] for part in folder.split("/")[-len(group_cols):]]
+            newest[tuple(values)] = max(runs)
+    return newest
+
+
+def partition_folders(spark: SparkSession, root: str, columns: list[str]) -> list[str]:
     """Partition folders below ``root``, one level for each column."""
     found = [root.rstrip("/")]
     for c in columns:

@@ -94,3 +94,49 @@ def test_svm_folds_are_stratified_and_few_rows_are_refused(spark):
     assert len(fm.calibrators) == 3  # each fold has one of the four positives or more
     with pytest.raises(ValueError):
         ML.fit_model(few.where("rid > 1"), ["x1", "x2"], "y", ML.linear_svm_calibrated())
+
+
+def _award_facts(spark):
+    rows = [(p * 100 + e, e, p, 20 + e % 5, float(400 + 40 * e + p), int(e == 9), int(e == 3 and p > 2),
+             min(1.0, (e + 1) / 10), (e * 7 % 10) / 10.0) for p in range(1, 13) for e in range(10)]
+    return spark.createDataFrame(rows, "__row_id long, Player long, season int, G int, MP double, mvp int, never int, "
+                                       "pct_MP double, pct_G double").withColumn("never", F.lit(0))
+
+
+def test_train_awards_save_load_and_predict(spark, tmp_path):
+    from podium.plans import training as TR
+    facts = _award_facts(spark)
+    specs = ML.model_grid(["logreg_l2", "gbt_600"], gbt_600={"max_iter": 5})
+    rows, fitted = TR.train_awards(facts, {"mvp": "mvp", "dpoy": "never"}, specs,
+                                   eligibility={"mvp": {"mpg_min": 0}, "dpoy": {"mpg_min": 0, "g_min": 0}})
+    got = {(r.award, r.model): r for r in rows.collect()}
+    assert len(got) == 4 and set(fitted) == {("mvp", "logreg_l2"), ("mvp", "gbt_600")}
+    assert {got["dpoy", m].status for m in ("logreg_l2", "gbt_600")} == {"single_class"}
+    ok = got["mvp", "logreg_l2"]
+    assert (ok.status, ok.n_train, ok.pos_train, ok.n_val, ok.n_test) == ("ok", 60, 6, 30, 30)
+    assert ok.test_auc == pytest.approx(1.0) and ok.test_hit_at_1 == 1.0 and 0 < ok.test_logloss < 1
+    assert got["dpoy", "gbt_600"].test_auc is None
+
+    TR.save_run(fitted, str(tmp_path), "20230101_000000")
+    TR.save_run(fitted, str(tmp_path), "20240101_000000")
+    TR.save_run({("mvp", "logreg_l2"): fitted["mvp", "logreg_l2"]}, str(tmp_path), "not_a_run")
+    loaded = TR.load_newest(spark, str(tmp_path))
+    assert set(loaded) == {"mvp"} and set(loaded["mvp"]) == {"linear", "tree"}
+    last = facts.where("season = 12")
+    a = {r.Player: r.score for r in fitted["mvp", "logreg_l2"].score(last).collect()}
+    b = {r.Player: r.score for r in loaded["mvp"]["linear"].score(last).collect()}
+    assert a == b
+    out, choice = TR.predict_from_newest(spark, str(tmp_path), facts.where("season < 12"), last, 12,
+                                         out_path=f"{tmp_path}/out", eligibility={"mvp": {"mpg_min": 0}})
+    assert out.where("rank = 1").first().Player == 9
+    assert spark.read.parquet(f"{tmp_path}/out/audit").count() == 2
+
+    values = TR.explain(fitted["mvp", "logreg_l2"], last, "mvp", "__row_id").collect()
+    assert {r.feature for r in values} == {"pct_MP", "pct_G"}
+    assert {r.std is None for r in TR.explain(fitted["mvp", "gbt_600"], last, "mvp", "__row_id", top_n=1).collect()} == {False}
+
+
+def test_studies_refuse_a_single_class(spark, separable):
+    one = separable.withColumn("y", F.lit(0))
+    with pytest.raises(ValueError):
+        ST.hparam_sweep(one, one, ["x1"], "y", Cs=(1.0,))
