@@ -13,7 +13,6 @@ Reading decodes each file's blocks independently from their checkpoints.
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 import struct
@@ -33,10 +32,10 @@ from .huffman import BLOCK, Codec, code_lengths
 END_ID = 0
 #: ids per file; larger on a large cluster
 IDS_PER_FILE = 4_000_000
-#: words whose ids a worker remembers (some 200 bytes each), seen again and seen once
-WORDS, NEW_WORDS = 500_000, 300_000
-#: texts encoded together
-TEXTS = 1024
+#: words whose ids a worker remembers (some 50 bytes each)
+WORDS = 2_000_000
+#: bytes of text encoded together
+TEXT_BYTES = 12 << 20
 MAGIC = b"PODTOK01"
 #: texts that are not cut into words before they reach the tokenizer: with characters
 #: beyond these, or white space side by side or at an end
@@ -45,34 +44,6 @@ ODD = r"[^\n\x20-\x7e\x{a1}-\x{ff}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-class Words:
-    """Ids of words: those of the n-th are ``flat[begin[n]:begin[n + 1]]``."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-
-    def find(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
-
-    def add(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray) -> None:
-        n = len(self.number)
-        at, end = int(self.begin[n]), int(self.begin[n]) + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) >= len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[at:end] = ids
-        self.begin[n + 1:n + len(words) + 1] = at + np.cumsum(n_ids)
-        self.number.update(zip(words, range(n, n + len(words))))
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids) of words, one after the other."""
-        begin = self.begin[numbers]
-        n = self.begin[numbers + 1] - begin
-        return self.flat[_places(begin, n)], n
-
-
 def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ... n of them, for each."""
     ends = np.cumsum(n)
@@ -86,10 +57,9 @@ class Encoder:
     character follows, and around a single line feed, and encodes the parts on
     their own.  So a text of common characters and single white space is cut
     there into words, and the ids of a word are asked of the library once and
-    remembered.  Words seen once are forgotten every NEW_WORDS, words seen again
-    every WORDS, which bounds the memory.  Texts with any other character or with
-    white space side by side go to the library whole, as do all texts of a
-    tokenizer of another kind.
+    remembered (WORDS at most, then forgotten), in Arrow and numpy arrays.  Texts
+    with any other character or with white space side by side go to the library
+    whole, as do all texts of a tokenizer of another kind.
     """
 
     def __init__(self, path: str):
@@ -108,63 +78,62 @@ class Encoder:
         # ids of tokens that begin with a space or a line feed: the first of a word
         self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.first[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
-        self.known, self.new = Words(), Words()
+        self._forget()
+
+    def _forget(self) -> None:
+        # the ids of words[n] are flat[begin[n]:begin[n + 1]]
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _room(self, end: int) -> None:
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of words, by the library."""
         spaced = [w if w[0] == "\n" else " " + w for w in words]
         ids = np.frombuffer(self._whole(["".join(spaced)])[0], "<u4")
         cuts = np.flatnonzero(self.first[ids])
         if len(cuts) == len(words) and cuts[0] == 0:
-            n = np.diff(np.append(cuts, len(ids)))
-        else:  # a vocabulary whose tokens don't tell where a word begins
-            each = self._whole(spaced)
-            ids, n = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each])
-        self.new.add(words, ids, n)
-
-    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids) of distinct words."""
-        at = self.known.find(words)
-        rest = np.flatnonzero(at < 0)
-        others = [words[i] for i in rest.tolist()]
-        new_at = self.new.find(others)
-        again = np.flatnonzero(new_at >= 0)
-        if len(again):
-            if len(self.known.number) + len(again) > WORDS:
-                self.known = Words()
-                return self._word_ids(words)
-            ids, n = self.new.ids(new_at[again])
-            at[rest[again]] = len(self.known.number) + np.arange(len(again))
-            self.known.add([others[i] for i in again.tolist()], ids, n)
-        missing = np.flatnonzero(new_at < 0)
-        if len(self.new.number) + len(missing) > NEW_WORDS:
-            self.new = Words()
-        unseen = [others[i] for i in missing.tolist()]
-        first_new = len(self.new.number)
-        for i in range(0, len(unseen), 4096):
-            self._learn(unseen[i:i + 4096])
-        # both stores' ids, in the words' order
-        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        old, fresh = np.flatnonzero(at >= 0), rest[missing]
-        flat = []
-        for where, (ids, k) in ((old, self.known.ids(at[old])),
-                                (fresh, self.new.ids(first_new + np.arange(len(unseen))))):
-            begin[where] = sum(map(len, flat)) + np.cumsum(k) - k
-            n[where] = k
-            flat.append(ids)
-        return np.concatenate(flat)[_places(begin, n)], n
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (unsigned 32-bit)."""
-        column = pa.array(texts, pa.large_string())
+            return ids, np.diff(np.append(cuts, len(ids)))
+        each = self._whole(spaced)  # a vocabulary whose tokens don't tell where a word begins
+        return np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in the store, the missing ones learnt."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(self.words) + len(missing) > WORDS:
+            self._forget()
+            missing = np.arange(len(words))
+        if len(missing):
+            new = words.take(pa.array(missing))
+            texts = new.to_pylist()
+            learnt = [self._learn(texts[i:i + 4096]) for i in range(0, len(texts), 4096)]
+            ids, n = (np.concatenate(x) for x in zip(*learnt))
+            known = len(self.words)
+            start = int(self.begin[known])
+            self._room(start + len(ids))
+            self.flat[start:start + len(ids)] = ids
+            while known + len(n) >= len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.begin[known + 1:known + len(n) + 1] = start + np.cumsum(n)
+            at[missing] = known + np.arange(len(n))
+            self.words = pa.concat_arrays([self.words, new])
+        return at
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (unsigned 32-bit; null: none)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = np.zeros(len(texts), bool)
         if self.by_word:
-            plain = ~pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False).astype(bool)
-        whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
-        of_words = iter(self._by_words(column.filter(pa.array(plain))))
+            plain = ~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False).astype(bool)
+        whole = iter(self._whole(texts.filter(pa.array(~plain)).to_pylist()))
+        of_words = iter(self._by_words(texts.filter(pa.array(plain))))
         return [next(of_words) if p else np.frombuffer(next(whole), "<u4") for p in plain]
 
     def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
@@ -173,17 +142,20 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = np.asarray(split.offsets)[:-1].astype(np.int64)
         coded = split.values.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids, n_ids = self._word_ids(coded.dictionary.to_pylist())
-        # a text's first word has no space before it: its ids are its own
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        numbers = self._numbers(coded.dictionary)
+        # a text's first word has no space before it: its ids are its own, kept behind the store's for now
         heads = self._whole(pc.take(split.values, pa.array(first)).to_pylist())
         head_n = np.array([len(h) // 4 for h in heads], np.int64)
-        flat = np.concatenate([ids, np.frombuffer(b"".join(heads), "<u4")])
-        begin, n = (np.cumsum(n_ids) - n_ids)[code], n_ids[code]
-        begin[first] = len(ids) + np.cumsum(head_n) - head_n
+        end = int(self.begin[len(self.words)])
+        self._room(end + int(head_n.sum()))
+        self.flat[end:end + int(head_n.sum())] = np.frombuffer(b"".join(heads), "<u4")
+        begin = self.begin[numbers][code]
+        n = (self.begin[numbers + 1] - self.begin[numbers])[code]
+        begin[first] = end + np.cumsum(head_n) - head_n
         n[first] = head_n
         ends = np.cumsum(n)
-        return np.split(flat[_places(begin, n)], ends[np.append(first[1:], len(n)) - 1][:-1])
+        return np.split(self.flat[_places(begin, n)], ends[np.append(first[1:], len(n)) - 1][:-1])
 
 
 def encoder(path: str) -> Encoder:
@@ -200,11 +172,16 @@ def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     little-endian bytes.  ``tokenizer`` is a path that every executor can open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        for b in (batch.slice(i, TEXTS) for batch in batches for i in range(0, batch.num_rows, TEXTS)):
-            ids = [np.append(x, end) for x in e.encode([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([_pack(x) for x in ids], pa.binary())],
-                ["doc_id", "n_tokens", "ids"])
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            part = size // TEXT_BYTES
+            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, z in zip(starts, [*starts[1:], batch.num_rows]):
+                b = batch.slice(a, z - a)
+                ids = [np.append(x, end) for x in e.encode(b.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([_pack(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run,
                        "doc_id long, n_tokens long, ids binary")
