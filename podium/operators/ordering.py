@@ -10,9 +10,11 @@ One algorithm serves every size, and it is one lazy plan:
 3. One total per (block, group) -- at most #groups + #blocks rows -- gives each
    block's offset and the group's total, joined back on (block, group).
 
-Steps 2 and 3 read the same exchange, which Spark computes once.  Should a
-plan ever range-partition twice with other bounds, the row counts of the two
-sides would differ; the join checks them and raises rather than answer.
+Steps 2 and 3 read the same exchange, which Spark computes once: both need
+whole rows (for a check sum), so no optimisation tells their inputs apart.
+Should a plan ever range-partition twice with other bounds, the counts and
+check sums of the two sides would differ; the join compares them and raises
+rather than answer.
 
 The number of blocks follows the bytes the plan scans (and is at least
 ``spark.sql.shuffle.partitions``); results do not depend on it.  Rows travel
@@ -108,20 +110,22 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[
                .withColumn("b", F.spark_partition_id()))
 
     inside = Window.partitionBy("b", "g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.select("row", "g", "b", F.count(F.lit(1)).over(Window.partitionBy("b", "g")).alias("seen"),
+    n_rows, check_sum = F.count(F.lit(1)), F.bit_xor(F.xxhash64("row"))
+    block = Window.partitionBy("b", "g")
+    local = blocked.select("row", "g", "b", F.struct(n_rows.over(block), check_sum.over(block)).alias("seen"),
                            *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)])
-    per_block = blocked.groupBy("b", "g").agg(F.count(F.lit(1)).alias("n"),
+    per_block = blocked.groupBy("b", "g").agg(n_rows.alias("n"), check_sum.alias("x"),
                                               *[F.sum(field(c)).alias(f"t{i}") for i, c in enumerate(sums)])
     # one row per block of the group
     before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        F.col("g").alias("og"), F.col("b").alias("ob"), "n",
+        F.col("g").alias("og"), F.col("b").alias("ob"), F.struct("n", "x").alias("counted"),
         *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"f{i}") for i in range(len(sums))],
         *[F.sum(f"t{i}").over(Window.partitionBy("g")).alias(f"a{i}") for i in range(len(sums))])
     both = local.join(offsets, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")), "left")
 
     def checked(e: Column) -> Column:
-        return F.when(F.col("seen") == F.col("n"), e).otherwise(
+        return F.when(F.col("seen") == F.col("counted"), e).otherwise(
             F.raise_error(F.lit("blocks of two range partitionings met")))
 
     return both.select(

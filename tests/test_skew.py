@@ -1,5 +1,6 @@
 """One value holding a third of all rows must not land in one task."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -95,3 +96,24 @@ def test_facts_are_not_shuffled_by_period(spark):
         assert plans[0].first()["winner_rank"] == ahead + 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+                                  {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}])
+def test_blocks_agree_beyond_the_sampled_keys(spark, conf):
+    """Range bounds come from a sample of far fewer rows than these: both sides of the
+    plan must still see one partitioning, whatever columns the caller keeps."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(200_000).select(F.col("id").alias("rid"), (F.col("id") % 3).alias("p"),
+                                         F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("s"), F.lit("wide").alias("w"))
+        ranked = W.rank_in_period(df, "p", "s", ["rid"])
+        assert ranked.where("rank <= 5").select("rid", "rank").count() == 15
+        assert ranked.groupBy("p").agg(F.max("rank").alias("m"), F.count("rank").alias("n")).where("m <> n").count() == 0
+        got = {r.p: r.q0 for r in O.exact_quantiles(df, ["p"], "s", [0.5]).collect()}
+        want = {r.p: r.q for r in df.groupBy("p").agg(F.percentile("s", 0.5).alias("q")).collect()}
+        assert got == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
