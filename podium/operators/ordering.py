@@ -4,19 +4,18 @@ A window ``partition by period order by score`` sends every row of a period to
 one task; at scale a period (or a whole table, for a global AUC) is unbounded.
 One algorithm serves every size, and it is one lazy plan:
 
-1. The rows are range-partitioned by (group, order keys) into blocks, so a
-   large group spans many blocks and a small one shares a block.
-2. A window over (block, group) gives running sums inside the block.
+1. Block bounds: the keys (group, order) of smallest hash -- a sample of set size
+   per block that depends on the data alone -- are put in order, and every
+   ``KEYS_PER_BOUND``-th is a bound.  A row's block is the number of bounds before
+   its key, found by binary search.  So a block is a pure function of the row:
+   retries, re-planned stages and a second evaluation of the plan all agree.
+2. A window over (block, group) gives running sums inside the block.  A large
+   group spans many blocks and a small one shares a block.
 3. One total per (block, group) -- at most #groups + #blocks rows -- gives each
    block's offset and the group's total, joined back on (block, group).
 
-Steps 2 and 3 read the same exchange, which Spark computes once: both need
-whole rows (for a check sum), so no optimisation tells their inputs apart.
-Should a plan ever range-partition twice with other bounds, the counts and
-check sums of the two sides would differ; the join compares them and raises
-rather than answer.
-
-The number of blocks follows the bytes the plan scans (and is at least
+The bounds are a scalar subquery of the same plan, so no job runs before the
+action.  The number of blocks follows the bytes the plan scans (and is at least
 ``spark.sql.shuffle.partitions``); results do not depend on it.  Rows travel
 inside one struct, so the caller's column names never clash with ours.
 Everything stays in native operators: no Python per row.
@@ -36,6 +35,8 @@ from ..functions.scalar import col_ref
 _ALL = "__all"
 #: scanned bytes for each block beyond ``spark.sql.shuffle.partitions`` blocks
 BYTES_PER_BLOCK = 32 << 20
+#: sampled keys for each block bound
+KEYS_PER_BOUND = 16
 #: session setting that fixes the number of blocks
 BLOCKS_CONF = "podium.ordering.blocks"
 #: copies of a group summary, so that joining it back splits a large group
@@ -82,11 +83,42 @@ def n_blocks(df: DataFrame, blocks: int | None = None) -> int:
     fixed = blocks or conf.get(BLOCKS_CONF, None)
     if fixed:
         return int(fixed)
-    most = 1 << 17
+    most = 1 << 14
     return max(int(conf.get("spark.sql.shuffle.partitions", "200")),
                min(most, math.ceil(scanned_bytes(df) / BYTES_PER_BLOCK)))
 
 
+def _before(x: Column, key: Column, ascending: Sequence[bool]) -> Column:
+    """Does key ``x`` come before ``key``?  A key is (g, n0, v0, n1, v1, ...): the group, then
+    for each order column where its nulls go and its value."""
+    ties = F.lit(False)
+    for i, asc in reversed(list(enumerate(ascending))):
+        a, b = x[f"v{i}"], key[f"v{i}"]
+        first = F.coalesce(a < b if asc else a > b, F.lit(False))
+        ties = (x[f"n{i}"] < key[f"n{i}"]) | ((x[f"n{i}"] == key[f"n{i}"]) & (first | (a.eqNullSafe(b) & ties)))
+    return (x["g"] < key["g"]) | ((x["g"] == key["g"]) & ties)
+
+
+def _with_blocks(rows: DataFrame, n: int, ascending: Sequence[bool]) -> DataFrame:
+    """``rows`` (with a column ``key``) and their block ``b``."""
+    def compare(x: Column, y: Column) -> Column:
+        return F.when(_before(x, y, ascending), -1).when(_before(y, x, ascending), 1).otherwise(0)
+
+    sample = (rows.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(n * KEYS_PER_BOUND)
+              .agg(F.array_sort(F.collect_list("key"), compare).alias("keys")))
+    bounds = sample.select(F.filter("keys", lambda k, i: i % KEYS_PER_BOUND == KEYS_PER_BOUND - 1)).scalar()
+    steps = [1 << i for i in reversed(range(n.bit_length() + 1))]
+
+    def further(at: Column, step: Column) -> Column:
+        # the one use of bounds: it is then evaluated in place, not copied into every row
+        bound = F.array(F.get(F.col("bounds"), at + step - 1))
+        passed = F.get(F.transform(bound, lambda x: _before(x, F.col("key"), ascending)), F.lit(0))
+        return F.when(F.coalesce(passed, F.lit(False)), at + step).otherwise(at)
+
+    return rows.withColumn("bounds", bounds).select(
+        *rows.columns, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further).alias("b")).drop("key")
+
+
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]],
                    sums: Sequence[str], *, prefix: str = "cum_", totals: str | None = None,
                    blocks: int | None = None) -> DataFrame:
@@ -106,31 +138,24 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[
     rows = df.select(F.struct(*[col_ref(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"))
     rows = rows.withColumn("g", F.struct(F.lit(0).alias("g"), *[field(c).alias(f"g{i}") for i, c in enumerate(groups)]))
     order = [field(c).asc_nulls_first() if asc else field(c).desc_nulls_last() for c, asc in order_by]
-    blocked = (rows.repartitionByRange(n_blocks(df, blocks), F.col("g").asc(), *order)
-               .withColumn("b", F.spark_partition_id()))
+    key = [F.col("g")]
+    for i, (c, asc) in enumerate(order_by):
+        key += [(field(c).isNotNull() if asc else field(c).isNull()).cast("int").alias(f"n{i}"), field(c).alias(f"v{i}")]
+    blocked = _with_blocks(rows.withColumn("key", F.struct(*key)), n_blocks(df, blocks), [asc for _, asc in order_by])
 
     inside = Window.partitionBy("b", "g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n_rows, check_sum = F.count(F.lit(1)), F.bit_xor(F.xxhash64("row"))
-    block = Window.partitionBy("b", "g")
-    local = blocked.select("row", "g", "b", F.struct(n_rows.over(block), check_sum.over(block)).alias("seen"),
-                           *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)])
-    per_block = blocked.groupBy("b", "g").agg(n_rows.alias("n"), check_sum.alias("x"),
-                                              *[F.sum(field(c)).alias(f"t{i}") for i, c in enumerate(sums)])
+    local = blocked.select("row", "g", "b", *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)])
+    per_block = blocked.groupBy("b", "g").agg(*[F.sum(field(c)).alias(f"t{i}") for i, c in enumerate(sums)])
     # one row per block of the group
     before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        F.col("g").alias("og"), F.col("b").alias("ob"), F.struct("n", "x").alias("counted"),
+        F.col("g").alias("og"), F.col("b").alias("ob"),
         *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"f{i}") for i in range(len(sums))],
         *[F.sum(f"t{i}").over(Window.partitionBy("g")).alias(f"a{i}") for i in range(len(sums))])
-    both = local.join(offsets, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")), "left")
-
-    def checked(e: Column) -> Column:
-        return F.when(F.col("seen") == F.col("counted"), e).otherwise(
-            F.raise_error(F.lit("blocks of two range partitionings met")))
-
+    both = local.join(offsets, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")))
     return both.select(
         *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)],
-        *[checked(F.col(f"l{i}") + F.col(f"f{i}")).alias(f"{prefix}{c}") for i, c in enumerate(sums)],
+        *[(F.col(f"l{i}") + F.col(f"f{i}")).alias(f"{prefix}{c}") for i, c in enumerate(sums)],
         *[F.col(f"a{i}").alias(f"{totals}{c}") for i, c in enumerate(sums) if totals is not None])
 
 

@@ -16,11 +16,16 @@ def _skewed(spark, n=3000):
 
 
 def test_hot_value_is_split_across_blocks(spark):
-    df = _skewed(spark)
-    blocks = df.repartitionByRange(10, "p", F.col("s").desc(), "rid").groupBy(F.spark_partition_id()).count()
+    key = F.struct(F.struct(F.col("p")).alias("g"), F.col("s").isNull().cast("int").alias("n0"), F.col("s").alias("v0"),
+                   F.col("rid").isNotNull().cast("int").alias("n1"), F.col("rid").alias("v1"))
+    rows = _skewed(spark).select("rid", key.alias("key"))
+    blocks = O._with_blocks(rows, 10, [False, True])
+    sizes = [r["count"] for r in blocks.groupBy("b").count().collect()]
     # the 1,000 tied rows are cut by the row key: no block holds them all
-    assert blocks.count() == 10
-    assert max(r["count"] for r in blocks.collect()) <= 2.5 * 300
+    assert len(sizes) in (10, 11) and max(sizes) <= 3 * 300
+    # a block is a function of the row: another partitioning and order give the same
+    again = O._with_blocks(rows.orderBy(F.rand(3)).repartition(7), 10, [False, True])
+    assert blocks.exceptAll(again).isEmpty()
 
 
 def test_block_count_follows_the_bytes_scanned(spark, monkeypatch):
@@ -101,19 +106,20 @@ def test_facts_are_not_shuffled_by_period(spark):
 @pytest.mark.parametrize("conf", [{}, {"spark.sql.autoBroadcastJoinThreshold": "-1"},
                                   {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}])
 def test_blocks_agree_beyond_the_sampled_keys(spark, conf):
-    """Range bounds come from a sample of far fewer rows than these: both sides of the
-    plan must still see one partitioning, whatever columns the caller keeps."""
+    """Bounds come from a sample of far fewer rows than these: both sides of the plan
+    must still see the same blocks, whatever columns the caller keeps, cached or not."""
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         df = spark.range(200_000).select(F.col("id").alias("rid"), (F.col("id") % 3).alias("p"),
-                                         F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("s"), F.lit("wide").alias("w"))
+                                         F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("s"), F.lit("wide").alias("w")).cache()
         ranked = W.rank_in_period(df, "p", "s", ["rid"])
         assert ranked.where("rank <= 5").select("rid", "rank").count() == 15
         assert ranked.groupBy("p").agg(F.max("rank").alias("m"), F.count("rank").alias("n")).where("m <> n").count() == 0
         got = {r.p: r.q0 for r in O.exact_quantiles(df, ["p"], "s", [0.5]).collect()}
         want = {r.p: r.q for r in df.groupBy("p").agg(F.percentile("s", 0.5).alias("q")).collect()}
         assert got == want
+        df.unpersist()
     finally:
         for k in conf:
             spark.conf.unset(k)
