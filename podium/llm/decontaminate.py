@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds (operator 9, native).
 
 A seed is a fixed mask over consecutive tokens; the positions marked 0 are
-ignored, so a substituted token there does not hide the overlap.  Hashes of the
+ignored, so a substituted token there does not hide the overlap.  An item's masks
+are a family that hits every window the rule accepts, wherever its substitutions
+are, so the seeds leave no overlap out, down to items of one token.  Hashes of the
 benchmark's seeds, with the tokens around them, are broadcast in blocks of a
 set number of rows and joined with the hashes of every seed of every document.
 Around a hit, the two texts are aligned and compared token by token: an overlap
@@ -13,14 +15,19 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: 1: the token must agree; every mask has eight of them
-MASKS = ("111101111", "1110110111", "11011011011")
+#: 1: the token must agree.  The first family hits every window of 13 with two substitutions,
+#: the second every shorter one of four tokens or more that reaches 80 per cent
+FAMILIES = (("11101011", "11001111"), ("1111", "11011", "10111", "11101"))
+MASKS = tuple(m for family in FAMILIES for m in family)
+#: placements of substitutions a family is tried against; wider windows take a run of tokens
+MAX_PLACEMENTS = 100_000
 OVERLAP = 13
 SIMILARITY = 80
 #: benchmark seeds broadcast at once (some 250 bytes each)
@@ -33,34 +40,56 @@ def _token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, p: Column, number: int) -> Column:
+def hits_all(masks: tuple[str, ...], width: int, substitutions: int) -> bool:
+    """Whether a mask fits beside any so many substitutions in a window."""
+    places = [{p + o for o, c in enumerate(m) if c == "1"} for m in masks for p in range(width - len(m) + 1)]
+    return all(any(ones.isdisjoint(gone) for ones in places) for gone in combinations(range(width), substitutions))
+
+
+def masks_of(width: int, similarity: int = SIMILARITY) -> tuple[str, ...]:
+    """Masks that hit every window of ``width`` tokens in which ``similarity`` per cent
+    agree: the first such family, else the run of tokens that any placement leaves."""
+    agree = min(width, max(1, -(-width * similarity // 100)))
+    gone = width - agree
+    if math.comb(width, gone) <= MAX_PLACEMENTS:
+        for family in FAMILIES:
+            if hits_all(family, width, gone):
+                return family
+    return ("1" * -(-agree // (gone + 1)),)
+
+
+def _seed(h: Column, p: Column, mask: str) -> Column:
     """Hash of the masked tokens from place p on; null where the mask doesn't fit.
     Compiled code, unlike a lambda over the tokens."""
-    mask = MASKS[number]
     return F.when(p + len(mask) <= F.size(h),
-                  F.xxhash64(F.lit(number), *[F.get(h, p + o) for o, c in enumerate(mask) if c == "1"]))
+                  F.xxhash64(F.lit(mask), *[F.get(h, p + o) for o, c in enumerate(mask) if c == "1"]))
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
-                    overlap: int = OVERLAP) -> DataFrame:
+                    overlap: int = OVERLAP, similarity: int = SIMILARITY) -> DataFrame:
     """(seed, mask, context, lead, width, first, last, item): each distinct seed with
     the tokens that windows around it can reach.
 
     ``lead`` tokens of the context come before the seed; windows have ``width``
     tokens (all of a shorter item) and begin from ``first`` to ``last`` in the context.
-    Items that agree on all of this are one row, named by the smallest id.
+    Items that agree on all of this are one row, named by the smallest id.  An item
+    has the seeds of the masks that its width needs.
     """
     items = benchmark.select(F.col(item_id).alias("item"), _token_hashes(F.col(text)).alias("h"))
+    widths: dict[str, list[int]] = {}
+    for width in range(1, overlap + 1):
+        for mask in masks_of(width, similarity):
+            widths.setdefault(mask, []).append(width)
     parts = []
-    for number, mask in enumerate(MASKS):
+    for mask, served in widths.items():
         span = len(mask)
         n, p = F.size("h"), F.col("p")
         start = F.greatest(p - (overlap - span), F.lit(0))
         end = F.least(p + overlap, n)
         width = F.least(F.lit(overlap), n)
-        parts.append(items.select("item", "h", F.posexplode("h").alias("p", "token"))
-                     .select("item", "h", "p", _seed(F.col("h"), p, number).alias("seed")).where("seed is not null")
-                     .select("seed", F.lit(number).alias("mask"), F.slice("h", start + 1, end - start).alias("context"),
+        parts.append(items.where(width.isin(served)).select("item", "h", F.posexplode("h").alias("p", "token"))
+                     .select("item", "h", "p", _seed(F.col("h"), p, mask).alias("seed")).where("seed is not null")
+                     .select("seed", F.lit(mask).alias("mask"), F.slice("h", start + 1, end - start).alias("context"),
                              (p - start).alias("lead"), width.alias("width"),
                              (F.greatest(p + span - width, F.lit(0)) - start).alias("first"),
                              (F.least(p, n - width) - start).alias("last"), "item"))
@@ -75,18 +104,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     the smallest such item (of equal contexts, the smallest) and the most tokens
     that agree in one window.
 
-    Case, punctuation and white space don't count.  Items and documents with
-    fewer tokens than the shortest mask have no seed and never match; null texts
-    have no tokens.  Rows with equal doc_ids, null included, share a verdict.
+    Case, punctuation and white space don't count.  An item of under ``overlap``
+    tokens is one window, so one of a single token matches every document that
+    holds it; null texts have no tokens and never match.  Rows with equal doc_ids, null included, share a verdict.
     """
-    seeds = materialize(benchmark_seeds(benchmark, item_id, item_text, overlap), "benchmark_seeds")
-    n_blocks = max(1, math.ceil(seeds.count() / seeds_per_block))
+    seeds = materialize(benchmark_seeds(benchmark, item_id, item_text, overlap, similarity), "benchmark_seeds")
+    per_mask = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}  # a row per mask
+    n_blocks = max(1, math.ceil(sum(per_mask.values()) / seeds_per_block))
     # outer: an inner explode would put a filter that computes the tokens again before it
     h, p = F.col("h"), F.col("p")
     tokens = docs.select(F.col(doc_id).alias("doc"), _token_hashes(F.col(text)).alias("h")).select(
         "doc", "h", F.posexplode_outer("h").alias("p", "token"))
     sown = tokens.select("doc", "h", "p", F.explode_outer(F.array(
-        *[_seed(h, p, i) for i in range(len(MASKS))])).alias("s"))
+        *[_seed(h, p, m) for m in sorted(per_mask) or MASKS[:1]])).alias("s"))
     hits = reduce(DataFrame.unionByName, [
         sown.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(n_blocks)) == b)), F.col("s") == F.col("seed"))
         for b in range(n_blocks)])
