@@ -56,7 +56,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"),
-                                             public_tokenizers.path("byte_bpe_50k.json"))
+                                             public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 import uuid
 import zlib
@@ -41,7 +42,7 @@ MAGIC = b"PODTOK01"
 #: beyond these, or white space side by side or at an end
 ODD = r"[^\n\x20-\x7e\x{a1}-\x{ff}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -59,21 +60,29 @@ class Encoder:
     there into words, and the ids of a word are asked of the library once and
     remembered (WORDS at most, then forgotten), in Arrow and numpy arrays.  Texts
     with any other character or with white space side by side go to the library
-    whole, as do all texts of a tokenizer of another kind.
+    whole, as do texts that hold an added token's content and all texts of a
+    tokenizer of another kind.
+
+    ``added_tokens``: the special tokens among the added ones are found in a text, as
+    the library does by default; else their content is read as plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"] or {}
         self.by_word = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
                         and spec["normalizer"] is None and spec["post_processor"] is None)
+        found = [t["content"] for t in spec["added_tokens"] if t["content"] and (added_tokens or not t["special"])]
+        # words side by side could spell a content with white space
+        self.by_word = self.by_word and not any(re.search(r"\s", c) for c in found)
+        self.odd = "|".join([ODD, *map(re.escape, found)])
         vocabulary = self.tokenizer.get_vocab()
         # ids of tokens that begin with a space or a line feed: the first of a word
         self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -131,7 +140,7 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = np.zeros(len(texts), bool)
         if self.by_word:
-            plain = ~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False).astype(bool)
+            plain = ~pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False).astype(bool)
         whole = iter(self._whole(texts.filter(pa.array(~plain)).to_pylist()))
         of_words = iter(self._by_words(texts.filter(pa.array(plain))))
         return [next(of_words) if p else np.frombuffer(next(whole), "<u4") for p in plain]
@@ -158,20 +167,22 @@ class Encoder:
         return np.split(self.flat[_places(begin, n)], ends[np.append(first[1:], len(n)) - 1][:-1])
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    """One per worker, file and kind."""
+    key = path, added_tokens
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, added_tokens)
+    return _ENCODERS[key]
 
 
 def token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-              end_id: int = END_ID) -> DataFrame:
+              end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of every whole text (null: empty) with the end id.  ids
     is a byte that tells their width, 2 or 4, and the ids in so many
-    little-endian bytes.  ``tokenizer`` is a path that every executor can open."""
+    little-endian bytes.  ``tokenizer`` is a path that every executor can open;
+    ``added_tokens`` as in ``Encoder``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(tokenizer), np.array([end_id], np.uint32)
+        e, end = encoder(tokenizer, added_tokens), np.array([end_id], np.uint32)
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             part = size // TEXT_BYTES
@@ -332,7 +343,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                        "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_round_trip(docs: DataFrame, tokenizer: str, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, tokenizer: str, ids_per_file: int = IDS_PER_FILE,
+                          added_tokens: bool = False) -> DataFrame:
     """Encode every text, write the files under the shared folder, read them back."""
     folder = scratch_path(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(token_ids(docs, tokenizer), folder, ids_per_file))
+    return read_token_files(write_token_files(token_ids(docs, tokenizer, added_tokens=added_tokens), folder, ids_per_file))
