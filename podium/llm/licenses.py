@@ -114,7 +114,8 @@ def align(template: list[int], doc: list[int], diagonal: int, band: int) -> tupl
 
 def scan(ids: list[int], hits: list[int], index: TemplateIndex, coverage: int = COVERAGE) -> list[tuple]:
     """(template, matched, first word, end word) of the templates found in one
-    document, none overlapping: the best covered first, then the longest, then by name."""
+    document, none overlapping: the most words matched first, so that an edited text wins
+    over an intact notice inside it, then the best covered, then by name."""
     by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
     base = index.base
     for place in hits:
@@ -135,7 +136,7 @@ def scan(ids: list[int], hits: list[int], index: TemplateIndex, coverage: int =
             if matched * 100 >= coverage * len(index.templates[t]):
                 found.add((t, matched, lo + first, lo + end))
     chosen: list[tuple] = []
-    for t, matched, first, end in sorted(found, key=lambda x: (-x[1] / len(index.templates[x[0]]), -x[1], x[0], x[2])):
+    for t, matched, first, end in sorted(found, key=lambda x: (-x[1], -x[1] / len(index.templates[x[0]]), x[0], x[2])):
         if all(end <= f or e <= first for _, _, f, e in chosen):
             chosen.append((t, matched, first, end))
     return sorted(chosen, key=lambda x: x[2])
