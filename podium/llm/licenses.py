@@ -1,8 +1,10 @@
 """License scan (operator 4).
 
 Templates are winnowed: of every WINDOW consecutive word trigrams the one of
-smallest hash is kept, with its places, in an inverted index.  Every trigram of
-every document is looked up in it (all documents of a batch at once, in numpy).
+smallest hash is kept, with its places, in an inverted index; of a template of
+under WINNOWED words all are, and where the edits that COVERAGE allows can touch
+every trigram, shorter grams.  Every gram of every document is looked up in it
+(all documents of a batch at once, in numpy).
 Hits of a template near one diagonal make a candidate, which is settled by a
 sequence alignment in a band around the diagonal: it gives the template words
 matched in order and the span of the document they cover.
@@ -24,6 +26,8 @@ from .license_texts import TEMPLATES
 
 GRAM = 3
 WINDOW = 4
+#: words of the shortest template that is winnowed
+WINNOWED = 20
 #: words the alignment may stray from the diagonal (half its words for a short template)
 BAND = 12
 #: least share of the template's words, per cent
@@ -39,42 +43,62 @@ def words(text: str) -> list[str]:
     return " ".join(found).lower().split(" ") if found else []
 
 
+def gram_of(n_words: int, coverage: int) -> int:
+    """Words of the grams of a template: GRAM, or the longest run that stays whole
+    wherever the edits are that the coverage allows."""
+    agree = max(1, -(-n_words * coverage // 100))
+    return min(GRAM, max(1, -(-agree // (n_words - agree + 1)))) if n_words > agree else min(GRAM, max(1, n_words))
+
+
 class TemplateIndex:
-    """Winnowed trigrams of the templates: (template, place) by trigram."""
+    """Grams of the templates, winnowed for the long ones: (template, place) by number of words and gram."""
 
-    def __init__(self, templates: Mapping[str, str], window: int = WINDOW):
+    def __init__(self, templates: Mapping[str, str], window: int = WINDOW, coverage: int = COVERAGE):
         self.names = sorted(templates)
         tokens = [words(templates[n]) for n in self.names]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in tokens for w in t}))}
         self.base = len(self.vocabulary) + 1
         self.templates = [[self.vocabulary[w] for w in t] for t in tokens]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.templates):
-            keys = self.keys(np.array(ids, np.int64))
+            size = gram_of(len(ids), coverage)
+            keys = self.keys(np.array(ids, np.int64), size)
+            step = window if len(ids) >= WINNOWED else 1
             mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
-            kept = {max(range(i, min(i + window, len(keys))), key=lambda j: (-int(mixed[j]), j))
-                    for i in range(max(1, len(keys) - window + 1))} if len(keys) else set()
+            kept = {max(range(i, min(i + step, len(keys))), key=lambda j: (-int(mixed[j]), j))
+                    for i in range(max(1, len(keys) - step + 1))} if len(keys) else set()
             for place in sorted(kept):
-                self.postings[int(keys[place])].append((t, place))
-        self.wanted = np.array(sorted(self.postings), np.int64)
+                self.postings.setdefault(size, defaultdict(list))[int(keys[place])].append((t, place))
+        self.wanted = {size: np.array(sorted(found), np.int64) for size, found in self.postings.items()}
 
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        """One number for each trigram; -1 where a word is in no template."""
-        if len(ids) < GRAM:
+    def keys(self, ids: np.ndarray, size: int = GRAM) -> np.ndarray:
+        """One number for each gram; -1 where a word is in no template."""
+        if len(ids) < size:
             return np.empty(0, np.int64)
-        parts = [ids[i:len(ids) - GRAM + 1 + i] for i in range(GRAM)]
+        parts = [ids[i:len(ids) - size + 1 + i] for i in range(size)]
         key = np.zeros(len(parts[0]), np.int64)
         for p in parts:
             key = key * self.base + p
         return np.where(np.logical_and.reduce([p >= 0 for p in parts]), key, -1)
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Places whose trigram is in the index."""
-        keys = self.keys(ids)
-        if not len(self.wanted) or not len(keys):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.wanted, keys), len(self.wanted) - 1)
-        return np.flatnonzero(self.wanted[at] == keys)
+        """Places that begin a gram of the index."""
+        places = [np.empty(0, np.int64)]
+        for size, wanted in self.wanted.items():
+            keys = self.keys(ids, size)
+            if len(keys):
+                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                places.append(np.flatnonzero(wanted[at] == keys))
+        return np.unique(np.concatenate(places))
+
+    def at(self, ids: list[int], place: int) -> Iterator[tuple[int, int]]:
+        """(template, place) of the grams that begin at a place of a document."""
+        for size, postings in self.postings.items():
+            gram, key = ids[place:place + size], 0
+            if len(gram) == size and min(gram) >= 0:
+                for w in gram:
+                    key = key * self.base + w
+                yield from postings.get(key, ())
 
 
 def band_of(template: list[int]) -> int:
@@ -117,10 +141,8 @@ def scan(ids: list[int], hits: list[int], index: TemplateIndex, coverage: int =
     document, none overlapping: the most words matched first, so that an edited text wins
     over an intact notice inside it, then the best covered, then by name."""
     by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    base = index.base
     for place in hits:
-        a, b, c = ids[place:place + GRAM]
-        for t, at in index.postings[(a * base + b) * base + c]:
+        for t, at in index.at(ids, place):
             by_template[t].append((place - at, place))
     found = set()
     for t, places in by_template.items():
@@ -154,7 +176,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc
     templates = dict(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(templates)
+        index = TemplateIndex(templates, coverage=coverage)
         known = index.vocabulary.get
         gap = [-1] * GRAM
         for batch in batches:

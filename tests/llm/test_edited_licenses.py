@@ -25,3 +25,16 @@ def test_every_template_alone_is_named(spark):
     names = sorted(TEMPLATES)
     got = _found(spark, ["before it " + TEMPLATES[n] + " after it" for n in names])
     assert [[(x[1], x[3]) for x in g] for g in got] == [[(n, len(licenses.words(TEMPLATES[n])))] for n in names]
+
+
+def test_a_short_notice_is_found_wherever_its_edit_is(spark):
+    texts, names = [], []
+    for name in ("MIT notice", "CC-BY-NC-4.0 notice", "Apache-2.0 notice", "CC-BY-SA-4.0"):
+        w = licenses.words(TEMPLATES[name])
+        for i in range(len(w)):
+            texts += [" ".join(["x", *w[:i], "edited", *w[i + 1:], "y"]), " ".join(["x", *w[:i], *w[i + 1:], "y"])]
+            names += [(name, len(w) - 1)] * 2
+    for t, g, (name, matched) in zip(texts, _found(spark, texts), names):
+        # the word that tells one license from another may be the edited one
+        assert name == g[0][1] or (len(g) == 1 and g[0][3] >= matched), (t, g)
+    assert _found(spark, ["It is released under MIT license now"])[0] == [(6, "MIT notice", 32, 4, 5)]
