@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize
 
 RATIO_PERCENT = 10
-MIN_PAGES = 5
+#: tells a line that pages share from one page's own, which is over the ratio on a site of under ten pages
+MIN_PAGES = 2
 
 
 def _line_key(line: Column) -> Column:
