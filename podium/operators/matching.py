@@ -5,7 +5,10 @@ U3 (season percentiles) and U4 (group z-scores) live in :mod:`.windows`.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +16,36 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col_ref
 
 # ---------------------------------------------------------------------------
-# Accent folding table (Latin letters with diacritics -> base letter)
+# Lower-case Latin letters that stand for two
 # ---------------------------------------------------------------------------
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+TWO_LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ŋ": "ng", "ĳ": "ij", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz"}
 # ---------------------------------------------------------------------------
 
 
+@cache
+def _letter_folding() -> tuple[str, str]:
+    """Lower-case Latin letters with a mark, stroke, hook or other change, and the ASCII
+    letter each is a form of, by its Unicode decomposition or else its character name."""
+    accented, folded = "", ""
+    for code in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]:
+        letter = chr(code)
+        base = unicodedata.normalize("NFKD", letter)[0]
+        if not base.isascii():
+            named = re.fullmatch(r"LATIN SMALL LETTER (?:DOTLESS )?([A-Z])(?: WITH .*)?", unicodedata.name(letter, ""))
+            base = named[1].lower() if named else "d" if letter == "ð" else ""
+        if len(base) == 1 and base.islower() and letter not in TWO_LETTERS:
+            accented, folded = accented + letter, folded + base
+    return accented, folded
+
+
 def normalize_name(c) -> Column:
-    """Lower case, accents folded, every run of non-alphanumerics collapsed to
-    one blank, trimmed."""
-    x = F.translate(F.lower(F.trim(col_ref(c).cast("string"))), ACCENTED, FOLDED)
+    """Lower case, Latin letters of every accent folded to ASCII (č ć ā ı ł ø ..., whether
+    one character or a letter and a combining mark), every run of
+    non-alphanumerics collapsed to one blank, trimmed."""
+    x = F.regexp_replace(F.lower(F.trim(col_ref(c).cast("string"))), r"\p{M}", "")
+    x = F.translate(x, *_letter_folding())
+    for letter, two in TWO_LETTERS.items():
+        x = F.replace(x, F.lit(letter), F.lit(two))
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
 

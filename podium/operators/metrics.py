@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_probability, col_ref
-from .ordering import _as_list, all_of, exact_quantiles, join_summary, value_positions
+from .ordering import _as_list, all_of, exact_quantiles, join_summary, value_positions, written
 from .windows import rank_in_period
 
 
@@ -174,7 +174,9 @@ def metrics_by_award(scored: DataFrame, period_col: str, score_col: str, label_c
     winner rank, number of test periods.  ``scored`` holds the scored rows of
     every model (a ``model`` column), so one plan serves all models."""
     group_cols = list(group_cols)
-    s = scored.where(F.col(split_col).isin("val", "test"))
+    # scoring may be costly and two metrics read it: written once, with the columns they need
+    s = written(scored.where(F.col(split_col).isin("val", "test")).select(*[col_ref(c) for c in dict.fromkeys(
+        [*group_cols, split_col, period_col, score_col, label_col, *tiebreak])]), "scored")
     auc = roc_auc(s, score_col, label_col, [*group_cols, split_col])
     rep = ranking_report(s, period_col, score_col, label_col, tiebreak, [*group_cols, split_col])
     both = auc.join(rep, [*group_cols, split_col], "full")

@@ -2,41 +2,42 @@
 
 A window ``partition by period order by score`` sends every row of a period to
 one task; at scale a period (or a whole table, for a global AUC) is unbounded.
-One algorithm serves every size, and it is one lazy plan:
-
-1. Block bounds: the keys (group, order) of smallest hash -- a sample of set size
-   per block that depends on the data alone -- are put in order, and every
-   ``KEYS_PER_BOUND``-th is a bound.  A row's block is the number of bounds before
-   its key, found by binary search.  So a block is a pure function of the row:
-   retries, re-planned stages and a second evaluation of the plan all agree.
-2. A window over (block, group) gives running sums inside the block.  A large
-   group spans many blocks and a small one shares a block.
-3. One total per (block, group) -- at most #groups + #blocks rows -- gives each
-   block's offset and the group's total, joined back on (block, group).
-
-The bounds are a scalar subquery of the same plan, so no job runs before the
-action.  The number of blocks follows the bytes the plan scans (and is at least
-``spark.sql.shuffle.partitions``); results do not depend on it.  Rows travel
-inside one struct, so the caller's column names never clash with ours.
-Everything stays in native operators: no Python per row.
+One algorithm serves every size:
+
+1. The rows are range-partitioned by (group, order) with Spark's own
+   ``repartitionByRange`` and written once, with the number of their partition,
+   their *block*.  Since the number is on disk, every later read agrees on it,
+   whatever was retried or planned anew.  A large group spans many blocks and
+   small ones share a block.
+2. A window over (block, group) gives running sums inside the block.
+3. Only a group that spans blocks needs more: one row per block of it gives each
+   block's offset and the group's total -- at most two rows per block, joined back.
+
+Tables go to the shared folder (``spark.checkpoint.dir``), so they survive lost
+executors.  There are at least ``spark.sql.shuffle.partitions`` blocks; a table
+whose blocks would hold more than ``ROWS_PER_BLOCK`` rows is dealt again into as many
+as it takes.  Results do not depend on the number.  Rows travel inside one
+struct, so the caller's column names never clash with ours.  Everything stays in
+native operators: no Python per row.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import col_ref
+from ..session import ensure_checkpoint_dir
 
 _ALL = "__all"
-#: scanned bytes for each block beyond ``spark.sql.shuffle.partitions`` blocks
-BYTES_PER_BLOCK = 32 << 20
-#: sampled keys for each block bound
-KEYS_PER_BOUND = 16
+#: rows of a block on average, at most
+ROWS_PER_BLOCK = 1_000_000
 #: session setting that fixes the number of blocks
 BLOCKS_CONF = "podium.ordering.blocks"
 #: copies of a group summary, so that joining it back splits a large group
@@ -55,6 +56,14 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no table has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def join_summary(df: DataFrame, summary: DataFrame, on: Sequence[tuple[str, str]], how: str = "left",
                  salts: int = SALTS) -> DataFrame:
     """``df`` joined with a small table of one row per group, null-safe on the pairs
@@ -62,61 +71,56 @@ def join_summary(df: DataFrame, summary: DataFrame, on: Sequence[tuple[str, str]
     the summary is repeated ``salts`` times and the rows of a group are spread by
     their hash, so no task gets a whole group.  Summary columns must have names of
     their own."""
+    mine, theirs = fresh("__spread", df, summary), fresh("__salt", df, summary)
     spread = F.pmod(F.xxhash64(*[col_ref(c) for c in df.columns]), F.lit(salts)).cast("int")
-    copies = summary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = df.withColumn("__spread", spread)
-    cond = [col_ref(a).eqNullSafe(col_ref(b)) for a, b in on] + [F.col("__spread") == F.col("__salt")]
-    return left.join(copies, all_of(cond), how).drop("__spread", "__salt")
+    copies = summary.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df.withColumn(mine, spread)
+    cond = [col_ref(a).eqNullSafe(col_ref(b)) for a, b in on] + [F.col(mine) == F.col(theirs)]
+    return left.join(copies, all_of(cond), how).drop(mine, theirs)
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """Sum of the size estimates of the files a plan reads (0 if unknown)."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001 - an estimate is optional
-        return 0
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/podium-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(df: DataFrame, blocks: int | None = None) -> int:
-    conf = df.sparkSession.conf
-    fixed = blocks or conf.get(BLOCKS_CONF, None)
-    if fixed:
-        return int(fixed)
-    most = 1 << 14
-    return max(int(conf.get("spark.sql.shuffle.partitions", "200")),
-               min(most, math.ceil(scanned_bytes(df) / BYTES_PER_BLOCK)))
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once with a unique number for every row in a column ``name``."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
-def _before(x: Column, key: Column, ascending: Sequence[bool]) -> Column:
-    """Does key ``x`` come before ``key``?  A key is (g, n0, v0, n1, v1, ...): the group, then
-    for each order column where its nulls go and its value."""
-    ties = F.lit(False)
-    for i, asc in reversed(list(enumerate(ascending))):
-        a, b = x[f"v{i}"], key[f"v{i}"]
-        first = F.coalesce(a < b if asc else a > b, F.lit(False))
-        ties = (x[f"n{i}"] < key[f"n{i}"]) | ((x[f"n{i}"] == key[f"n{i}"]) & (first | (a.eqNullSafe(b) & ties)))
-    return (x["g"] < key["g"]) | ((x["g"] == key["g"]) & ties)
+def in_blocks(rows: DataFrame, order: Sequence[Column], blocks: int | None = None) -> DataFrame:
+    """``rows`` written with a column ``b``: the range partition, in ``order``, that holds them."""
+    conf = rows.sparkSession.conf
+    fixed = blocks or conf.get(BLOCKS_CONF, None)
+    n = int(fixed or conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def deal(t: DataFrame, parts: int) -> DataFrame:
+        return written(t.repartitionByRange(parts, *order).withColumn("b", F.spark_partition_id()), "blocks")
 
+    dealt = deal(rows, n)
+    if not fixed:
+        need = math.ceil(dealt.count() / ROWS_PER_BLOCK)  # from the files' footers
+        if need > n:
+            dealt = deal(dealt.drop("b"), need)
+    return dealt
 
-def _with_blocks(rows: DataFrame, n: int, ascending: Sequence[bool]) -> DataFrame:
-    """``rows`` (with a column ``key``) and their block ``b``."""
-    def compare(x: Column, y: Column) -> Column:
-        return F.when(_before(x, y, ascending), -1).when(_before(y, x, ascending), 1).otherwise(0)
 
-    sample = (rows.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(n * KEYS_PER_BOUND)
-              .agg(F.array_sort(F.collect_list("key"), compare).alias("keys")))
-    bounds = sample.select(F.filter("keys", lambda k, i: i % KEYS_PER_BOUND == KEYS_PER_BOUND - 1)).scalar()
-    steps = [1 << i for i in reversed(range(n.bit_length() + 1))]
+def _packed(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str], Sequence[int]]:
+    """Rows as structs ``row`` (c0, c1, ...) and ``g`` (the group), the columns, and the
+    places of those that Parquet can't hold (untyped nulls; they stay out of the struct)."""
+    cols = df.columns
+    void = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.NullType)]
+    kept = [col_ref(c).alias(f"c{i}") for i, c in enumerate(cols) if i not in void]
+    group = F.struct(F.lit(0).alias("g"), *[col_ref(c).alias(f"g{i}") for i, c in enumerate(group_cols)])
+    return df.select(F.struct(F.lit(0).alias("c"), *kept).alias("row"), group.alias("g")), cols, void
 
-    def further(at: Column, step: Column) -> Column:
-        # the one use of bounds: it is then evaluated in place, not copied into every row
-        bound = F.array(F.get(F.col("bounds"), at + step - 1))
-        passed = F.get(F.transform(bound, lambda x: _before(x, F.col("key"), ascending)), F.lit(0))
-        return F.when(F.coalesce(passed, F.lit(False)), at + step).otherwise(at)
 
-    return rows.withColumn("bounds", bounds).select(
-        *rows.columns, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further).alias("b")).drop("key")
+def _unpacked(cols: Sequence[str], void: Sequence[int]) -> list[Column]:
+    return [(F.lit(None) if i in void else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(cols)]
 
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[tuple[str, bool]],
@@ -130,33 +134,79 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[
     ``group_cols + order_by`` must identify a row uniquely (end the ordering with a
     unique key), otherwise the split between tied rows is arbitrary.
     """
-    groups, sums, cols = _as_list(group_cols), _as_list(sums), df.columns
+    sums = _as_list(sums)
+    rows, cols, void = _packed(df, _as_list(group_cols))
 
     def field(c: str) -> Column:
         return F.col(f"row.c{cols.index(c)}")
 
-    rows = df.select(F.struct(*[col_ref(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"))
-    rows = rows.withColumn("g", F.struct(F.lit(0).alias("g"), *[field(c).alias(f"g{i}") for i, c in enumerate(groups)]))
     order = [field(c).asc_nulls_first() if asc else field(c).desc_nulls_last() for c, asc in order_by]
-    key = [F.col("g")]
-    for i, (c, asc) in enumerate(order_by):
-        key += [(field(c).isNotNull() if asc else field(c).isNull()).cast("int").alias(f"n{i}"), field(c).alias(f"v{i}")]
-    blocked = _with_blocks(rows.withColumn("key", F.struct(*key)), n_blocks(df, blocks), [asc for _, asc in order_by])
+    blocked = in_blocks(rows, [F.col("g").asc(), *order], blocks)
 
-    inside = Window.partitionBy("b", "g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.select("row", "g", "b", *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)])
+    whole = Window.partitionBy("b", "g")
+    inside = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = blocked.select("row", "g", "b", *[F.sum(field(c)).over(inside).alias(f"l{i}") for i, c in enumerate(sums)],
+                           *[F.sum(field(c)).over(whole).alias(f"w{i}") for i, c in enumerate(sums) if totals is not None])
     per_block = blocked.groupBy("b", "g").agg(*[F.sum(field(c)).alias(f"t{i}") for i, c in enumerate(sums)])
-    # one row per block of the group
-    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        F.col("g").alias("og"), F.col("b").alias("ob"),
+    group = Window.partitionBy("g")
+    before = group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per block of a group that spans blocks
+    edges = per_block.select(
+        F.col("g").alias("og"), F.col("b").alias("ob"), F.count(F.lit(1)).over(group).alias("k"),
         *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"f{i}") for i in range(len(sums))],
-        *[F.sum(f"t{i}").over(Window.partitionBy("g")).alias(f"a{i}") for i in range(len(sums))])
-    both = local.join(offsets, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")))
+        *[F.sum(f"t{i}").over(group).alias(f"a{i}") for i in range(len(sums))]).where("k > 1")
+    both = local.join(edges, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")), "left")
     return both.select(
-        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)],
-        *[(F.col(f"l{i}") + F.col(f"f{i}")).alias(f"{prefix}{c}") for i, c in enumerate(sums)],
-        *[F.col(f"a{i}").alias(f"{totals}{c}") for i, c in enumerate(sums) if totals is not None])
+        *_unpacked(cols, void),
+        *[(F.col(f"l{i}") + F.coalesce(F.col(f"f{i}"), F.lit(0))).alias(f"{prefix}{c}") for i, c in enumerate(sums)],
+        *[F.coalesce(f"a{i}", f"w{i}").alias(f"{totals}{c}") for i, c in enumerate(sums) if totals is not None])
+
+
+def average_ranks(df: DataFrame, group_cols: Sequence[str], value: Column, *, before: str = "_before",
+                  through: str = "_through", total: str = "_total", blocks: int | None = None) -> DataFrame:
+    """Every row whose ``value`` is not null, with the number of rows of its group with a
+    smaller value, with a smaller or equal one, and in all.  Its average rank is
+    ``(before + 1 + through) / 2``.
+
+    The rows carry their ranks through the blocks themselves: no join on values.
+    Rows are dealt by (group, value, their hash), so equal values may fill many
+    blocks; a run of equal values that goes on beyond its block is mended from one
+    row per block.  Fully equal rows share a block.
+    """
+    packed, cols, void = _packed(df.withColumn(fresh("__value", df), value), _as_list(group_cols))
+    cols = cols[:-1]
+    rows = packed.select("row", "g", F.col(f"row.c{len(cols)}").alias("v")).where("v is not null")
+    blocked = in_blocks(rows, [F.col("g").asc(), F.col("v").asc(), F.xxhash64("row").asc()], blocks)
+
+    whole = Window.partitionBy("b", "g")
+    by_value = whole.orderBy("v")
+    local = blocked.select("row", "g", "b", "v", (F.rank().over(by_value) - 1).cast("long").alias("lb"),
+                           F.count(F.lit(1)).over(by_value).alias("lt"), F.count(F.lit(1)).over(whole).alias("n"))
+    # the block's rows of the group, its first and last value, the ties of the first, the rows before the last
+    ends = local.groupBy("b", "g").agg(F.max("n").alias("n"), F.min("v").alias("vf"), F.max("v").alias("vl"),
+                                       F.min("lt").alias("nf"), F.max("lb").alias("nl"))
+    group = Window.partitionBy("g")
+    in_order = group.orderBy("b")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    later = in_order.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("*", F.count(F.lit(1)).over(group).alias("k"), F.sum("n").over(group).alias("all"),
+                       F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"),
+                       (F.lag("vl").over(in_order) == F.col("vf")).alias("joins"),
+                       (F.lead("vf").over(in_order) == F.col("vl")).alias("goes_on")).where("k > 1")
+    one = F.col("vf") == F.col("vl")
+    # where the run of the last value starts and that of the first ends; null: in another block
+    ends = ends.withColumn("start", F.when(~(one & F.coalesce("joins", F.lit(False))), F.col("off") + F.col("nl")))
+    ends = ends.withColumn("end", F.when(~(one & F.coalesce("goes_on", F.lit(False))), F.col("off") + F.col("nf")))
+    edges = ends.select(
+        F.col("g").alias("og"), F.col("b").alias("ob"), "vf", "vl", "off", "all",
+        F.when(F.col("joins"), F.last("start", ignorenulls=True).over(earlier)).alias("first_before"),
+        F.when(F.col("goes_on"), F.first("end", ignorenulls=True).over(later)).alias("last_through"))
+    both = local.join(edges, (F.col("g") == F.col("og")) & (F.col("b") == F.col("ob")), "left")
+    off = F.coalesce("off", F.lit(0))
+    low = F.when((F.col("v") == F.col("vf")) & F.col("first_before").isNotNull(), F.col("first_before")).otherwise(off + F.col("lb"))
+    high = F.when((F.col("v") == F.col("vl")) & F.col("last_through").isNotNull(), F.col("last_through")).otherwise(off + F.col("lt"))
+    return both.select(*_unpacked(cols, void), low.alias(before), high.alias(through),
+                       F.coalesce("all", "n").alias(total))
 
 
 def value_positions(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -221,6 +271,7 @@ def row_positions(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[t
                   out_col: str = "rank", *, blocks: int | None = None) -> DataFrame:
     """1-based position of every row inside its group (``row_number``), for a
     row-unique ordering; scales like :func:`running_totals`."""
-    ones = df.withColumn("__one", F.lit(1).cast("long"))
-    rt = running_totals(ones, group_cols, order_by, ["__one"], blocks=blocks)
-    return rt.withColumnRenamed("cum___one", out_col).drop("__one")
+    one = fresh("__one", df)
+    ones = df.withColumn(one, F.lit(1).cast("long"))
+    rt = running_totals(ones, group_cols, order_by, [one], prefix=fresh("__cum", df), blocks=blocks)
+    return rt.withColumnRenamed(rt.columns[-1], out_col).drop(one)

@@ -38,9 +38,10 @@ def worst_periods(ranks: DataFrame, period_col: str, rank_col: str) -> DataFrame
 
 def worst_period(ranks: DataFrame, period_col: str, rank_col: str) -> DataFrame:
     """K4: the single worst period and its rank (earliest period on ties)."""
-    key = F.struct(col_ref(rank_col).alias("r"), (-col_ref(period_col)).alias("p"))
-    return ranks.where(col_ref(rank_col).isNotNull()).agg(F.max(key).alias("__w")).select(
-        (-F.col("__w.p")).alias(period_col), F.col("__w.r").alias(rank_col))
+    known = ranks.where(col_ref(rank_col).isNotNull())
+    best = known.groupBy(col_ref(rank_col).alias("r")).agg(F.min(col_ref(period_col)).alias("p"))
+    return best.agg(F.max_by(F.struct("p", "r"), "r").alias("w")).select(
+        F.col("w.p").alias(period_col), F.col("w.r").alias(rank_col))
 
 
 def melt_metrics(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col_ref
-from .ordering import _as_list, all_of, join_summary, row_positions, value_positions
+from .ordering import _as_list, average_ranks, join_summary, row_positions, with_row_id
 
 PREV = "prev_"
 DELTA = "delta_"
@@ -90,23 +90,40 @@ def top_k_per_period(df: DataFrame, period_col: str | Sequence[str], score_col:
             .where(F.col(out_col) <= k))
 
 
-def _by_type(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
-    """Columns that can share one unpivoted value column without a cast."""
-    kinds: dict[str, list[str]] = {}
-    for c in cols:
-        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    return list(kinds.values())
-
-
-def _value_percentiles(df: DataFrame, groups: Sequence[str], cols: Sequence[str],
-                       blocks: int | None) -> DataFrame:
-    """(k0.., f, v, pct): the percentile of each distinct value of each column, all
-    columns in one pass; the columns have one type."""
-    long = df.select(*[col_ref(g).alias(f"k{i}") for i, g in enumerate(groups)], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("f"), col_ref(c).alias("v")) for c in cols])).alias("fv"))
-    keys = [*[f"k{i}" for i in range(len(groups))], "f"]
-    vp = value_positions(long.select(*keys[:-1], "fv.f", "fv.v"), keys, "v", blocks=blocks)
-    return vp.select(*keys, "v", (F.col("_avg_rank") / F.col("_total").cast("double")).alias("pct"))
+def _percentiles(df: DataFrame, groups: Sequence[str], cols: Sequence[str], names: Sequence[str],
+                 blocks: int | None) -> DataFrame:
+    """``df`` and, for each column, average rank / count among the group's non-null
+    values, under ``names``.
+
+    The rows are written once with a number; (number, group, column, value) goes
+    through one ordered pass for all columns, and one grouped pivot on the number
+    brings the percentiles back.  The shuffles do not grow with the columns, and
+    no join is on a value.  Values keep their own type: one field per type."""
+    types = {c: df.schema[c].dataType for c in df.columns}
+    at = {c: f"c{i}" for i, c in enumerate(df.columns) if not isinstance(types[c], T.NullType)}
+    rows = with_row_id(df.select(*[col_ref(c).alias(a) for c, a in at.items()]), "rid")
+    ranked_cols = [c for c in cols if c in at]
+    kinds = list(dict.fromkeys(types[c] for c in ranked_cols))
+
+    def entry(i: int, c: str) -> Column:
+        typed = [(F.col(at[c]) if kind == types[c] else F.lit(None).cast(kind)).alias(f"t{k}")
+                 for k, kind in enumerate(kinds)]
+        return F.struct(F.lit(i).alias("f"), F.when(F.col(at[c]).isNotNull(), F.struct(*typed)).alias("v"))
+
+    out = rows
+    if ranked_cols:
+        keys = [f"k{i}" for i in range(len(groups))]
+        long = rows.select("rid", *[F.col(at[g]).alias(k) for g, k in zip(groups, keys)], F.explode(F.array(*[
+            entry(i, c) for i, c in enumerate(ranked_cols)])).alias("x")).select("rid", *keys, "x.f", "x.v")
+        ranked = average_ranks(long, ["f", *keys], F.col("v"), blocks=blocks)
+        pct = (F.col("_before") + 1 + F.col("_through")).cast("double") / 2.0 / F.col("_total").cast("double")
+        wide = ranked.select("rid", "f", pct.alias("pct")).groupBy("rid").agg(
+            *[F.max(F.when(F.col("f") == i, F.col("pct"))).alias(f"p{i}") for i in range(len(ranked_cols))])
+        out = rows.join(wide, "rid", "left")
+    place = {c: f"p{i}" for i, c in enumerate(ranked_cols)}
+    return out.select(*[(F.col(at[c]) if c in at else F.lit(None)).alias(c) for c in df.columns],
+                      *[(F.col(place[c]) if c in place else F.lit(None).cast("double")).alias(n)
+                        for c, n in zip(cols, names)])
 
 
 def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Sequence[str] | str,
@@ -114,29 +131,11 @@ def percent_rank_avg(df: DataFrame, period_col: str | Sequence[str], cols: Seque
                      blocks: int | None = None) -> DataFrame:
     """Pandas ``rank(pct=True, method="average")`` per period: average
     1-based rank among non-null values divided by the non-null count, in
-    (0, 1]; NULL stays NULL.  Values keep their own type.  The columns of a type
-    are unpivoted to (period, column, value), duplicate values are folded, ranks
-    come from one running-counts pass over the distinct values, and each column
-    joins its percentiles back on (period, value); rows without a value are
-    spread by their hash."""
-    groups = _as_list(period_col)
+    (0, 1]; NULL stays NULL.  One ordered pass for all columns; a value that half
+    the rows hold fills many bounded blocks."""
     cols = _as_list(cols)
     names = list(names) if names else [f"{c}{suffix}" for c in cols]
-    out, have = df, list(df.columns)
-    spread = F.pmod(F.xxhash64(*[col_ref(c) for c in have]), F.lit(1 << 20))
-    for same in _by_type(df, cols):
-        pct_all = _value_percentiles(df, groups, same, blocks)
-        for c in same:
-            name = names[cols.index(c)]
-            pct = pct_all.where(F.col("f") == c).select(
-                *[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(groups))], F.col("v").alias("__v"),
-                F.col("pct").alias("__pct"), F.lit(-1).cast("long").alias("__none"))
-            cond = [col_ref(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups)]
-            cond += [col_ref(c).eqNullSafe(F.col("__v")), F.col("__spread") == F.col("__none")]
-            j = out.withColumn("__spread", F.when(col_ref(c).isNull(), spread).otherwise(F.lit(-1).cast("long"))).join(
-                pct, all_of(cond), "left")
-            out = j.select(*[col_ref(x) for x in out.columns], F.col("__pct").alias(name))
-    return out.select(*[col_ref(c) for c in have], *[col_ref(n) for n in names])
+    return _percentiles(df, _as_list(period_col), cols, names, blocks) if cols else df
 
 
 def add_volume_features(df: DataFrame, period_col: str, award: str,
@@ -272,27 +271,10 @@ def group_zscore(df: DataFrame, period_col: str, cols: Sequence[str], suffix: st
     return j.select(*[col_ref(c) for c in df.columns], *z)
 
 
-
-def season_percentiles(df: DataFrame, period_col: str, cols: Sequence[str], key_cols: Sequence[str],
+def season_percentiles(df: DataFrame, period_col: str, cols: Sequence[str], key_cols: Sequence[str] = (),
                        prefix: str = "pct_", *, blocks: int | None = None) -> DataFrame:
-    """``pct_c`` = W4 percentile of every listed column within its period,
-    for many columns in one pass: the columns are unpivoted to (key, period,
-    feature, value), equal values are folded per (period, feature), ranks come
-    from running counts, and one grouped pivot brings the percentiles back to
-    the rows (``key_cols`` + period must be unique).  The number of shuffles
-    does not grow with the number of columns."""
+    """``pct_c`` = W4 percentile of every listed column within its period, for
+    many columns in one pass.  ``key_cols`` is not needed any more: rows are told
+    apart by a number of their own, so repeated rows are no problem."""
     cols = list(cols)
-    keys = [*[k for k in key_cols if k != period_col], period_col]
-    out = df
-    for same in _by_type(df, cols):
-        pct = _value_percentiles(df, [period_col], same, blocks).select(
-            F.col("k0").alias("__p"), F.col("f").alias("__f"), F.col("v").alias("__v"), "pct")
-        long = df.select(*[col_ref(k).alias(f"k{i}") for i, k in enumerate(keys)], F.explode(F.array(*[
-            F.struct(F.lit(c).alias("f"), col_ref(c).alias("v")) for c in same])).alias("fv")).where("fv.v is not null")
-        hits = long.join(pct, F.col(f"k{len(keys) - 1}").eqNullSafe(F.col("__p")) & (F.col("fv.f") == F.col("__f"))
-                         & (F.col("fv.v") == F.col("__v")))
-        wide = hits.groupBy(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))]).agg(
-            *[F.max(F.when(F.col("__f") == c, F.col("pct"))).alias(f"{prefix}{c}") for c in same])
-        out = out.join(wide, all_of([col_ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]), "left").drop(
-            *[f"__k{i}" for i in range(len(keys))])
-    return out.select(*[col_ref(c) for c in df.columns], *[col_ref(f"{prefix}{c}") for c in cols])
+    return percent_rank_avg(df, period_col, cols, names=[f"{prefix}{c}" for c in cols], blocks=blocks)

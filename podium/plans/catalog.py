@@ -1284,8 +1284,8 @@ def q_u2(spark, sf):
     return U.merge_sources(base, {"ev_": src}, ["entity", "period"])
 
 
-NORM_L = "trim(regexp_replace(lower(trim(replace(c_name, 'Customer#', 'Supplier '))), '[^a-z0-9]+', ' ', 'g'))"
-NORM_R = "trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', ' ', 'g'))"
+NORM_L = "trim(regexp_replace(strip_accents(lower(trim(replace(c_name, 'Customer#', 'Supplier ')))), '[^a-z0-9]+', ' ', 'g'))"
+NORM_R = "trim(regexp_replace(strip_accents(lower(trim(s_name))), '[^a-z0-9]+', ' ', 'g'))"
 MATCH_BASE_SQL = f"""
 l as (select c_custkey as left_id, c_name as left_name, {NORM_L} as key from customer),
 r as (select s_suppkey as right_id, s_name as right_name, {NORM_R} as rkey from supplier),

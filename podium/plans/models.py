@@ -189,12 +189,12 @@ def _estimator(spec: ModelSpec, n_weight: float | None, label: str, weight: str
                                       numTrees=int(p.get("num_trees", 400)), maxDepth=int(p.get("max_depth", 20)),
                                       featureSubsetStrategy="sqrt", seed=int(p.get("seed", 0)))
     if spec.kind == "gbt":
+        held_out = {"validationIndicatorCol": "__held_out"} if p.get("validation") else {}
         return GBTClassifier(featuresCol=FEATURES_VEC, labelCol=label, weightCol=weight or "",
                              maxIter=int(p.get("max_iter", 400)), maxDepth=int(p.get("max_depth", 6)),
                              stepSize=float(p.get("step_size", 0.05)), seed=int(p.get("seed", 0)),
                              subsamplingRate=float(p.get("subsample", 1.0)),
-                             featureSubsetStrategy=str(p.get("features", "all")),
-                             validationIndicatorCol="__held_out" if p.get("validation") else None)
+                             featureSubsetStrategy=str(p.get("features", "all")), **held_out)
     raise ValueError(f"no single estimator for kind {spec.kind!r}")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import nan_to_null
 from ..operators.ordering import join_summary
+from ..operators.windows import entity_window
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -40,10 +41,9 @@ def _winner_flag(df: DataFrame, period_col: str, score_col: str, entity_col: str
 
 
 def _first_period_flag(df: DataFrame, entity_col: str, period_col: str, out_col: str = "is_rookie") -> DataFrame:
-    # a grouped minimum (partial aggregation) joined back, spread over salts: no task gets a whole entity
-    first = df.groupBy(F.col(entity_col).alias("__e")).agg(F.min(period_col).alias("__first"))
-    return join_summary(df, first, [(entity_col, "__e")], salts=2).select(
-        *[F.col(c) for c in df.columns], (F.col(period_col) == F.col("__first")).cast("int").alias(out_col))
+    # one row per entity and period: a window over an entity holds as many rows as there are periods
+    first = F.min(period_col).over(entity_window(df, entity_col))
+    return df.withColumn(out_col, (F.col(period_col) == first).cast("int"))
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:

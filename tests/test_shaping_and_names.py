@@ -82,3 +82,23 @@ def test_normalize_importance_names(spark):
                                                                       "importance_std double")
     out = P.normalize_importance(df).collect()
     assert [(r.feature, r.value, r.std, r.abs_value) for r in out] == [("b", -0.3, 0.02, 0.3), ("a", 0.1, 0.01, 0.1)]
+
+
+def test_names_fold_every_latin_accent(spark):
+    from podium.operators.matching import entity_match, normalize_name
+    want = {"Luka Dončić": "luka doncic", "Jokić": "jokic", "Jokič": "jokic", "Valančiūnas": "valanciunas", "Šarić": "saric",
+            "Žižić": "zizic", "Āboliņš": "abolins", "Işık": "isik", "Łukasz Øster": "lukasz oster", "Đorđe": "dorde",
+            "Straße Æon": "strasse aeon", "Nguyễn": "nguyen", "José  O'Neil-Jr.": "jose o neil jr", "İstanbul": "istanbul",
+            "": "", None: None}
+    df = spark.createDataFrame([(k, v) for k, v in want.items()], "name string, want string")
+    got = {r["name"]: r.key for r in df.select("name", normalize_name("name").alias("key")).collect()}
+    assert got == want
+    right = spark.createDataFrame([(1, "Luka Doncic"), (2, "Jonas Valanciunas")], "id int, n string")
+    left = spark.createDataFrame([(7, "Luka Dončić"), (8, "Jonas Valančiūnas")], "id int, n string")
+    assert {(r.left_id, r.right_id) for r in entity_match(left, right, "n", "n", "id", "id").collect()} == {(7, 1), (8, 2)}
+
+
+def test_worst_period_of_text_periods(spark):
+    from podium.operators.topk import worst_period
+    df = spark.createDataFrame([("2000-01", 3), ("1999-00", 5), ("2001-02", 5), ("2002-03", None)], "season string, r int")
+    assert tuple(worst_period(df, "season", "r").first()) == ("1999-00", 5)
