@@ -94,41 +94,32 @@ class Aligner:
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         # B may be cut before a space, and around a line feed that is a token of its own
         feed = self.b.encode("\n")
-        self.lead = feed[:-1]
+        self.lead = len(feed) - 1
         self.by_word = (not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
                         and bool(feed) and self.b_bytes[feed[-1]] == b"\n")
+        # tokens that begin a word of a text that is cut
+        self.a_first = np.array([x[:1] in (b" ", b"\n") for x in self.a_bytes], bool)
+        self.b_first = np.array([x[:1] in (b" ", b"\n") for x in self.b_bytes], bool)
+        # decimal ids, left-aligned, with room for what follows them
+        top = max(len(self.a_bytes), len(self.b_bytes), 1)
+        self.digits = np.array([str(i) for i in range(top)], dtype=bytes)
+        self.width = self.digits.itemsize + 1
+        self.n_digits = np.char.str_len(self.digits).astype(np.int64)
+        self.digits = np.pad(self.digits.view(np.uint8).reshape(top, -1), ((0, 0), (0, 1)))
         self._forget()
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.texts = [], [], [], []
-        self.pairs: list[np.ndarray] = []
+        self.texts: list[str] = []
+        # tokens of A (-1: not spelt back) and of B of each word; its links are links[begin[i]:begin[i + 1]]
+        self.n_a, self.n_b = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.begin, self.links = np.zeros(1024, np.int64), np.zeros(4096, np.uint64)
 
     def _ids(self, texts: list[str], spaced: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """A's ids of ``spaced`` and B's of ``texts``."""
         a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         return a, self.b.encode(texts, num_threads=1)
 
-    @staticmethod
-    def groups(a: list[int], b: list[int], a_len, b_len) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Cuts in a and b, and the linked ids, of tokens over the same bytes."""
-        i = j = at_a = at_b = 0
-        cut_a, cut_b, link_a, link_b = [], [], [], []
-        while i < len(a) or j < len(b):
-            # the side that is behind goes on; tokens that end together are linked
-            if j == len(b) or (i < len(a) and at_a <= at_b):
-                at_a += int(a_len[a[i]])
-                i += 1
-            else:
-                at_b += int(b_len[b[j]])
-                j += 1
-            if at_a == at_b and i and j:
-                cut_a.append(i)
-                cut_b.append(j)
-                link_a.append(a[i - 1])
-                link_b.append(b[j - 1])
-        return cut_a, cut_b, link_a, link_b
-
     @staticmethod
     def spelt(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
         out, i, j = [], 0, 0
@@ -137,25 +128,74 @@ class Aligner:
             i, j = x, y
         return ";".join(out)
 
-    def _learn(self, words: list[str]) -> None:
-        """Words begin with the space or the line feed before them."""
-        if len(self.places) + len(words) > WORDS:
-            self._forget()
-        feeds = [w[0] == "\n" for w in words]
-        # B puts a space before a text itself; a line feed keeps it off the word
-        a_all, b_all = self._ids([w if f else w[1:] for w, f in zip(words, feeds)], words)
-        a_len, b_len = self.a_len.tolist(), self.b_len.tolist()
-        for w, f, a, b in zip(words, feeds, a_all, b_all):
-            if f:
-                b = b[len(self.lead):]
-            self.places[w] = len(self.n_a)
-            cut_a, cut_b, link_a, link_b = self.groups(a, b, a_len, b_len)
+    def _at_once(self, words: list[str]):
+        """The tokens of words that begin with a space or a line feed, encoded end to end, and
+        how many each has; None if they don't spell the words back one by one."""
+        text = "".join(words)
+        fed = text[0] == "\n"
+        (a,), (b,) = self._ids([text if fed else text[1:]], [text])
+        b, data = b[self.lead if fed else 0:], text.encode()
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        cut_a, cut_b = np.flatnonzero(self.a_first[a]), np.flatnonzero(self.b_first[b])
+        if len(cut_a) != len(words) or len(cut_b) != len(words):
+            return None
+        return a, b, np.diff(np.append(cut_a, len(a))), np.diff(np.append(cut_b, len(b)))
+
+    def _one_by_one(self, words: list[str]):
+        """As ``_at_once``, with -1 for the tokens of A of a word that isn't spelt back."""
+        all_a, all_b, n_a, n_b = [], [], [], []
+        for w in words:
+            (a,), (b,) = self._ids([w if w[0] == "\n" else w[1:]], [w])
+            b = b[self.lead if w[0] == "\n" else 0:]
             right = b"".join([self.a_bytes[i] for i in a]) == w.encode() == b"".join([self.b_bytes[i] for i in b])
-            self.n_a.append(len(a) if right else -1)
-            self.n_b.append(len(b))
-            self.n_groups.append(len(cut_a))
-            self.texts.append(self.spelt(a, b, cut_a, cut_b))
-            self.pairs.append(np.array([y << 32 | x for x, y in zip(link_a, link_b)], np.uint64))
+            all_a += a if right else []
+            all_b += b if right else []
+            n_a.append(len(a) if right else -1)
+            n_b.append(len(b) if right else 0)
+        return np.array(all_a, np.int64), np.array(all_b, np.int64), np.array(n_a, np.int64), np.array(n_b, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        a, b, n_a, n_b = self._at_once(words) or self._one_by_one(words)
+        first, last = len(self.texts), len(self.texts) + len(words)
+        # the words' tokens cover the same bytes end to end: where both end is a link
+        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        met = np.searchsorted(ends_b, ends_a)
+        link_a = np.flatnonzero(ends_b[np.minimum(met, len(b) - 1)] == ends_a) if len(b) else np.zeros(0, np.int64)
+        link_b = met[link_a]
+        of_word = np.cumsum(np.maximum(n_a, 0))  # tokens of A up to each word's end
+        n_links = np.diff(np.searchsorted(link_a, of_word), prepend=0)
+        spelt, ends = self._spell(a, b, link_a, link_b)
+        stop = np.concatenate([[0], ends])[np.cumsum(n_links)].tolist()
+        start = [0, *stop[:-1]]
+        self.texts += [spelt[i:j - 1] for i, j in zip(start, stop)]
+        self.places.update(zip(words, range(first, last)))
+        while last >= len(self.n_a):
+            self.n_a, self.n_b, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n_a, self.n_b, self.begin))
+        self.n_a[first:last], self.n_b[first:last] = n_a, n_b
+        at = int(self.begin[first])
+        self.begin[first + 1:last + 1] = at + np.cumsum(n_links)
+        while at + len(link_a) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[at:at + len(link_a)] = b[link_b].astype(np.uint64) << np.uint64(32) | a[link_a].astype(np.uint64)
+
+    def _spell(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups that end at the tokens cut_a and cut_b, as ``a1,a2|b1;`` end to end, and
+        where each group's text ends."""
+        if not len(cut_a):
+            return "", np.zeros(0, np.int64)
+        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+        before_b = np.concatenate([[0], cut_b + 1])
+        ids, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        place_a, place_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + cut_a[group_b] + 1
+        ids[place_a], ids[place_b] = a, b
+        after[place_a[cut_a]], after[place_b[cut_b]] = ord("|"), ord(";")
+        rows = self.digits[ids]
+        n = self.n_digits[ids]
+        rows[np.arange(len(ids)), n] = after
+        used = np.arange(self.width) <= n[:, None]
+        return rows[used].tobytes().decode(), np.cumsum(n + 1)[place_b[cut_b]]
 
     def _whole(self, text: str):
         (a,), (b,) = self._ids([text], [" " + text])
@@ -172,28 +212,32 @@ class Aligner:
         """For each text its tokens by A and by B, its groups, them spelt out, and its
         links (B's id, then A's, in 64 bits); None if it has no tokens."""
         cut: list = [None] * len(texts)
-        new: dict[str, None] = {}
         for i, text in enumerate(texts):
             if text and self.by_word and not ODD.search(text):
                 cut[i] = WORD.findall(" " + text)
-                new.update(dict.fromkeys(w for w in cut[i] if w not in self.places))
-        if new:
-            if len(self.places) + len(new) > WORDS:
-                self._forget()
-                new = dict.fromkeys(w for words in cut if words for w in words)
-            self._learn(list(new))
-        n_a, n_b, n_groups = (np.array(x, np.int64) for x in (self.n_a, self.n_b, self.n_groups))
+        used = set().union(*(words for words in cut if words))
+        new = used - self.places.keys()
+        if len(self.places) + len(new) > WORDS:
+            self._forget()
+            new = used
+        new = sorted(new)
+        for i in range(0, len(new), 4096):
+            self._learn(new[i:i + 4096])
         for text, words in zip(texts, cut):
             if words is None:
                 yield self._whole(text) if text else None
                 continue
-            at = [self.places[w] for w in words]
-            mine = n_a[at]
-            if (mine < 0).any():
+            places = [self.places[w] for w in words]
+            at = np.array(places, np.int64)
+            n_a = self.n_a[at]
+            if (n_a < 0).any():
                 yield None
                 continue
-            yield (int(mine.sum()), int(n_b[at].sum()), int(n_groups[at].sum()), ";".join([self.texts[i] for i in at]),
-                   np.concatenate([self.pairs[i] for i in at]))
+            begin = self.begin[at]
+            n = self.begin[at + 1] - begin
+            ends = np.cumsum(n)
+            links = self.links[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))]
+            yield (int(n_a.sum()), int(self.n_b[at].sum()), len(links), ";".join([self.texts[i] for i in places]), links)
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
