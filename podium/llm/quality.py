@@ -3,8 +3,7 @@ ratio between a trusted target and the raw corpus.
 
 Tokens are runs of letters and digits, or runs of other visible characters.
 Tokens and neighbouring pairs are counted under their 64-bit hashes, in a table
-that grows with the corpus (a small corpus shares ``BUCKETS`` buckets).  Two
-multinomials are counted: over every document (raw), and over the trusted rows
+that grows with the corpus.  Two multinomials are counted: over every document (raw), and over the trusted rows
 (target).  Both are smoothed by the same ``PRIOR``, counted in target tokens,
 so an n-gram seldom seen weighs next to nothing however small the corpus.  An
 n-gram's weight is the logarithm of the ratio of its two shares, in whole
@@ -19,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, words_of
+from .common import SPACE, materialize, shuffles_dropped, words_of
 
-#: buckets of a corpus with at most a quarter as many distinct n-grams; beyond, each has a count of its own
-BUCKETS = 1 << 16
 MICRO = 1_000_000
 #: least mean log-likelihood ratio of a document that is kept
 THRESHOLD = -0.2
-#: tokens added to a bucket's count in the target, and their equivalent in the raw corpus
+#: tokens added to an n-gram's count in the target, and their equivalent in the raw corpus
 PRIOR = 30
 TOKEN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{SPACE}]+"
 #: trusted ids that are broadcast at most; more are shuffled
@@ -102,9 +99,8 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ngram_weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id",
-                  text: str = "text") -> tuple[DataFrame, int | None]:
-    """(gram, raw, w) of every n-gram of ``docs``, w its weight in millionths, and the
-    number of buckets that the hashes are reduced to (None: not reduced).
+                  text: str = "text") -> DataFrame:
+    """(gram, raw, w) of every n-gram of ``docs``, w its weight in millionths.
 
     ``trusted`` has the ids of the target documents.
     """
@@ -116,21 +112,18 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id",
     # outer: an inner explode would put a filter that computes the n-grams again before it
     counts = (rows.select("trusted", F.explode_outer(_grams(F.col("h"))).alias("gram"))
               .where("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")))
-    counts = materialize(counts, "ngram_counts")
-    sums = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"),
+    with shuffles_dropped(docs.sparkSession):
+        counts = materialize(counts, "ngram_counts")
+    sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"),
                       F.coalesce(F.sum("target"), F.lit(0)).alias("all_target")).first()
-    buckets = BUCKETS if 4 * sums.n <= BUCKETS else None
-    if buckets:
-        counts = counts.groupBy(F.pmod("gram", F.lit(buckets)).alias("gram")).agg(
-            F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
     # the raw corpus scaled to the target's size: expected target counts
     scale = float(sums.all_target) / max(sums.all_raw, 1)
     ratio = (F.col("target") + PRIOR) / (F.col("raw") * scale + PRIOR)
-    return counts.select("gram", "raw", F.round(MICRO * F.log(ratio)).cast("int").alias("w")), buckets
+    return counts.select("gram", "raw", F.round(MICRO * F.log(ratio)).cast("int").alias("w"))
 
 
-def ngram_totals(docs: DataFrame, weights: DataFrame, buckets: int | None, text: str = "text") -> DataFrame:
+def ngram_totals(docs: DataFrame, weights: DataFrame, text: str = "text") -> DataFrame:
     """(k1, k2, total, grams) of every sequence of tokens in ``docs``: the weights of
     its n-grams and their number, both times its copies."""
     # the least power of two above which the n-grams are few enough to broadcast
@@ -144,8 +137,7 @@ def ngram_totals(docs: DataFrame, weights: DataFrame, buckets: int | None, text:
     frequent = F.broadcast(weights.where(power >= least).select("gram", "w"))
     rare = weights.where(power < least).select("gram", "w")
     d = docs.select(_hashes(_tokens(F.col(text))).alias("h")).select(*_key(F.col("h")), _grams(F.col("h")).alias("g"))
-    gram = F.col("gram") if buckets is None else F.pmod("gram", F.lit(buckets))
-    d = d.select("k1", "k2", F.explode_outer("g").alias("gram")).where("gram is not null").withColumn("gram", gram)
+    d = d.select("k1", "k2", F.explode_outer("g").alias("gram")).where("gram is not null")
     # no n-gram left for the shuffle has over 2 ** least occurrences
     parts = [j.groupBy("k1", "k2").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("grams"))
              for j in (d.join(frequent, "gram"), d.join(frequent, "gram", "left_anti").join(rare, "gram"))]
@@ -164,11 +156,15 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id"
     decide; an empty table gives no rows.  Repeated rows are judged alike; null ids are
     never trusted.
     """
-    weights, buckets = ngram_weights(docs, trusted, doc_id, text)
-    totals = materialize(ngram_totals(docs, weights, buckets, text), "ngram_totals")
-    d = base_rules(docs, text).select("row", *BASE, *_key(F.col("tokens")))
-    # nth, never negative, keeps the optimizer from copying all rules into a filter on kept
-    d = d.withColumn("nth", F.monotonically_increasing_id()).join(totals, ["k1", "k2"], "left")
+    weights = ngram_weights(docs, trusted, doc_id, text)
+    with shuffles_dropped(docs.sparkSession):
+        totals = materialize(ngram_totals(docs, weights, text), "ngram_totals")
+    d = base_rules(docs, text).select("row", *BASE, *_key(F.col("tokens")), (F.size("tokens") == 0).alias("bare"))
+    # nth, never negative, keeps the optimizer from copying all rules into a filter on kept; a
+    # text without tokens meets no total, and by nth no other such text
+    d = d.withColumn("nth", F.monotonically_increasing_id())
+    d = d.withColumn("k1", F.when(F.col("bare"), F.col("nth")).otherwise(F.col("k1")))
+    d = d.join(totals, ["k1", "k2"], "left").withColumn("total", F.when(~F.col("bare"), F.col("total")))
     d = d.withColumn("llr_micro", F.floor(F.col("total") / F.col("grams")))
     kept = ~F.col("base_failed") & (F.col("llr_micro") >= F.lit(round(threshold * MICRO))) & (F.col("nth") >= 0)
     return d.select("row", *BASE, "llr_micro", F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 import re
 import struct
 
@@ -52,20 +53,20 @@ def base_rules(text):
 
 def grams(text):
     h = [xx(w) for w in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+", text or "")]
-    return [x % quality.BUCKETS for x in h + [xx(a, b) for a, b in zip(h, h[1:])]]
+    return h + [xx(a, b) for a, b in zip(h, h[1:])]
 
 
 def quality_kept(docs, trusted):
     """{doc_id: (mean ratio in millionths, kept)} of [(doc_id, text)]."""
-    raw, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    raw, target = Counter(), Counter()
     for i, t in docs:
-        for b in grams(t):
-            raw[b] += 1
-            target[b] += i in trusted
-    scale = sum(target) / max(1, sum(raw))
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    scale = target.total() / max(1, raw.total())
     k = quality.PRIOR
-    weight = [math.log((y + k) / (x * scale + k)) * quality.MICRO for x, y in zip(raw, target)]
-    weight = [math.floor(abs(x) + 0.5) * (1 if x > 0 else -1) for x in weight]  # half away from zero
+    weight = {g: math.log((target[g] + k) / (n * scale + k)) * quality.MICRO for g, n in raw.items()}
+    weight = {g: math.floor(abs(x) + 0.5) * (1 if x > 0 else -1) for g, x in weight.items()}  # half away from zero
     out = {}
     for i, t in docs:
         g = grams(t)

@@ -5,7 +5,7 @@ from podium.llm import queries
 
 def test_every_operator_has_one_query():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in __spark_entry__.queries()
     assert set(queries.ORACLE) <= set(__spark_entry__.oracle_sql())
 
