@@ -133,9 +133,10 @@ def best_fit(docs: DataFrame, length: Column, doc_id: str = "doc_id", source: st
     rest.  Two pieces of one source, or of one duplicate cluster (default: equal
     texts), never share a bin; a null source or cluster conflicts with none.
     Lengths under 1 (or null) count 1.  Ties in length go by doc_id and piece.
-    Repeated rows are packed as often as they come; null doc_ids are kept.  Rows
-    that agree in doc_id and length are dealt by a number of their own, so no group
-    holds them all.  An empty table gives no rows.
+    Repeated rows are packed as often as they come; null doc_ids are kept.  Every
+    row is dealt by a number of its own, written once, so no group holds all rows
+    that agree in doc_id and length; so the groups follow the layout of the files,
+    and each is packed the same way whenever it is read.  An empty table gives no rows.
     """
     cluster = F.xxhash64("text") if cluster is None else cluster
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
@@ -143,21 +144,12 @@ def best_fit(docs: DataFrame, length: Column, doc_id: str = "doc_id", source: st
                        F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     # written, so that the numbers stay the same whenever they are read
     rows = materialize(rows.withColumn("nth", F.monotonically_increasing_id()), "lengths")
-    again = (rows.groupBy(F.col("doc_id").alias("id"), F.col("n").alias("size")).count().where("count > 1")
-             .select("id", "size"))
-    again = materialize(again, "repeated_keys")
-    if again.isEmpty():
-        rows = rows.withColumn("salt", F.lit(None).cast("long"))
-    else:
-        rows = rows.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("size")), "left").select(
-            "doc_id", "n", "source", "cluster", F.when(F.col("size").isNotNull(), F.col("nth")).alias("salt"))
-    pieces = rows.select("doc_id", "n", "source", "cluster", "salt", F.explode(
+    pieces = rows.select("doc_id", "n", "source", "cluster", "nth", F.explode(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
     pieces = pieces.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity))
     total = rows.agg(F.sum(F.floor((F.col("n") - 1) / capacity) + 1)).first()[0] or 0
     n_groups = max(1, math.ceil(total / group_rows))
-    # a null salt leaves the hash as it is
-    group = F.pmod(F.xxhash64("doc_id", "piece", "length", "salt"), F.lit(n_groups))
+    group = F.pmod(F.xxhash64("doc_id", "piece", "length", "nth"), F.lit(n_groups))
     dealt = (pieces.select(group.alias("g"), "length", "doc_id", "piece", "source", "cluster")
              .repartition(n_groups, "g").sortWithinPartitions("g", F.desc("length"), "doc_id", "piece"))
     return map_batches(dealt, _packer(capacity), "doc_id long, piece long, length long, bin long, offset long")
