@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession, amount: int, few: int, many: int) -> int:
+    """Tasks for an amount of work that the planner can't see in the size of the rows:
+    ``few`` a task up to ``spark.sql.shuffle.partitions`` tasks, never over ``many``."""
+    spare = min(-(-amount // few), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, spare, -(-amount // many))
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within it a query's shuffle files go when the query ends, not when the driver

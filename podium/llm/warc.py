@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, open_store, scratch_path
+from .common import map_batches, materialize, open_store, scratch_path, task_count
 
 #: an archive is closed once it has so many bytes
 ARCHIVE_BYTES = 1 << 30
 #: neighbouring ranges are read together across gaps up to MAX_GAP, up to MAX_READ bytes at once
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
+#: archive bytes that a task reads: few if there are tasks to spare, else many
+TASK_BYTES = 4 << 20, 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, url string, digest string, record_type string, key string"
 RECORD = ("key string, url string, record_type string, refers_to string, payload binary, "
@@ -185,8 +187,10 @@ def read_records(index: DataFrame, max_gap: int = MAX_GAP, max_read: int = MAX_R
     """The records of the index rows given, parsed (see ``RECORD``); a revisit has
     no payload but the length and digest of the one it refers to.  An empty
     index gives no rows."""
-    dealt = (index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
-             .sortWithinPartitions("archive", "offset"))
+    wanted = index.select("archive", "offset", "length")
+    # an index row is small, but stands for the bytes it points to
+    tasks = task_count(index.sparkSession, wanted.agg(F.sum("length")).first()[0] or 0, *TASK_BYTES)
+    dealt = wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return map_batches(dealt, _reader(max_gap, max_read), RECORD)
 
 
