@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize
+from .common import connected_components, map_batches, materialize, task_count
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: members of a bucket compared in one go
 BLOCK = 1024
+#: fingerprints of a task: each becomes many probes
+TASK_PRINTS = 10_000, 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -286,7 +288,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prints = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     distinct = materialize(prints.select("fp").distinct(), "distinct_fingerprints")
-    links = materialize(near_links(distinct, distance), "links")
+    # a small file, but every row asks many buckets
+    spread = distinct.repartition(task_count(docs.sparkSession, distinct.count(), *TASK_PRINTS))
+    links = materialize(near_links(spread, distance), "links")
     roots = connected_components(links)
     rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(
         roots, F.col("fp") == F.col("node"), "left").select(
