@@ -38,13 +38,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     largest), of its rows one with the smallest text hash."""
     found = simhash.near_duplicates(docs)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("__id"), F.col("b.th").alias("__th"))
-    th = simhash.text_hash(F.col("text"))
-    kept = docs.withColumn("__h", th).join(
-        best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    best = best.select(F.col("b.doc_id").alias("id"), F.col("b.th").alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"),
+                       simhash.text_hash(F.col("text")).alias("t"))
+    kept = rows.join(best, F.col("d").eqNullSafe(F.col("id")) & (F.col("t") == F.col("h")), "left_semi")
     # rows repeated in full: one of them
-    one = Window.partitionBy("doc_id", "__h").orderBy("doc_id", "__h")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    one = Window.partitionBy("d", "t").orderBy("d", "t")
+    return kept.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
