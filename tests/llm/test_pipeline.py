@@ -24,7 +24,7 @@ def _corpus():
     docs += [(200 + k, docs[k][1]) for k in range(0, 40, 4)]
     docs += [(300 + k, docs[k][1].replace(" ", "  ", 3)) for k in range(1, 40, 4)]
     docs += [(400, None), (401, ""), (None, prose(50)), (402, "short text")]
-    rows = [(i, t, "en", f"s{(i or 0) % 3 if i != 402 else 9}", len(t or ""), "extra") for i, t in docs]
+    rows = [(i, t, "en", f"s{(i or 0) % 3 if i != 402 else 9}", len(t or ""), "extra", "mine") for i, t in docs]
     labels = [(i, 0 if i % 10 == 5 else 1, 0) for i in range(0, 120, 2)] + [(5, 0, 0)]
     return rows, labels, items
 
@@ -45,18 +45,18 @@ def _brute(rows, labels, items):
 
 def test_pipeline_matches_brute_force(spark, tmp_path):
     rows, labels, items = _corpus()
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` string"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` string, `__h` string"
                           ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialize(stage(spark, docs, sf), name.replace(" ", "-"))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "__h"]
     want = _brute(rows, labels, items)
     got = [tuple(r) for r in docs.collect()]
     assert sorted(((r[0], r[1]) for r in got), key=str) == sorted(((r[0], r[1]) for r in want), key=str)
-    assert all(r[4] == len(r[1]) for r in got)
+    assert all(r[4] == len(r[1]) and r[5:] == ("extra", "mine") for r in got)
     assert 0 < len(got) < len(rows) - 20
     packed = corpus_pipeline.run(spark, sf).collect()
     assert sorted((str(r.doc_id) for r in packed if r.piece == 0)) == sorted(str(r[0]) for r in want)
