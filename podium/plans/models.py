@@ -242,46 +242,61 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES_VEC, handleInvalid="keep")
 
 
-def fit_model(train: DataFrame, features: Sequence[str], label_col: str, spec: ModelSpec) -> FittedModel:
-    """ML10 (one model): medians and scale fitted on ``train``; balanced
-    weights (ML9); then the Spark ML fit.  ``train`` should be cached by the
-    caller when several models share it."""
+@dataclass
+class Prepared:
+    """A training part with what every model fitted on it shares: the columns a fit
+    needs, kept in memory or on disk, the medians, and the scale."""
+    train: DataFrame
+    features: list[str]
+    imputer: MedianImputer
+    scaler: Scaler
+    n_rows: int
+
+    def release(self) -> None:
+        self.train.unpersist()
+
+
+def prepare(train: DataFrame, features: Sequence[str], label_col: str) -> Prepared:
+    """Medians and scale of a training part, fitted once for any number of models."""
     features = list(features)
-    # only the columns the fit needs, materialised once: the statistics below
+    y = F.coalesce(col_ref(label_col).try_cast("double"), F.lit(0.0))
+    # only the columns the fits need, materialised once: the statistics below
     # and every solver iteration read this instead of the upstream plan
-    train = train.select(*[col_ref(c) for c in dict.fromkeys([*features, label_col])])
+    train = train.select(*[col_ref(c) for c in dict.fromkeys(features)], F.when(y > 0, 1.0).otherwise(0.0).alias("__label"))
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    imputer = MedianImputer.fit(train, features)
+    feats = [f for f in features if f not in imputer.dropped]
+    return Prepared(train, feats, imputer, Scaler.fit(imputer.transform(train), feats), train.count())
+
+
+def fit_model(train: DataFrame, features: Sequence[str], label_col: str, spec: ModelSpec) -> FittedModel:
+    """ML10 (one model): medians and scale fitted on ``train``; balanced
+    weights (ML9); then the Spark ML fit."""
+    p = prepare(train, features, label_col)
     try:
-        return _fit_model(train, features, label_col, spec)
+        return fit_prepared(p, spec)
     finally:
-        train.unpersist()
+        p.release()
 
 
-def _fit_model(train: DataFrame, features: list[str], label_col: str, spec: ModelSpec) -> FittedModel:
-    imputer = MedianImputer.fit(train, features)
-    feats = [f for f in features if f not in imputer.dropped]
-    x = imputer.transform(train)
-    scaler = Scaler.fit(x, feats) if spec.scale else None
-    if scaler is not None:
-        x = scaler.transform(x)
-    y = F.coalesce(col_ref(label_col).try_cast("double"), F.lit(0.0))
-    x = x.withColumn("__label", F.when(y > 0, 1.0).otherwise(0.0))
-    weight = None
-    n_w = None
+def fit_prepared(p: Prepared, spec: ModelSpec) -> FittedModel:
+    """One model on a prepared training part."""
+    fm = FittedModel(spec, p.features, p.imputer, p.scaler if spec.scale else None)
+    x = fm.prepare(p.train)
+    weight = n_w = None
     if spec.weighted:
         x = with_class_weights(x, "__label")
         weight = WEIGHT
-        n_w = float(x.count())  # balanced weights sum to n
-    fm = FittedModel(spec, feats, imputer, scaler)
+        n_w = float(p.n_rows)  # balanced weights sum to n
     if spec.kind == "svm_calibrated":
-        _fit_svm_calibrated(fm, x, feats, weight)
+        _fit_svm_calibrated(fm, x, p.features, weight)
         return fm
     if spec.kind == "gbt" and spec.params.get("validation"):
         # held out by the rows' hash, so the same rows in every run
         share = float(spec.params["validation"])
         x = x.withColumn("__held_out", F.pmod(F.xxhash64(*[col_ref(c) for c in x.columns]), F.lit(10_000)) < int(share * 10_000))
     est = _estimator(spec, n_w, "__label", weight)
-    fm.models = [Pipeline(stages=[_assembler(feats), est]).fit(x)]
+    fm.models = [Pipeline(stages=[_assembler(p.features), est]).fit(x)]
     return fm
 
 

@@ -140,3 +140,27 @@ def test_studies_refuse_a_single_class(spark, separable):
     one = separable.withColumn("y", F.lit(0))
     with pytest.raises(ValueError):
         ST.hparam_sweep(one, one, ["x1"], "y", Cs=(1.0,))
+
+
+def test_permuted_parts_are_permutations(spark):
+    from collections import Counter
+
+    from podium.plans import studies as ST
+    df = spark.createDataFrame([(i, float(i % 7), i * 3, "t") for i in range(200)], "id long, x double, y long, part string")
+    got = ST.permuted_rows(df, ["x", "y"], "id", 2, 5).select("part", "row.*").collect()
+    given = [tuple(r) for r in df.collect()]
+    for part in range(4):
+        rows = sorted(tuple(r)[1:] for r in got if r.part == part)
+        f = 1 + part // 2
+        assert Counter(r[f] for r in rows) == Counter(r[f] for r in given)
+        assert [(*r[:f], *r[f + 1:]) for r in rows] == [(*r[:f], *r[f + 1:]) for r in given]
+        assert sum(a[2] != b[2] for a, b in zip(rows, given)) > 150 or f == 1
+    orders = {tuple(r.c2 for r in sorted((r for r in got if r.part == p), key=lambda r: r.c0)) for p in (2, 3)}
+    assert len(orders) == 2
+
+
+def test_fits_side_by_side_are_those_one_by_one(spark):
+    from podium.plans import studies as ST
+    assert ST.side_by_side(spark, [lambda i=i: spark.range(i).count() for i in range(6)], 3) == list(range(6))
+    with pytest.raises(ZeroDivisionError):
+        ST.side_by_side(spark, [lambda: 1 // 0, lambda: 2], 2)
