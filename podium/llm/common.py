@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete files of our own that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def task_count(spark: SparkSession, amount: int, few: int, many: int) -> int:
     """Tasks for an amount of work that the planner can't see in the size of the rows:
     ``few`` a task up to ``spark.sql.shuffle.partitions`` tasks, never over ``many``."""

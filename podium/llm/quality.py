@@ -1,16 +1,16 @@
-"""Quality rules (operator 8, native): base rules and an n-gram log-likelihood
-ratio between a trusted target and the raw corpus.
+"""Quality rules (operator 8): base rules and an n-gram log-likelihood ratio between
+a trusted target and the raw corpus.
 
-Tokens are runs of letters and digits, or runs of other visible characters.
-Tokens and neighbouring pairs are counted under their 64-bit hashes, in a table
-that grows with the corpus.  Two multinomials are counted: over every document (raw), and over the trusted rows
+The base rules are native expressions.  Tokens and neighbouring pairs are counted under
+their hashes for two multinomials: over every document (raw), and over the trusted rows
 (target).  Both are smoothed by the same ``PRIOR``, counted in target tokens,
 so an n-gram seldom seen weighs next to nothing however small the corpus.  An
 n-gram's weight is the logarithm of the ratio of its two shares, in whole
 millionths, so a document's sum does not depend on the order of addition and
-its verdict is the same in every run.  The weights meet the documents by two
-joins: the most frequent n-grams are broadcast, the others shuffled.  The mean
-weight of a document's n-grams must reach a fixed threshold.
+its verdict is the same in every run.  The mean weight of a document's n-grams must
+reach a fixed threshold.  Counting is in ``ngram_ratio.py``, in numpy: with one
+exchange of rows for each n-gram the native form took over three times the disk that
+it may (README).
 """
 
 from __future__ import annotations
@@ -18,18 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, shuffles_dropped, words_of
+from .common import SPACE, words_of
+from .ngram_ratio import MICRO, Limits, ratio_totals, text_key
 
-MICRO = 1_000_000
 #: least mean log-likelihood ratio of a document that is kept
 THRESHOLD = -0.2
 #: tokens added to an n-gram's count in the target, and their equivalent in the raw corpus
 PRIOR = 30
-TOKEN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{SPACE}]+"
-#: trusted ids that are broadcast at most; more are shuffled
-BROADCAST_IDS = 100_000
-#: weights of frequent n-grams that are broadcast at most
-BROADCAST_WEIGHTS = 400_000
 WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -42,24 +37,9 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-
-
-def _grams(hashes: Column) -> Column:
-    """Hashes of the tokens and of the neighbouring pairs, given the token hashes."""
-    pairs = F.transform(F.slice(hashes, 2, F.size(hashes)), lambda x, i: F.xxhash64(F.get(hashes, i), x))
-    return F.concat(hashes, pairs)
-
-
-def _key(tokens: Column) -> list[Column]:
-    """128 bits for each sequence of tokens."""
-    return [F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit("tokens"), tokens).alias("k2")]
-
-
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: ``row`` (all its columns), ``tokens`` (their hashes)
-    and the base counts.
+    """One row per document: ``row`` (all its columns), the key of its text and the base
+    counts.
 
     n_words and word_chars (words and their code points), n_symbols (characters
     of ``[#*$%&|<>]``), n_dup_lines (lines with a word that equal an earlier
@@ -69,14 +49,14 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     d = docs.select(_row(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
-    d = d.select("row", _hashes(words_of(t)).alias("hashes"), _hashes(_tokens(t)).alias("tokens"),
+    d = d.select("row", *text_key(t), _hashes(words_of(t)).alias("hashes"),
                  (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
                  F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
                  F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
     h, n = F.col("hashes"), F.size("hashes")
     windows = F.transform(F.slice(h, WINDOW, n),
                           lambda x, i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW - 1)], x))
-    d = d.select("row", "tokens", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
+    d = d.select("row", "k1", "k2", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  windows.alias("windows"))
     w = F.col("windows")
@@ -95,58 +75,11 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(WINDOW).cast("long"), lambda total, x: total + x)
     d = d.withColumn("n_repeat_words", F.when(at.isNull(), F.lit(0).cast("long")).otherwise(covered))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).select("row", "tokens", *BASE)
-
-
-def ngram_weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """(gram, raw, w) of every n-gram of ``docs``, w its weight in millionths.
-
-    ``trusted`` has the ids of the target documents.
-    """
-    ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-            .join(F.broadcast(ids) if few else ids, F.col("id") == F.col("trusted_id"), "left")
-            .select(_hashes(_tokens(F.col("t"))).alias("h"), F.col("trusted_id").isNotNull().cast("long").alias("trusted")))
-    # outer: an inner explode would put a filter that computes the n-grams again before it
-    counts = (rows.select("trusted", F.explode_outer(_grams(F.col("h"))).alias("gram"))
-              .where("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")))
-    with shuffles_dropped(docs.sparkSession):
-        counts = materialize(counts, "ngram_counts")
-    sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"),
-                      F.coalesce(F.sum("target"), F.lit(0)).alias("all_target")).first()
-
-    # the raw corpus scaled to the target's size: expected target counts
-    scale = float(sums.all_target) / max(sums.all_raw, 1)
-    ratio = (F.col("target") + PRIOR) / (F.col("raw") * scale + PRIOR)
-    return counts.select("gram", "raw", F.round(MICRO * F.log(ratio)).cast("int").alias("w"))
-
-
-def ngram_totals(docs: DataFrame, weights: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, total, grams) of every sequence of tokens in ``docs``: the weights of
-    its n-grams and their number, both times its copies."""
-    # the least power of two above which the n-grams are few enough to broadcast
-    power = F.floor(F.log2("raw")).cast("int")
-    least, n = 63, 0
-    for r in weights.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
-        n += r["count"]
-        if n > BROADCAST_WEIGHTS:
-            break
-        least = r.power
-    frequent = F.broadcast(weights.where(power >= least).select("gram", "w"))
-    rare = weights.where(power < least).select("gram", "w")
-    d = docs.select(_hashes(_tokens(F.col(text))).alias("h")).select(*_key(F.col("h")), _grams(F.col("h")).alias("g"))
-    d = d.select("k1", "k2", F.explode_outer("g").alias("gram")).where("gram is not null")
-    # no n-gram left for the shuffle has over 2 ** least occurrences
-    parts = [j.groupBy("k1", "k2").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("grams"))
-             for j in (d.join(frequent, "gram"), d.join(frequent, "gram", "left_anti").join(rare, "gram"))]
-    return parts[0].unionByName(parts[1]).groupBy("k1", "k2").agg(
-        F.sum("total").alias("total"), F.sum("grams").alias("grams"))
+    return d.withColumn("base_failed", failed).select("row", "k1", "k2", *BASE)
 
 
 def quality_verdicts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     threshold: float = THRESHOLD) -> DataFrame:
+                     threshold: float = THRESHOLD, limits: Limits = Limits()) -> DataFrame:
     """One row per document: ``row`` (all its columns), the base counts,
     base_failed, llr_micro (mean log-likelihood ratio, in millionths; null if it
     has no token) and kept.
@@ -156,10 +89,8 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id"
     decide; an empty table gives no rows.  Repeated rows are judged alike; null ids are
     never trusted.
     """
-    weights = ngram_weights(docs, trusted, doc_id, text)
-    with shuffles_dropped(docs.sparkSession):
-        totals = materialize(ngram_totals(docs, weights, text), "ngram_totals")
-    d = base_rules(docs, text).select("row", *BASE, *_key(F.col("tokens")), (F.size("tokens") == 0).alias("bare"))
+    totals = ratio_totals(docs, trusted, doc_id, text, PRIOR, limits)
+    d = base_rules(docs, text).withColumn("bare", F.col("n_words") == 0)
     # nth, never negative, keeps the optimizer from copying all rules into a filter on kept; a
     # text without tokens meets no total, and by nth no other such text
     d = d.withColumn("nth", F.monotonically_increasing_id())

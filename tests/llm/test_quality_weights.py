@@ -6,6 +6,7 @@ import pytest
 import regex
 
 from podium.llm import quality
+from podium.llm.ngram_ratio import Limits
 
 
 def _grams(text):
@@ -13,10 +14,11 @@ def _grams(text):
     return t + list(zip(t, t[1:]))
 
 
-@pytest.mark.parametrize("broadcast", [(quality.BROADCAST_IDS, quality.BROADCAST_WEIGHTS), (3, 50), (3, 0)])
-def test_every_ngram_of_a_larger_corpus_has_its_own_weight(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(quality, "BROADCAST_IDS", broadcast[0])
-    monkeypatch.setattr(quality, "BROADCAST_WEIGHTS", broadcast[1])
+SMALL = {"chunk_tokens": 700, "piece_tokens": 7, "long_text": 300, "part_grams": 5000, "broadcast_ids": 3}
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(**SMALL, slices=2), Limits(**SMALL, slices=8, chunk_words=100)])
+def test_every_ngram_of_a_larger_corpus_has_its_own_weight(spark, limits):
     rng = random.Random(3)
     # frequent words and pairs, and 60,000 distinct n-grams
     rows = [(i, " ".join(x for k in range(60) for x in (rng.choice("abcdefgh") + str(i % 2), f"w{i}n{k}")))
@@ -32,7 +34,7 @@ def test_every_ngram_of_a_larger_corpus_has_its_own_weight(spark, monkeypatch, b
     weight = {g: math.log((target[g] + quality.PRIOR) / (raw[g] * scale + quality.PRIOR)) * quality.MICRO for g in raw}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long")
-    got = quality.quality_verdicts(df, ids).collect()
+    got = quality.quality_verdicts(df, ids, limits=limits).collect()
     assert sorted(str(r.row.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     for r in got:
         g = _grams(r.row.text or "")
