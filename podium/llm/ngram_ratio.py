@@ -8,12 +8,12 @@ counts, so the tables grow with the corpus.
    shared folder: hashes of its vocabulary, token numbers, and the keys of its texts.
    A written index names the files.
 2. The range of hashes is cut into parts.  In ``slices`` rounds every file sends its
-   distinct n-grams of a slice of the parts, with their counts over all documents and
-   over the trusted ones; a part adds up the counts and returns a weight for each n-gram
+   distinct n-grams of a slice of the parts, with their counts over all its documents and
+   over the trusted ones; a part adds up the counts and returns them for each n-gram
    to the file that sent it.  The shuffle files of a round go before the next begins.  A
    frequent n-gram is one entry a file, so it is no hot key.
-3. Each file is read with its weights, which come in the order of its sorted hashes, and
-   sums them up for each of its texts.
+3. Each file is read with its counts, which come in the order of its sorted hashes, and
+   sums the weights up for each of its texts.
 
 Texts, n-grams and documents never reach the driver; a lost executor costs the tasks it
 was running, as files are found by the index alone.
@@ -50,7 +50,7 @@ class Limits:
     #: rounds of counting, a power of two over 1
     slices: int = 4
     #: n-gram occurrences of one part at most, on average
-    part_grams: int = 1_000_000
+    part_grams: int = 2_000_000
     #: trusted ids that are broadcast at most; more are shuffled
     broadcast_ids: int = 100_000
 
@@ -209,42 +209,44 @@ def _sender(log_parts: int, log_slices: int, slice_: int):
     return run
 
 
-def _weigher(scale: float, prior: int):
-    """The rows of one part: a weight in millionths for each n-gram of each row."""
+def _counter(table: pa.Table) -> pa.Table:
+    """The rows of one part: for each n-gram of each row its counts over all rows."""
+    sent = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in table["keys"]]
+    keys = np.concatenate(sent)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    times = np.diff(np.append(first, len(keys)))
+    ends = np.cumsum([len(x) for x in sent])
+    out = {"path": table["path"], "part": table["part"]}
+    for c in ("raw", "target"):
+        counts = np.concatenate([unpacked(x.as_py()) for x in table[c]])[order].astype(np.int64)
+        back = np.empty_like(counts)
+        back[order] = np.repeat(np.add.reduceat(counts, first), times)
+        out[c] = pa.array([packed(back[e - len(x):e]) for x, e in zip(sent, ends)], pa.binary())
+    return pa.table(out)
+
+
+def _adder(scale: float, prior: int):
+    """All counts of one file: the sums of its rows' weights."""
     def run(table: pa.Table) -> pa.Table:
-        sent = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in table["keys"]]
-        keys = np.concatenate(sent)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        raw, target = (np.add.reduceat(np.concatenate([unpacked(x.as_py()) for x in table[c]])[order].astype(np.int64),
-                                       first) for c in ("raw", "target"))
+        order = np.argsort(table["part"].to_numpy())
+        raw, target = (np.concatenate([unpacked(table[c][i].as_py()) for i in order.tolist()]) for c in ("raw", "target"))
         exact = np.log((target + prior) / (raw * scale + prior)) * MICRO
-        weight = (np.sign(exact) * np.floor(np.abs(exact) + 0.5)).astype(np.int32)
-        back = np.empty(len(keys), np.int32)
-        back[order] = np.repeat(weight, np.diff(np.append(first, len(keys))))
-        ends = np.cumsum([len(x) for x in sent])
-        return pa.table({"path": table["path"], "part": table["part"],
-                         "w": pa.array([packed(back[e - len(x):e]) for x, e in zip(sent, ends)], pa.binary())})
+        weight = np.sign(exact) * np.floor(np.abs(exact) + 0.5)
+        keys, row, (k1, k2, piece, grams) = read_chunk(table["path"][0].as_py())
+        order = np.argsort(keys)
+        keys = keys[order]
+        nth = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0)
+        if nth[-1] + 1 != len(weight):
+            raise ValueError(f"{len(weight)} weights for {nth[-1] + 1} n-grams")
+        # whole numbers below 2 ** 53, so the sums of doubles are exact
+        total = np.bincount(row[order], weights=weight[nth], minlength=len(k1)).astype(np.int64)
+        return pa.table({"k1": k1, "k2": k2, "piece": piece.astype(np.int32), "total": total, "grams": grams})
 
     return run
 
 
-def _adder(table: pa.Table) -> pa.Table:
-    """All weights of one file: the sums of its rows."""
-    rows = sorted(zip(table["part"].to_pylist(), table["w"].to_pylist()))
-    weight = np.concatenate([unpacked(w) for _, w in rows])
-    keys, row, (k1, k2, piece, grams) = read_chunk(table["path"][0].as_py())
-    order = np.argsort(keys)
-    keys = keys[order]
-    nth = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0)
-    if nth[-1] + 1 != len(weight):
-        raise ValueError(f"{len(weight)} weights for {nth[-1] + 1} n-grams")
-    # whole numbers below 2 ** 53, so the sums of doubles are exact
-    total = np.bincount(row[order], weights=weight[nth], minlength=len(k1)).astype(np.int64)
-    return pa.table({"k1": k1, "k2": k2, "piece": piece.astype(np.int32), "total": total, "grams": grams})
-
-
 def text_key(text) -> list:
     """128 bits for each text."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
@@ -286,17 +288,18 @@ def ratio_totals(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
     log_parts = max(log_slices, (-(-sums.raw // limits.part_grams) - 1).bit_length())
     per_slice = 1 << (log_parts - log_slices)
     readers = min(sums.n, task_count(spark, sums.n, 1, 16))
-    weights = None
+    counts = None
     for s in range(limits.slices):
         sent = map_batches(files.select("path", "trusted").repartition(readers), _sender(log_parts, log_slices, s),
                            "part long, path string, keys binary, raw binary, target binary")
         # a number of tasks, as a small row stands for many n-grams
         back = sent.repartition(per_slice, "part").groupBy("part").applyInArrow(
-            _weigher(sums.target / sums.raw, prior), "path string, part long, w binary")
+            _counter, "path string, part long, raw binary, target binary")
         with shuffles_dropped(spark):
-            back = materialize(back, f"weights_{s}")
-        weights = back if weights is None else weights.unionByName(back)
-    added = weights.repartition(4 * readers, "path").groupBy("path").applyInArrow(_adder, _TOTALS)
+            back = materialize(back, f"ngram_counts_{s}")
+        counts = back if counts is None else counts.unionByName(back)
+    added = counts.repartition(4 * readers, "path").groupBy("path").applyInArrow(
+        _adder(sums.target / sums.raw, prior), _TOTALS)
     # copies of a text agree in every piece
     totals = added.groupBy("k1", "k2", "piece").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
     totals = totals.groupBy("k1", "k2").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
