@@ -29,8 +29,10 @@ WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+def _carried(docs: DataFrame) -> list[str]:
+    """Names under which the columns of ``docs`` travel: one by one, so those that
+    nobody asks for are pruned before a shuffle."""
+    return [f"row{i}" for i in range(len(docs.columns))]
 
 
 def _hashes(words: Column) -> Column:
@@ -38,8 +40,8 @@ def _hashes(words: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: ``row`` (all its columns), the key of its text and the base
-    counts.
+    """One row per document: its columns as ``row0``, ``row1`` and so on, the key of its
+    text and the base counts.
 
     n_words and word_chars (words and their code points), n_symbols (characters
     of ``[#*$%&|<>]``), n_dup_lines (lines with a word that equal an earlier
@@ -47,16 +49,18 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     text, the first included), base_failed (under 20 words, or over 30 in 100
     words repeated).  A null or empty text has no words and fails.
     """
-    d = docs.select(_row(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    row = _carried(docs)
+    d = docs.select(*[F.col(f"`{c}`").alias(r) for c, r in zip(docs.columns, row)],
+                    F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
-    d = d.select("row", *text_key(t), _hashes(words_of(t)).alias("hashes"),
+    d = d.select(*row, *text_key(t), _hashes(words_of(t)).alias("hashes"),
                  (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
                  F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
                  F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
     h, n = F.col("hashes"), F.size("hashes")
     windows = F.transform(F.slice(h, WINDOW, n),
                           lambda x, i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW - 1)], x))
-    d = d.select("row", "k1", "k2", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
+    d = d.select(*row, "k1", "k2", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  windows.alias("windows"))
     w = F.col("windows")
@@ -75,7 +79,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(WINDOW).cast("long"), lambda total, x: total + x)
     d = d.withColumn("n_repeat_words", F.when(at.isNull(), F.lit(0).cast("long")).otherwise(covered))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).select("row", "k1", "k2", *BASE)
+    return d.withColumn("base_failed", failed).select(*row, "k1", "k2", *BASE)
 
 
 def quality_verdicts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -98,4 +102,5 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id"
     d = d.join(totals, ["k1", "k2"], "left").withColumn("total", F.when(~F.col("bare"), F.col("total")))
     d = d.withColumn("llr_micro", F.floor(F.col("total") / F.col("grams")))
     kept = ~F.col("base_failed") & (F.col("llr_micro") >= F.lit(round(threshold * MICRO))) & (F.col("nth") >= 0)
-    return d.select("row", *BASE, "llr_micro", F.coalesce(kept, F.lit(False)).alias("kept"))
+    row = F.struct(*[F.col(r).alias(c) for r, c in zip(_carried(docs), docs.columns)]).alias("row")
+    return d.select(row, *BASE, "llr_micro", F.coalesce(kept, F.lit(False)).alias("kept"))
