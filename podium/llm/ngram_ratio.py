@@ -42,8 +42,8 @@ from .common import (SPACE, drop_folder, map_batches, materialize, open_store, s
 class Limits:
     """Sizes that bound a task's memory and a round's disk; results don't depend on them."""
     #: tokens and distinct tokens of one file
-    chunk_tokens: int = 2_000_000
-    chunk_words: int = 500_000
+    chunk_tokens: int = 3_000_000
+    chunk_words: int = 750_000
     #: texts over so many characters are cut into pieces of so many tokens
     long_text: int = 1_000_000
     piece_tokens: int = 200_000
