@@ -10,6 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,22 +137,48 @@ def period_coverage(df: DataFrame, period_col: str, last: int = 5) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], complete: bool = True) -> DataFrame:
     """Pearson correlation of every pair (lower triangle, a < b in the
-    given order) over complete cases, in **one** aggregation; a constant
-    column gives NULL instead of a division error (T3)."""
+    given order), over complete cases or (``complete=False``) over the rows where
+    both are present.  Two vector aggregations whatever the number of columns: the
+    means, then one Gram matrix of the centred columns, of which the driver holds
+    a square of the columns' number.  NULL (T3) where fewer than two rows remain, a
+    value is infinite, or a column is constant: a deviation under 1e-13 of its mean,
+    or 1e-7 of the distance of its rows from the mean of all."""
     cols = list(cols)
-    src = df.na.drop(how="any", subset=cols) if complete else df
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = col_ref(a).cast("double"), col_ref(b).cast("double")
-        aggs.append(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias(f"c{k}"))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    one = src.agg(*aggs)
-    stacked = one.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{k}").alias("corr"))
-        for k, (a, b) in enumerate(pairs)])).alias("__p"))
-    return stacked.select("__p.col_a", "__p.col_b", "__p.corr")
+    schema = "col_a string, col_b string, corr double"
+    spark = df.sparkSession
+    if len(cols) < 2:
+        return spark.createDataFrame([], schema)
+    src = df.select(*[col_ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    src = src.na.drop(how="any") if complete else src
+    n, zero, one = len(cols), F.lit(0.0), F.lit(1.0)
+    xs = [F.col(f"x{i}") for i in range(n)]
+    there = [F.when(x.isNull(), zero).otherwise(one) for x in xs]
+    vector = array_to_vector(F.array(*[F.coalesce(x, zero) for x in xs], *there))
+    # grouped, as no row has no mean
+    found = (src.select(vector.alias("v"), F.lit(True).alias("all")).groupBy("all")
+             .agg(Summarizer.mean(F.col("v")).alias("m")).first())
+    if found is None:
+        return spark.createDataFrame([(a, b, None) for i, a in enumerate(cols) for b in cols[:i]], schema)
+    sums, share = found.m.toArray()[:n], found.m.toArray()[n:]
+    mean = np.divide(sums, share, out=np.zeros(n), where=share > 0)
+    z = [F.coalesce(x - F.lit(float(m)), zero) for x, m in zip(xs, mean)]
+    parts = [*z, one] if complete else [*z, *[v * v for v in z], *there]
+    rows = MLUtils.convertVectorColumnsFromML(src.select(array_to_vector(F.array(*parts)).alias("v")), "v")
+    gram = RowMatrix(rows, 0, len(parts)).computeGramianMatrix().toArray()
+    # of the rows that both columns of a pair have: their number, sums and sums of squares
+    xy = gram[:n, :n]
+    if complete:
+        rows_of, total = np.full((n, n), gram[n, n]), np.repeat(gram[:n, n:], n, axis=1)
+        square = np.repeat(np.diag(xy)[:, None], n, axis=1)
+    else:
+        rows_of, total, square = gram[2 * n:, 2 * n:], gram[:n, 2 * n:], gram[n:2 * n, 2 * n:]
+    with np.errstate(all="ignore"):
+        var = square - total * total / rows_of
+        flat = ~(var > np.maximum(1e-26 * rows_of * (mean * mean)[:, None], 1e-14 * square))
+        corr = (xy - total * total.T / rows_of) / np.sqrt(var * var.T)
+    corr[flat | flat.T | (rows_of < 2) | ~np.isfinite(corr)] = np.nan
+    return spark.createDataFrame([(a, b, None if np.isnan(corr[i, j]) else float(corr[i, j]))
+                                  for i, a in enumerate(cols) for j, b in enumerate(cols[:i])], schema)
 
 
 def linear_trend(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -834,7 +834,7 @@ def q_g16(spark, sf):
 with {UDN} select Player, season from udn where Player in (select user_id from events where value > 450)
 """)
 def q_j5(spark, sf):
-    big = table(spark, sf, "events").where(F.col("value") > 450).select("user_id")
+    big = table(spark, sf, "events", [("value", ">", 450.0)]).select("user_id")
     return J.semi_filter(_udn(spark, sf), "Player", big, "user_id").select("Player", "season")
 
 

@@ -6,6 +6,7 @@ paths and choosing between them (schema and file-system metadata, no job).
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Sequence
 
@@ -16,15 +17,27 @@ from pyspark.sql import types as T
 from ..functions.scalar import nan_to_null
 
 
-def read_facts(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq}
+
+
+def read_facts(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
+               where: Sequence[tuple] = ()) -> DataFrame:
     """Read a Parquet fact table and turn floating NaN into NULL once, at
     the scan (trap T1: in Spark NaN compares above every number).  Passing
-    ``columns`` prunes the scan to those columns."""
+    ``columns`` prunes the scan to those columns.
+
+    ``where`` has comparisons (column, one of > >= < <= =, value) that all must hold.
+    They are put on the stored column, where Parquet can skip row groups, and again
+    on the column without NaN: a stored NaN may pass the first, never the second."""
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
-    if columns is not None:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return nan_to_null(df)
+    tests = [COMPARE[op](F.col(f"`{c}`"), F.lit(value)) for c, op, value in where]
+    for t in tests:
+        df = df.where(t)
+    df = nan_to_null(df)
+    for t in tests:
+        df = df.where(t)
+    return df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

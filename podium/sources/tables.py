@@ -11,12 +11,14 @@ named here.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import nan_to_null
 from ..operators.ordering import join_summary
 from ..operators.windows import entity_window
+from .readers import read_facts
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -24,8 +26,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 EPOCH = "2024-01-01"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, where: Sequence[tuple] = ()) -> DataFrame:
+    return read_facts(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", where=where)
 
 
 def _winner_flag(df: DataFrame, period_col: str, score_col: str, entity_col: str,

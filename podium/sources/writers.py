@@ -22,10 +22,13 @@ def write_award_datasets(df: DataFrame, path: str, award_col: str = "award", mod
 def write_predictions(scored: DataFrame, path: str, top_k: int = 10, award_col: str = "award",
                       rank_col: str = "rank", mode: str = "overwrite") -> None:
     """Every scored row as Parquet partitioned by award, plus the top-k
-    rows per award as CSV (a second, small write)."""
+    rows per award as CSV, one file an award.  The second write reads the first, so
+    scores are computed once (appending, it can't tell new rows from old)."""
     scored.write.mode(mode).partitionBy(award_col).parquet(f"{path}/all")
+    if mode != "append":
+        scored = scored.sparkSession.read.schema(scored.schema).parquet(f"{path}/all")
     top = scored.where(F.col(rank_col) <= top_k)
-    top.coalesce(1).write.mode(mode).option("header", True).partitionBy(award_col).csv(f"{path}/top{top_k}")
+    top.repartition(award_col).write.mode(mode).option("header", True).partitionBy(award_col).csv(f"{path}/top{top_k}")
 
 
 def write_run(metrics: DataFrame, winner_ranks: DataFrame | None, path: str, run_id: str,
