@@ -112,12 +112,16 @@ _MASKS_SQL = ", ".join(f"({i}, {len(m)}, [{', '.join(str(j) for j, c in enumerat
 _TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _WINDOW_SQL = f"least({decontaminate.OVERLAP}, len(b.w))"
 OP9_SQL = f"""
-WITH m(mask, span, offs) AS (VALUES {_MASKS_SQL}),
+WITH m(mask, span, offs, whole) AS (  -- the last three are for items of so many tokens, which must agree in all
+  SELECT *, CAST(NULL AS INTEGER) FROM (VALUES {_MASKS_SQL})
+  UNION ALL VALUES ('1', 1, [0], 1), ('11', 2, [0, 1], 2), ('111', 3, [0, 1, 2], 3)),
 d AS (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents),
 b AS (SELECT item_id, {_TOKENS_SQL} AS w FROM benchmark),
-dp AS (SELECT doc_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS q FROM d, m),
+dp AS (SELECT doc_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS q FROM d, m
+       WHERE whole IS NULL OR whole IN (SELECT len(w) FROM b)),
 ds AS (SELECT doc_id, mask, q, hash(list_transform(offs, lambda o: w[q + o + 1])) AS k FROM dp),
-bp AS (SELECT item_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS p FROM b, m),
+bp AS (SELECT item_id, w, mask, offs, unnest(range(len(w) - span + 1)) AS p FROM b, m
+       WHERE whole IS NULL OR whole = len(w)),
 bs AS (SELECT item_id, mask, p, hash(list_transform(offs, lambda o: w[p + o + 1])) AS k FROM bp),
 hits AS (SELECT doc_id, item_id, mask, q, p FROM ds JOIN bs USING (mask, k)),
 windows AS (SELECT hits.doc_id, hits.item_id, d.w AS dw, b.w AS bw, q - p AS shift, {_WINDOW_SQL} AS width,
