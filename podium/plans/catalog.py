@@ -1367,7 +1367,17 @@ def q_l3(spark, sf):
     return rounded(L.leakage_report(x, "label", "mvp"))
 
 
-@register("feature_audit")
+_AUDITED = {"Player": "bigint", "season": "int", "G": "bigint", "GS": "bigint", "MP": "double", "PTS": "double",
+            "label": "int", "is_rookie": "int", "__row_id": "bigint", "pct_G": "double", "pct_GS": "double",
+            "pct_MP": "double", "empty_stat": "double"}
+
+
+@register("feature_audit", f"""
+with {FACTS_SQL}, f as (select *, cast(null as double) as empty_stat from facts)
+{" union all ".join(f"""select '{c}' as "column", '{t}' as type, false as is_text, false as is_list,
+  count({c}) = 0 as all_null_numeric from f""" for c, t in _AUDITED.items())}
+union all select 'teams_list', 'array<string>', false, true, false
+""")
 def q_f9(spark, sf):
     f = _facts(spark, sf).withColumn("empty_stat", F.lit(None).cast("double")).withColumn(
         "teams_list", F.array(F.lit("a")))
