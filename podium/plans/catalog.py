@@ -1117,6 +1117,7 @@ def q_b4(spark, sf):
 # Model preprocessing (exact, SQL-checkable) and model selection on given scores
 # ---------------------------------------------------------------------------
 from . import models as ML  # noqa: E402
+from . import prefix_stats as PX  # noqa: E402
 from . import studies as ST  # noqa: E402
 from . import predict as PR  # noqa: E402
 from ..sources import readers as R  # noqa: E402
@@ -1455,6 +1456,37 @@ def q_ml18(spark, sf):
     return rounded(ST.learning_curve(train_part, FEATURES, "label", "season", val, ML.logreg_l2()))
 
 
+@register("walk_forward_statistics", f"""
+with {UDN}, p as (select Player, season, MP, lag(MP) over w as prev_MP, cast(lag(G) over w as double) as prev_G from udn
+                  window w as (partition by Player order by season)),
+long as (select season, 'MP' as feature, MP as v from p union all select season, 'prev_MP', prev_MP from p
+         union all select season, 'prev_G', prev_G from p),
+cuts as (select distinct season as cut from p where season > 1),
+part as (select c.cut, l.feature, l.v from cuts c join long l on l.season < c.cut),
+med as (select cut, feature, count(*) as n_rows, count(v) as n_values, median(v) as median from part group by cut, feature)
+select m.cut, m.feature, m.n_rows, m.n_values, round(m.median, 6) as median, round(avg(coalesce(v, m.median)), 6) as mean,
+  round(case when max(coalesce(v, m.median)) = min(coalesce(v, m.median)) then 1.0
+             when m.median is not null then stddev_pop(coalesce(v, m.median)) end, 6) as scale
+from part join med m on part.cut = m.cut and part.feature = m.feature
+group by m.cut, m.feature, m.n_rows, m.n_values, m.median
+""")
+def q_ml1_folds(spark, sf):
+    # what the imputers and scalers of all walk-forward folds need, in one plan
+    p = _udn_prev(spark, sf)
+    cuts = [r[0] for r in p.where("season > 1").select("season").distinct().collect()]  # one row per season
+    return rounded(PX.prefix_statistics(p, ["MP", "prev_MP", "prev_G"], "season", cuts))
+
+
+@register("volume_fit_by_split")
+def q_volume_fit(spark, sf):
+    # volume percentiles and flag beside the features, unweighted logistic regression, quality of each split
+    t = W.add_volume_features(_split_facts(spark, sf).join(
+        _udn(spark, sf).select("Player", "season", "G", "GS", "MP"), ["Player", "season"]), "season", "mvp")
+    feats = [*FEATURES, "G_vol_pct", "GS_vol_pct", "MP_vol_pct", "low_volume_flag"]
+    scored = ST.fit_on_split(t, feats, "label", "season", ["Player"], [ML.logreg_unweighted()], award="mvp")
+    return rounded(ST.split_quality(scored, "season", "score", "label", ["Player"]))
+
+
 @register("rolling_eval")
 def q_ml19(spark, sf):
     t, _, _ = _train_val(spark, sf)

@@ -3,7 +3,7 @@
 Every fit is a set of Spark jobs over the full training rows.  The fits of a
 study (models, C values, feature groups, fractions, folds) run side by side,
 ``podium.studies.width`` at a time, and share the medians and the scale of a
-training part.  Their scored rows form one table, whose AUCs or ranks are taken in
+training part; parts that are prefixes of the periods get theirs in one pass.  Their scored rows form one table, whose AUCs or ranks are taken in
 one grouped pass; a handful of numbers per fit reach the driver.
 """
 
@@ -25,6 +25,7 @@ from ..operators import ordering as O
 from ..operators import windows as W
 from ..session import cut_lineage
 from .models import ModelSpec, fit_model, fit_prepared, model_grid, prepare
+from .prefix_stats import prepare_prefixes
 
 # ---------------------------------------------------------------------------
 # Fixed values (the reference's study grids)
@@ -93,6 +94,18 @@ def fit_on_split(table: DataFrame, features: Sequence[str], label_col: str, peri
         for spec, fm in zip(specs, fitted)])
 
 
+def split_quality(scored: DataFrame, period_col: str, score_col: str, label_col: str, tiebreak: Sequence[str],
+                  keys: Sequence[str] = ("award", "model", "split")) -> DataFrame:
+    """M2 (top-k accuracy and MRR of the positives) and M4 (average precision) of every
+    award, model and split of :func:`fit_on_split`'s rows, which are written once;
+    a split without a positive has null figures."""
+    keys = list(keys)
+    rows = O.written(scored, "scored")
+    ap = M.average_precision(rows, score_col, label_col, keys)
+    top = M.topk_accuracy(rows, period_col, score_col, label_col, tiebreak, group_cols=keys)
+    return ap.join(top, keys, "left")
+
+
 def select_family(scored: DataFrame, award_col: str = "award", family_col: str = "family",
                   score_col: str = "score", family_order: Sequence[str] = tuple(FAMILY_ORDER)) -> DataFrame:
     """ML12: per award, the family whose highest score (its top-1 score) is
@@ -235,7 +248,11 @@ def learning_curve(table: DataFrame, features: Sequence[str], label_col: str, pe
         return base.where(F.col(period_col) <= fr["periods_max"])
 
     val = cut_lineage(val)
-    fitted = side_by_side(spark, [lambda t=t: fit_model(part(t[0]), features, label_col, t[2]) for t in tried])
+    ready = prepare_prefixes(base, features, label_col, period_col, {fr["periods_max"] for fr, _, _ in tried}, inclusive=True)
+    try:
+        fitted = side_by_side(spark, [lambda t=t: fit_prepared(ready.part(t[0]["periods_max"]), t[2]) for t in tried])
+    finally:
+        ready.release()
     aucs = grouped_aucs([((fr["frac"], s, k), fm.score(rows)) for (fr, s, _), fm in zip(tried, fitted)
                          for k, rows in (("train", part(fr)), ("val", val))], label_col)
     res = []
@@ -266,11 +283,12 @@ def rolling_eval(table: DataFrame, features: Sequence[str], label_col: str, peri
         ranks = spark.createDataFrame([], f"{period_col} long, score double, rank long")
         return ranks, M.winner_rank_summary(ranks, "rank", period_col=period_col)
 
-    def scored(s) -> DataFrame:
-        fm = fit_model(base.where(F.col(period_col) < s), features, label_col, spec)
-        return fm.score(base.where(F.col(period_col) == s))
-
+    ready = prepare_prefixes(base, features, label_col, period_col, tests)
+    try:
+        fitted = side_by_side(spark, [lambda s=s: fit_prepared(ready.part(s), spec) for s in tests])
+    finally:
+        ready.release()
     # every fold ranks a period of its own: one pass over all
-    every = reduce(DataFrame.unionByName, side_by_side(spark, [lambda s=s: scored(s) for s in tests]))
+    every = reduce(DataFrame.unionByName, [fm.score(base.where(F.col(period_col) == s)) for s, fm in zip(tests, fitted)])
     ranks = O.written(M.winner_rank_table(every, period_col, "score", label_col, tiebreak), "ranks")
     return ranks, M.winner_rank_summary(ranks, "rank", period_col=period_col)
