@@ -67,9 +67,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-total AS (SELECT source, count(DISTINCT text) AS total FROM documents WHERE text IS NOT NULL GROUP BY source),
-lines AS (SELECT source, text, unnest(list_distinct(ls)) AS line FROM d WHERE text IS NOT NULL),
-freq AS (SELECT source, line, count(DISTINCT text) AS pages FROM lines
+total AS (SELECT source, count(text) AS total FROM documents WHERE text IS NOT NULL GROUP BY source),
+lines AS (SELECT source, unnest(list_distinct(ls)) AS line FROM d WHERE text IS NOT NULL),
+freq AS (SELECT source, line, count(*) AS pages FROM lines
          WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY source, line),
 boiler AS (SELECT f.source, list(f.line) AS bad FROM freq f JOIN total t ON f.source IS NOT DISTINCT FROM t.source
            WHERE pages >= {line_dedup.MIN_PAGES} AND pages * 100 > total * {line_dedup.RATIO_PERCENT}

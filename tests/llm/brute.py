@@ -76,15 +76,16 @@ def quality_kept(docs, trusted):
     return out
 
 
-def drop_lines(docs, percent=line_dedup.RATIO_PERCENT, least=line_dedup.MIN_PAGES):
+def drop_lines(docs, percent=line_dedup.RATIO_PERCENT, least=line_dedup.MIN_PAGES, copies_once=False):
     """Texts of [(host, text)] without boilerplate lines."""
     pages, total = {}, {}
-    for host, text in docs:
+    for place, (host, text) in enumerate(docs):
         if text is not None:
-            total.setdefault(host, set()).add(text)
+            page = text if copies_once else place
+            total.setdefault(host, set()).add(page)
             for line in text.split("\n"):
                 if words(line):
-                    pages.setdefault((host, line), set()).add(text)
+                    pages.setdefault((host, line), set()).add(page)
     bad = {k for k, v in pages.items() if len(v) >= least and 100 * len(v) > percent * len(total[k[0]])}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad) for h, t in docs]
 

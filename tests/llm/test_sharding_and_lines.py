@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from podium.llm import line_dedup, sharding
@@ -46,7 +47,8 @@ def test_shards_of_ties_nulls_and_nothing(spark):
     assert {r.shard for r in zero} == {0}
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_line_dedup_matches_brute_force(spark, copies_once):
     rng = random.Random(2)
     rows = []
     for i in range(150):
@@ -58,9 +60,9 @@ def test_line_dedup_matches_brute_force(spark):
         rows.append((i, "\n".join(lines), rng.choice(["a", "a", "a", "b", None]), "n", "t"))
     rows += [(500, None, "a", None, None), (None, "Home | About | Contact", "a", "", ""), (7, rows[7][1], "a", "", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string, drop string")
-    got = line_dedup.drop_boilerplate(df, min_pages=5)
+    got = line_dedup.drop_boilerplate(df, min_pages=5, copies_once=copies_once)
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
-    want = brute.drop_lines([(r[2], r[1]) for r in rows], least=5)
+    want = brute.drop_lines([(r[2], r[1]) for r in rows], least=5, copies_once=copies_once)
     assert any(w != r[1] for w, r in zip(want, rows))
     have = sorted(((r.doc_id, r.row.text, r.host, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=key)
     full = sorted(((r[0], r[1], r[2], 0 if r[1] is None else r[1].count("\n") + 1, w) for r, w in zip(rows, want)), key=key)
@@ -74,10 +76,23 @@ def test_line_dedup_matches_brute_force(spark):
 def test_line_dedup_keeps_small_sites_and_copies(spark):
     rows = [(i, "same page\nsame text", "a") for i in range(50)] + [(99, "alone", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.n_dropped for r in line_dedup.drop_boilerplate(df).collect()} == {0}
+    assert {r.n_dropped for r in line_dedup.drop_boilerplate(df, copies_once=True).collect()} == {0}
+    # as pages of their own, copies are over the ratio on every line
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(df).collect()}
+    assert got == {i: (2, "") for i in range(50)} | {99: (0, "alone")}
     assert line_dedup.drop_boilerplate(df.limit(0)).collect() == []
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    rng = random.Random(8)
+    long = "\n".join(f"line {rng.randrange(10**9)} {i}" for i in range(400_000))  # about 10 MB
+    rows = [(1, long + "\nfooter", "a"), (2, "x" * 10_000_000, "a"), (3, "own\nfooter", "a"), (4, "w\n" * 300_000, "b")]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(
+        spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(got[i].n_lines, got[i].n_dropped) for i in (1, 2, 3, 4)] == [(400_001, 1), (1, 0), (2, 1), (300_001, 0)]
+    assert got[1].text == long and got[2].text == rows[1][1] and got[3].text == "own" and got[4].text == rows[3][1]
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     random.Random(3).shuffle(chain)
