@@ -26,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its source's boilerplate lines; n_chars follows.
-    Null texts stay as they are."""
-    cut = line_dedup.drop_boilerplate(docs)
+    Null texts stay as they are.  Copies are still there and count as one page, or
+    they would lose their text as boilerplate before the next stage can keep one."""
+    cut = line_dedup.drop_boilerplate(docs, copies_once=True)
     new = {"text": F.col("text"),
            "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars"))}
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
