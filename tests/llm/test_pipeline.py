@@ -33,7 +33,7 @@ def _brute(rows, labels, items):
     trusted = {i for i, q, _ in labels if q == 1}
     kept = brute.quality_kept([(r[0], r[1]) for r in rows], trusted)
     rows = [r for r in rows if kept[r[0]][1]]
-    rows = [(*r[:1], t, *r[2:]) for r, t in zip(rows, brute.drop_lines([(r[3], r[1]) for r in rows]))]
+    rows = [(*r[:1], t, *r[2:]) for r, t in zip(rows, brute.drop_lines([(r[3], r[1]) for r in rows], copies_once=True))]
     comp = brute.components([r[0] for r in rows], [brute.fingerprint(r[1]) for r in rows])
     best = {}
     for r, c in zip(rows, comp):
