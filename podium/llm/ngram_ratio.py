@@ -1,53 +1,44 @@
-"""Hashed n-gram log-likelihood ratios of documents (for operator 8).
+"""Hashed n-gram log-likelihood ratios of documents (for operator 8), in DataFrame operations.
 
 Tokens are runs of letters and digits, or runs of other visible characters.  Every
-token and every pair of neighbours is an n-gram, under a 63-bit hash; each has its own
+token and every pair of neighbours is an n-gram, under a 64-bit hash; each has its own
 counts, so the tables grow with the corpus.
 
-1. Texts are cut into tokens once.  Each ``chunk_tokens`` of them become one file in the
-   shared folder: hashes of its vocabulary, token numbers, and the keys of its texts.
-   A written index names the files.
-2. The range of hashes is cut into parts.  In ``slices`` rounds every file sends its
-   distinct n-grams of a slice of the parts, with their counts over all its documents and
-   over the trusted ones; a part adds up the counts and returns them for each n-gram
-   to the file that sent it.  The shuffle files of a round go before the next begins.  A
-   frequent n-gram is one entry a file, so it is no hot key.
-3. Each file is read with its counts, which come in the order of its sorted hashes, and
-   sums the weights up for each of its texts.
-
-Texts, n-grams and documents never reach the driver; a lost executor costs the tasks it
-was running, as files are found by the index alone.
+1. Texts are cut into tokens once; the tokens' hashes are written as arrays, by which
+   Parquet's dictionary makes a few bytes of each.
+2. A bounded number of n-grams, those that come up most often in a part of the corpus, is
+   broadcast.  They are counted over the whole corpus with partial sums, and weighed
+   where their documents are: a frequent n-gram is no hot key.  Which n-grams these are
+   only says which way they go: counts and weights are exact on either.
+3. Each occurrence of any other n-gram is one row, sent to the part of its n-gram, which
+   counts it, weighs it and adds up the weights of each document.  This is done in
+   ``slices`` rounds; the shuffle files of a round go before the next begins.
+
+Texts, n-grams and documents never reach the driver.
 """
 
 from __future__ import annotations
 
-import re
-import struct
-import uuid
-from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
+
+from .common import SPACE, drop_folder, materialize, scratch_path, shuffles_dropped
 
-from .common import (SPACE, drop_folder, map_batches, materialize, open_store, scratch_path, ship_package,
-                     shuffles_dropped, task_count)
 
 @dataclass(frozen=True)
 class Limits:
     """Sizes that bound a task's memory and a round's disk; results don't depend on them."""
-    #: tokens and distinct tokens of one file
+    #: tokens of the part of the corpus that shows which n-grams are frequent, and n-grams taken from it at most
     chunk_tokens: int = 3_000_000
-    chunk_words: int = 750_000
+    chunk_words: int = 400_000
     #: texts over so many characters are cut into pieces of so many tokens
     long_text: int = 1_000_000
     piece_tokens: int = 200_000
-    #: rounds of counting, a power of two over 1
+    #: rounds of counting
     slices: int = 4
     #: n-gram occurrences of one part at most, on average
     part_grams: int = 2_000_000
@@ -56,195 +47,9 @@ class Limits:
 
 
 MICRO = 1_000_000
-TOKEN = re.compile(rf"[^\W_]+|(?:_|[^\w{SPACE}])+")
-_TOTALS = "k1 long, k2 long, piece int, total long, grams long"
-
-
-def pieces(text: str, limits: Limits) -> Iterator[list[str]]:
-    """The tokens of a text; those of a long text in pieces, each of which begins with
-    the last token of the piece before it."""
-    if len(text) <= limits.long_text:
-        yield TOKEN.findall(text)
-        return
-    found = (m.group() for m in TOKEN.finditer(text))
-    last: list[str] = []
-    while piece := list(islice(found, limits.piece_tokens)):
-        yield last + piece
-        last = piece[-1:]
-
-
-def packed(x: np.ndarray) -> bytes:
-    """An array of integers in one zstd frame, byte by byte of equal weight."""
-    import zstandard
-
-    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else x
-    return zstandard.ZstdCompressor(level=1).compress(x.dtype.str[1:].encode() + planes.tobytes())
-
-
-def unpacked(frame: bytes) -> np.ndarray:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(frame)
-    kind = np.dtype("<" + data[:2].decode())
-    planes = np.frombuffer(data, np.uint8, offset=2).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
-class Chunk:
-    """Texts on their way into a file."""
-
-    def __init__(self, limits: Limits):
-        self.limits = limits
-        self.vocabulary: dict[str, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
-        self.tokens, self.rows, self.ids, self.size = [], [], [], 0
-
-    def add(self, doc_id, k1: int, k2: int, piece: int, tokens: list[str]) -> None:
-        self.tokens.append(np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int32, len(tokens)))
-        self.rows.append((k1, k2, piece, len(tokens)))
-        self.ids.append((doc_id, 2 * len(tokens) - 1 - (piece > 0)))
-        self.size += len(tokens)
-
-    def full(self) -> bool:
-        return self.size >= self.limits.chunk_tokens or len(self.vocabulary) >= self.limits.chunk_words
-
-    def write(self, folder: str, schema: pa.Schema) -> pa.RecordBatch:
-        import xxhash
-
-        words = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in self.vocabulary), np.uint64,
-                            len(self.vocabulary))
-        columns = [np.array(c, np.int64) for c in zip(*self.rows)]
-        parts = [packed(x) for x in (words, np.concatenate(self.tokens), *columns)]
-        store, inner = open_store(folder)
-        path = f"{uuid.uuid4().hex}.tokens"
-        store.create_dir(inner, recursive=True)
-        with store.open_output_stream(f"{inner}/{path}") as f:
-            f.write(struct.pack("<6q", *map(len, parts)) + b"".join(parts))
-        docs = [{"id": i, "grams": n} for i, n in self.ids]
-        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path}"]), pa.array([docs], schema.field("docs").type)],
-                                          schema=schema)
-
-
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64 bits for each pair of 64-bit hashes."""
-    z = a * np.uint64(0x9E3779B97F4A7C15)
-    z += b
-    z ^= z >> np.uint64(30)
-    z *= np.uint64(0xBF58476D1CE4E5B9)
-    z ^= z >> np.uint64(27)
-    z *= np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    return z
-
-
-def read_chunk(path: str) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """Of a file: the hash of every n-gram occurrence, its lowest bit 0; the row it is in;
-    and the rows' columns (k1, k2, piece, number of n-grams)."""
-    store, inner = open_store(path)
-    with store.open_input_file(inner) as f:
-        data = f.read()
-    sizes, at, parts = struct.unpack_from("<6q", data), struct.calcsize("<6q"), []
-    for n in sizes:
-        parts.append(unpacked(data[at:at + n]))
-        at += n
-    words, tokens, k1, k2, piece, length = parts
-    h = words[tokens]
-    row = np.repeat(np.arange(len(length), dtype=np.int32), length)
-    starts = np.cumsum(length) - length
-    own, follows = np.ones(len(h), bool), np.ones(len(h), bool)
-    own[starts[piece > 0]] = False  # counted in the piece before
-    follows[starts] = False
-    after = np.flatnonzero(follows)
-    keys = np.concatenate([h[own], pair_hash(h[after - 1], h[after])])
-    keys &= ~np.uint64(1)
-    return keys, np.concatenate([row[own], row[after]]), (k1, k2, piece, 2 * length - 1 - (piece > 0))
-
-
-def _writer(folder: str, schema: pa.Schema, limits: Limits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(limits)
-        for batch in batches:
-            ids, first, second, texts = batch.columns
-            for i in range(batch.num_rows):
-                for n, tokens in enumerate(pieces(texts[i].as_py(), limits)):
-                    if tokens:
-                        chunk.add(ids[i].as_py(), first[i].as_py(), second[i].as_py(), n, tokens)
-                    if chunk.full():
-                        yield chunk.write(folder, schema)
-                        chunk = Chunk(limits)
-        if chunk.rows:
-            yield chunk.write(folder, schema)
-
-    return run
-
-
-def _sender(log_parts: int, log_slices: int, slice_: int):
-    """Rows (path, trusted rows) of files: their distinct n-grams of a slice, by part."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, trusted in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, row, columns = read_chunk(path)
-                mine = keys >> np.uint64(64 - log_slices) == np.uint64(slice_)
-                keys, row = keys[mine], row[mine]
-                if not len(keys):
-                    continue
-                good = np.zeros(len(columns[0]), np.uint64)
-                good[np.array(trusted, np.int64)] = 1
-                keys |= good[row]
-                keys.sort()
-                flags, keys = keys & np.uint64(1), keys >> np.uint64(1)
-                first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-                raw = np.diff(np.append(first, len(keys))).astype(np.uint32)
-                target, keys = np.add.reduceat(flags, first).astype(np.uint32), keys[first]
-                part = (keys >> np.uint64(63 - log_parts)).astype(np.int64)
-                cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
-                spans = list(zip(cuts, cuts[1:]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([path] * len(spans), pa.string()),
-                    pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
-                    pa.array([packed(raw[a:b]) for a, b in spans], pa.binary()),
-                    pa.array([packed(target[a:b]) for a, b in spans], pa.binary())],
-                    ["part", "path", "keys", "raw", "target"])
-
-    return run
-
-
-def _counter(table: pa.Table) -> pa.Table:
-    """The rows of one part: for each n-gram of each row its counts over all rows."""
-    sent = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in table["keys"]]
-    keys = np.concatenate(sent)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    times = np.diff(np.append(first, len(keys)))
-    ends = np.cumsum([len(x) for x in sent])
-    out = {"path": table["path"], "part": table["part"]}
-    for c in ("raw", "target"):
-        counts = np.concatenate([unpacked(x.as_py()) for x in table[c]])[order].astype(np.int64)
-        back = np.empty_like(counts)
-        back[order] = np.repeat(np.add.reduceat(counts, first), times)
-        out[c] = pa.array([packed(back[e - len(x):e]) for x, e in zip(sent, ends)], pa.binary())
-    return pa.table(out)
-
-
-def _adder(scale: float, prior: int):
-    """All counts of one file: the sums of its rows' weights."""
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["part"].to_numpy())
-        raw, target = (np.concatenate([unpacked(table[c][i].as_py()) for i in order.tolist()]) for c in ("raw", "target"))
-        exact = np.log((target + prior) / (raw * scale + prior)) * MICRO
-        weight = np.sign(exact) * np.floor(np.abs(exact) + 0.5)
-        keys, row, (k1, k2, piece, grams) = read_chunk(table["path"][0].as_py())
-        order = np.argsort(keys)
-        keys = keys[order]
-        nth = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0)
-        if nth[-1] + 1 != len(weight):
-            raise ValueError(f"{len(weight)} weights for {nth[-1] + 1} n-grams")
-        # whole numbers below 2 ** 53, so the sums of doubles are exact
-        total = np.bincount(row[order], weights=weight[nth], minlength=len(k1)).astype(np.int64)
-        return pa.table({"k1": k1, "k2": k2, "piece": piece.astype(np.int32), "total": total, "grams": grams})
-
-    return run
+TOKEN = rf"[\p{{L}}\p{{N}}]++|[^\p{{L}}\p{{N}}{SPACE}]++"
+#: fewest occurrences in the part of the corpus for an n-gram to be taken as frequent
+FREQUENT = 3
 
 
 def text_key(text) -> list:
@@ -252,6 +57,64 @@ def text_key(text) -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
 
 
+def token_rows(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, limits: Limits) -> DataFrame:
+    """(doc, good, k1, k2, own, grams, h) of every text with a token: a number, whether its id
+    is trusted, its :func:`text_key`, and the hashes of its tokens.  A long text has a row for
+    each piece; ``own`` is the number of tokens that are no part of the next piece, which begins
+    with the last of ``h``, and ``grams`` the number of n-grams."""
+    ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
+    few = ids.limit(limits.broadcast_ids + 1).count() <= limits.broadcast_ids
+    d = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("trusted_id"), "left")
+    tokens = F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))
+    d = d.select(F.monotonically_increasing_id().alias("doc"), F.col("trusted_id").isNotNull().alias("good"),
+                 *text_key(F.col("t")), (F.length("t") > limits.long_text).alias("long"),
+                 F.transform(tokens, lambda w: F.xxhash64(w)).alias("all"))
+    n, size = F.size("all"), limits.piece_tokens
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda i: F.struct(
+        F.slice("all", i + 1, F.lit(size + 1)).alias("h"), F.least(F.lit(size), n - i).alias("own")))
+    pieces = F.when(F.col("long") & (n > 0), cut).otherwise(F.array(F.struct(F.col("all").alias("h"), n.alias("own"))))
+    # outer: an inner explode would put a filter that cuts the tokens again before it
+    d = d.select("doc", "good", "k1", "k2", F.explode_outer(pieces).alias("p")).select(
+        "doc", "good", "k1", "k2", "p.own", (F.col("p.own") + F.size("p.h") - 1).cast("long").alias("grams"), "p.h")
+    return d.where("own > 0")
+
+
+def ngrams(tokens: DataFrame, slices: int = 1, slice_: int = 0) -> DataFrame:
+    """(v, gram) of every n-gram occurrence: twice the document's number, plus 1 if it is
+    trusted, and a hash.  Of several slices one, by the n-gram's first token."""
+    v = (2 * F.col("doc") + F.col("good").cast("long")).alias("v")
+    d = tokens.select(v, "own", "h", F.posexplode("h").alias("i", "a")).where("i < own")
+    if slices > 1:
+        d = d.where(F.pmod(F.shiftrightunsigned("a", 33), F.lit(slices)) == slice_)
+    after = F.get("h", F.col("i") + 1)
+    pair = F.when(after.isNotNull(), F.xxhash64("a", after))
+    return d.select("v", F.explode(F.array("a", pair)).alias("gram")).where("gram is not null")
+
+
+def weight(raw: Column, target: Column, scale: float, prior: int) -> Column:
+    """In millionths, rounded half away from zero."""
+    x = F.log((target + prior) / (raw * F.lit(scale) + prior)) * MICRO
+    return F.when(x < 0, -F.floor(0.5 - x)).otherwise(F.floor(x + 0.5))
+
+
+def frequent_ngrams(tokens: DataFrame, n_tokens: int, limits: Limits) -> DataFrame:
+    """(gram): at most ``chunk_words`` n-grams, the most frequent of a part of the corpus."""
+    of = 1 << 20
+    part = tokens.where(F.pmod(F.xxhash64("doc"), F.lit(of)) < min(of, of * limits.chunk_tokens // n_tokens + 1))
+    found = ngrams(part).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = materialize(found, "frequent")
+    # the least count with few enough n-grams at or over it, to an eighth of a power of two
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, n = 8 * 63, 0
+    for r in found.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some hundred rows at most
+        n += r["count"]
+        if n > limits.chunk_words:
+            break
+        least = r.step
+    return found.where(step >= least).select("gram")
+
+
 def ratio_totals(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  prior: int = 30, limits: Limits = Limits()) -> DataFrame:
     """(k1, k2, total, grams) of every text of ``docs`` with a token, by its
@@ -263,46 +126,42 @@ def ratio_totals(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
     in ``trusted`` are ignored; repeated rows of ``docs`` count as often as they come.
     """
     spark = docs.sparkSession
-    ship_package(spark)
     folder = scratch_path(spark, "tokens")
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    id_type = rows.schema["id"].dataType
-    spec = f"path string, docs array<struct<id {id_type.simpleString()}, grams long>>"
-    schema = to_arrow_schema(spark.createDataFrame([], spec).schema)
-    index = materialize(map_batches(rows.select("id", *text_key(F.col("t")), "t"), _writer(folder, schema, limits), spec),
-                        "token_files")
-
-    ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
-    few = ids.limit(limits.broadcast_ids + 1).count() <= limits.broadcast_ids
-    each = index.select("path", F.posexplode("docs").alias("at", "doc")).select("path", "at", "doc.*")
-    each = each.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("trusted_id"), "left")
-    good = F.col("trusted_id").isNotNull()
-    files = materialize(each.groupBy("path").agg(
-        F.collect_list(F.when(good, F.col("at"))).alias("trusted"), F.sum("grams").alias("grams"),
-        F.sum(F.when(good, F.col("grams")).otherwise(0)).alias("target")), "trusted_rows")
-    sums = files.agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("raw"), F.sum("target").alias("target")).first()
-    if not sums.n:
+    rows = token_rows(docs, trusted, doc_id, text, limits)
+    with shuffles_dropped(spark):
+        # a dictionary large enough for the words of a row group
+        rows.write.option("compression", "zstd").option("parquet.dictionary.page.size", 8 << 20).parquet(folder)
+    tokens = spark.read.schema(rows.schema).parquet(folder)
+    sums = tokens.agg(F.sum("own").alias("tokens"), F.sum("grams").alias("raw"),
+                      F.sum(F.when(F.col("good"), F.col("grams")).otherwise(0)).alias("target")).first()
+    if not sums.raw:
         return spark.createDataFrame([], "k1 long, k2 long, total long, grams long")
+    scale = sums.target / sums.raw
+
+    frequent = frequent_ngrams(tokens, sums.tokens, limits)
+    raw, target = F.count(F.lit(1)), F.sum(F.col("v").bitwiseAND(F.lit(1)))
+    counts = ngrams(tokens).join(F.broadcast(frequent), "gram").groupBy("gram").agg(raw.alias("raw"), target.alias("target"))
+    with shuffles_dropped(spark):
+        counts = materialize(counts, "ngram_counts")
+    rest = sums.raw - (counts.agg(F.sum("raw")).first()[0] or 0)
 
-    log_slices = (limits.slices - 1).bit_length()
-    log_parts = max(log_slices, (-(-sums.raw // limits.part_grams) - 1).bit_length())
-    per_slice = 1 << (log_parts - log_slices)
-    readers = min(sums.n, task_count(spark, sums.n, 1, 16))
-    counts = None
+    weights = counts.select("gram", weight(F.col("raw"), F.col("target"), scale, prior).alias("w"))
+    found = [ngrams(tokens).join(F.broadcast(weights), "gram")]
+    parts = max(1, -(-rest // (limits.slices * limits.part_grams)))
+    same = Window.partitionBy("gram")
     for s in range(limits.slices):
-        sent = map_batches(files.select("path", "trusted").repartition(readers), _sender(log_parts, log_slices, s),
-                           "part long, path string, keys binary, raw binary, target binary")
-        # a number of tasks, as a small row stands for many n-grams
-        back = sent.repartition(per_slice, "part").groupBy("part").applyInArrow(
-            _counter, "path string, part long, raw binary, target binary")
+        others = ngrams(tokens, limits.slices, s).join(F.broadcast(frequent), "gram", "left_anti")
+        others = others.repartition(parts, "gram").select("v", raw.over(same).alias("raw"), target.over(same).alias("target"))
+        found.append(others.select("v", weight(F.col("raw"), F.col("target"), scale, prior).alias("w")))
+    totals = []
+    for s, weighed in enumerate(found):
         with shuffles_dropped(spark):
-            back = materialize(back, f"ngram_counts_{s}")
-        counts = back if counts is None else counts.unionByName(back)
-    added = counts.repartition(4 * readers, "path").groupBy("path").applyInArrow(
-        _adder(sums.target / sums.raw, prior), _TOTALS)
-    # copies of a text agree in every piece
-    totals = added.groupBy("k1", "k2", "piece").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
-    totals = totals.groupBy("k1", "k2").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
+            totals.append(materialize(weighed.groupBy("v").agg(F.sum("w").alias("total")), f"ngram_totals_{s}"))
+    totals = reduce(DataFrame.unionByName, totals).groupBy("v").agg(F.sum("total").alias("total"))
+    keys = tokens.groupBy("doc", "k1", "k2").agg(F.sum("grams").alias("grams"))
+    totals = keys.join(totals, F.col("doc") == F.shiftright("v", 1))
+    # copies of a text agree
+    totals = totals.groupBy("k1", "k2").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
     with shuffles_dropped(spark):
         totals = materialize(totals, "ngram_totals")
     drop_folder(spark, folder)

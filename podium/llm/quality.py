@@ -8,9 +8,8 @@ so an n-gram seldom seen weighs next to nothing however small the corpus.  An
 n-gram's weight is the logarithm of the ratio of its two shares, in whole
 millionths, so a document's sum does not depend on the order of addition and
 its verdict is the same in every run.  The mean weight of a document's n-grams must
-reach a fixed threshold.  Counting is in ``ngram_ratio.py``, in numpy: with one
-exchange of rows for each n-gram the native form took over three times the disk that
-it may (README).
+reach a fixed threshold.  Counting is in ``ngram_ratio.py``; all of it is in DataFrame
+operations.
 """
 
 from __future__ import annotations
