@@ -33,13 +33,13 @@ from .common import SPACE, drop_folder, materialize, scratch_path, shuffles_drop
 class Limits:
     """Sizes that bound a task's memory and a round's disk; results don't depend on them."""
     #: tokens of the part of the corpus that shows which n-grams are frequent, and n-grams taken from it at most
-    chunk_tokens: int = 3_000_000
-    chunk_words: int = 400_000
+    chunk_tokens: int = 4_000_000
+    chunk_words: int = 800_000
     #: texts over so many characters are cut into pieces of so many tokens
     long_text: int = 1_000_000
     piece_tokens: int = 200_000
     #: rounds of counting
-    slices: int = 4
+    slices: int = 5
     #: n-gram occurrences of one part at most, on average
     part_grams: int = 2_000_000
     #: trusted ids that are broadcast at most; more are shuffled

@@ -25,6 +25,8 @@ THRESHOLD = -0.2
 #: tokens added to an n-gram's count in the target, and their equivalent in the raw corpus
 PRIOR = 30
 WINDOW = 8
+#: lowest bits of a sorted window that hold its place
+PLACE_BITS = 24
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -38,6 +40,11 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _joined(hashes: Column, by: int) -> Column:
+    """Each hash with the one ``by`` places on, if there is one, under one hash."""
+    return F.zip_with(hashes, F.slice(hashes, by + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+
+
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: its columns as ``row0``, ``row1`` and so on, the key of its
     text and the base counts.
@@ -53,25 +60,43 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
                     F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     d = d.select(*row, *text_key(t), _hashes(words_of(t)).alias("hashes"),
-                 (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-                 F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+                 (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+                 F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
                  F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
     h, n = F.col("hashes"), F.size("hashes")
-    windows = F.transform(F.slice(h, WINDOW, n),
-                          lambda x, i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW - 1)], x))
+    # hashes of 2, then of 4 neighbours; the last few of each are cut short and equal no other
     d = d.select(*row, "k1", "k2", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                 windows.alias("windows"))
+                 _joined(h, 1).alias("twos"))
+    d = d.withColumn("fours", _joined(F.col("twos"), 2)).drop("twos")
+    f = F.col("fours")
+    # a text without a repeated window of 4 words has none of 8
+    d = d.withColumn("windows", F.when(F.size(F.array_distinct(f)) < F.size(f), F.slice(
+        _joined(f, 4), 1, F.greatest(F.size(f) - (WINDOW - 1), F.lit(0))))).drop("fours")
     w = F.col("windows")
-    # only texts with a repeated window are sorted: by (window, place), where twins are neighbours
+    d = d.withColumn("n_distinct", F.size(F.array_distinct(w)))
+    repeated = w.isNotNull() & (F.col("n_distinct") < F.size(w))
+    # only texts with a repeated window are sorted: by (window, place), where twins are neighbours. In one
+    # long, if the upper bits of the hashes tell all windows of the text apart and the places fit
+    # below them, else in full
+    low = (1 << PLACE_BITS) - 1
+    d = d.withColumn("keys", F.when(repeated & (F.size(w) <= low), F.transform(w, lambda x: x.bitwiseAND(F.lit(~low)))))
+    d = d.withColumn("packed", F.when(
+        F.col("keys").isNotNull() & (F.size(F.array_distinct("keys")) == F.col("n_distinct")),
+        F.sort_array(F.transform("keys", lambda x, i: x.bitwiseOR(i.cast("long"))))))
     d = d.withColumn("twins", F.when(
-        F.size(F.array_distinct(w)) < F.size(w),
+        repeated & F.col("packed").isNull(),
         F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    s = F.col("twins")
-    d = d.withColumn("at", F.sort_array(F.transform(
-        F.filter(s, lambda p, j: F.coalesce(F.get(s, j + 1)["x"] == p["x"], F.lit(False))
-                 | F.coalesce(F.get(s, j - 1)["x"] == p["x"], F.lit(False))),
-        lambda p: p["i"])))
+    packed, twins = F.col("packed"), F.col("twins")
+
+    def twin(s, j, same):
+        return F.coalesce(same(F.get(s, j + 1)), F.lit(False)) | F.coalesce(same(F.get(s, j - 1)), F.lit(False))
+
+    # two keys agree if they differ in the place alone
+    d = d.withColumn("at", F.when(packed.isNotNull(), F.sort_array(F.transform(
+        F.filter(packed, lambda p, j: twin(packed, j, lambda q: q.bitwiseXOR(p).between(0, low))),
+        lambda p: p.bitwiseAND(F.lit(low)).cast("int")))).otherwise(F.sort_array(F.transform(
+            F.filter(twins, lambda p, j: twin(twins, j, lambda q: q["x"] == p["x"])), lambda p: p["i"]))))
     at = F.col("at")
     covered = F.aggregate(
         F.transform(F.slice(at, 2, F.size(at)), lambda x, i: F.least(F.lit(WINDOW), x - F.get(at, i))),
