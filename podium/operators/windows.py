@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col_ref
+from ..session import cut_lineage
 from .ordering import _as_list, average_ranks, join_summary, row_positions, with_row_id
 
 PREV = "prev_"
@@ -180,7 +181,11 @@ def temporal_split_last_k(df: DataFrame, period_col: str, val_periods: int = 3,
     """The last ``test_periods`` distinct periods are ``test``, the
     ``val_periods`` before them ``val``, the rest ``train``.  Raises when there
     are fewer than ``val + test + 1`` periods (``check``).  The ranking runs on
-    the distinct-period table (one row per period), then joins back."""
+    the distinct-period table (one row per period), then joins back.  As the check
+    runs a job of its own, ``df`` is computed once for it and what follows (a
+    reliable checkpoint); without it the plan stays lazy."""
+    if check:
+        df = cut_lineage(df)
     periods = _distinct_periods(df, period_col)
     if check:
         n = periods.count()

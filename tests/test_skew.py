@@ -1,5 +1,7 @@
 """One value holding a third of all rows must not land in one task."""
 
+from bisect import bisect_left, bisect_right
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -152,3 +154,34 @@ def test_blocks_agree_beyond_the_sampled_keys(spark, conf):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_time_split_computes_its_table_once(spark):
+    # each computed row counts; the check of the periods, the ranking and the split read the table
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([(i, i % 9) for i in range(90)], 3).map(counted)
+    df = spark.createDataFrame(rows, "entity long, period long")
+    got = W.temporal_split_last_k(df, "period", 2, 2)
+    parts = {(r.period, r.split) for r in got.collect()}
+    assert parts == {(p, "train" if p < 5 else "val" if p < 7 else "test") for p in range(9)}
+    assert got.count() == 90
+    assert seen.value == 90
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 40])
+def test_runs_of_equal_values_over_many_blocks(spark, blocks):
+    # a run of a thousand ties, blocks of one value, of two and of many
+    values = [1.0] * 500 + [2.0] * 1000 + [float(i) for i in range(3, 300)] + [None] * 5
+    df = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(values * 2)], "g long, id long, v double")
+    got = O.average_ranks(df, ["g"], F.col("v"), blocks=blocks).collect()
+    assert len(got) == 2 * (len(values) - 5)
+    for g in (0, 1):
+        mine = sorted(v for i, v in enumerate(values * 2) if i % 2 == g and v is not None)
+        for r in got:
+            if r.g == g:
+                assert (r._before, r._through, r._total) == (bisect_left(mine, r.v), bisect_right(mine, r.v), len(mine))
