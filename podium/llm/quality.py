@@ -14,10 +14,12 @@ operations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE
 from .ngram_ratio import MICRO, Limits, ratio_totals, text_key
 
 #: least mean log-likelihood ratio of a document that is kept
@@ -40,6 +42,12 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _one_space(text: Column) -> Column:
+    """The text with every white-space character as a space: plain byte searches, by which words
+    are split and counted without a regular expression."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\v\f\r", text)
+
+
 def _joined(hashes: Column, by: int) -> Column:
     """Each hash with the one ``by`` places on, if there is one, under one hash."""
     return F.zip_with(hashes, F.slice(hashes, by + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
@@ -58,10 +66,11 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     row = _carried(docs)
     d = docs.select(*[F.col(f"`{c}`").alias(r) for c, r in zip(docs.columns, row)],
                     F.coalesce(F.col(text), F.lit("")).alias("t"))
-    t = F.col("t")
-    d = d.select(*row, *text_key(t), _hashes(words_of(t)).alias("hashes"),
-                 (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-                 F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
+    t, spaced = F.col("t"), F.col("spaced")
+    d = d.withColumn("spaced", _one_space(t))
+    d = d.select(*row, *text_key(t), _hashes(F.array_remove(F.split(spaced, " "), "")).alias("hashes"),
+                 F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+                 F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
                  F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
     h, n = F.col("hashes"), F.size("hashes")
     # hashes of 2, then of 4 neighbours; the last few of each are cut short and equal no other
